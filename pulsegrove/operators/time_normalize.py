@@ -39,10 +39,9 @@ def resolve(records: DataFrame) -> DataFrame:
         # the only valid reading counts as certain unless the site declares another order for it
         F.when(F.size("readings") == 0, "none").when(F.get("readings", F.lit(0))["cost"] > 0, "inferred").otherwise("instant").alias("status"),
     )
-    picked = cheapest_readings(read.where(F.size("readings") > 0), cut).withColumn("r", F.get("readings", F.col("chosen")))
-    same = F.size(F.filter("readings", lambda x: x["fmt"] == F.col("r")["fmt"]))
-    rivals = F.size(F.filter("readings", lambda x: (x["fmt"] != F.col("r")["fmt"]) & (x["cost"] <= F.col("r")["cost"])))
-    settled = picked.select("source", "row_key", F.col("r")["us"].alias("utc_us"), F.when((rivals > 0) | (F.col("r")["cost"] > 0), "inferred").when(same > 1, "doubled").otherwise("instant").alias("status"))
+    picked = cheapest_readings(read.where(F.size("readings") > 0), cut)
+    status = F.when((F.col("rivals") > 0) | (F.col("cost") > 0), "inferred").when(F.col("same") > 1, "doubled").otherwise("instant")
+    settled = picked.select("source", "row_key", F.col("us").alias("utc_us"), status.alias("status"))
     return plain.unionByName(settled)
 
 
