@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrove.llm import canonical_map, consensus
+from pulsegrove.llm import bpe, canonical_map, consensus, packing
 from pulsegrove.session import table
 
 
@@ -37,5 +37,23 @@ def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(consensus.prepare(table(spark, d, "annotations"))[0])
 
 
-QUERIES = {x.__name__: x for x in (p3_found, p3_unmatched, p4_found, p4_raters, p4_consensus)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, same: whether decoding the ids gives the text again."""
+    documents = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("before"))
+    return bpe.decode(bpe.encode(table(spark, d, "documents"))).join(documents, "doc_id").select("doc_id", (F.col("text") == F.col("before")).alias("same"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(bpe.token_counts(table(spark, d, "documents")))
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.summary(p8_containers(spark, d))
+
+
+QUERIES = {x.__name__: x for x in (p3_found, p3_unmatched, p4_found, p4_raters, p4_consensus, p7_ids, p7_roundtrip, p8_containers, p8_summary)}
 ORACLES: dict[str, str] = {}
