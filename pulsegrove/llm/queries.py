@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrove.llm import bpe, canonical_map, consensus, packing
+from pulsegrove.llm import bpe, canonical_map, consensus, packing, reading_level, splits
 from pulsegrove.session import table
 
 
@@ -37,6 +37,22 @@ def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(consensus.prepare(table(spark, d, "annotations"))[0])
 
 
+#: Ends of the increments in which the splits are built; None takes in everything left.
+INCREMENTS = ["2023-01-01", "2024-07-01", None]
+
+
+def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return splits.increments(table(spark, d, "participants"), table(spark, d, "family_coverage"), table(spark, d, "sites"), INCREMENTS)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.tied_pairs(_splits(spark, d)[1])
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_rows(*_splits(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -55,5 +71,13 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p8_containers(spark, d))
 
 
-QUERIES = {x.__name__: x for x in (p3_found, p3_unmatched, p4_found, p4_raters, p4_consensus, p7_ids, p7_roundtrip, p8_containers, p8_summary)}
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.reading_levels(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.learned(p9_levels(spark, d))
+
+
+QUERIES = {x.__name__: x for x in (p3_found, p3_unmatched, p4_found, p4_raters, p4_consensus, p5_found, p5_splits, p7_ids, p7_roundtrip, p8_containers, p8_summary, p9_found, p9_levels)}
 ORACLES: dict[str, str] = {}
