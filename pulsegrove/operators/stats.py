@@ -120,3 +120,50 @@ def _erfc(x: pd.Series) -> pd.Series:
 
 def normal_cdf(z):
     return 1 - _erfc(z / math.sqrt(2)) / 2
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solve(moments: pd.Series) -> pd.Series:
+    """Coefficients of least squares from the flattened normal equations [X'X | X'y], null where they are singular."""
+
+    def one(flat) -> list[float] | None:
+        flat = np.asarray(flat, float)
+        size = int(round((math.sqrt(1 + 4 * len(flat)) - 1) / 2))
+        table = flat.reshape(size, size + 1)
+        if not np.isfinite(table).all() or np.linalg.matrix_rank(table[:, :-1]) < size:
+            return None
+        return np.linalg.solve(table[:, :-1], table[:, -1]).tolist()
+
+    return moments.map(one)
+
+
+def linear_fit(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
+    """keys, n, intercept and a slope per x: least squares by each group's sums of products, however many rows it has."""
+    full = df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in [y, *xs]))
+    means = full.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"_m_{c}") for c in [y, *xs]))
+    centred = full.join(means, keys)
+    less = {c: F.col(c) - F.col(f"_m_{c}") for c in [y, *xs]}
+    sums = centred.groupBy(*keys, "n", *(f"_m_{c}" for c in [y, *xs])).agg(F.array(*(F.sum(less[a] * less[b]) for a in xs for b in [*xs, y])).alias("_sums"))
+    solved = sums.withColumn("_b", _solve("_sums"))
+    slopes = [F.get("_b", F.lit(i)) for i in range(len(xs))]
+    intercept = F.col(f"_m_{y}") - sum((b * F.col(f"_m_{x}") for b, x in zip(slopes, xs)), F.lit(0.0))
+    return solved.select(*keys, "n", intercept.alias("intercept"), *(b.alias(f"slope_{x}") for b, x in zip(slopes, xs)))
+
+
+def bootstrap_interval(df: DataFrame, cluster: str, value: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """estimate, low, high, n_clusters: the mean over clusters of their means, and percentiles over draws of clusters.
+
+    Every cluster enters a draw as often as a Poisson variable of mean 1 says, which a hash of cluster, draw and seed
+    decides, so draws need no shuffle of the rows: only one row per cluster is spread over the draws.
+    """
+    means = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.avg(value).alias("m"))
+    u = (F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    edges, total, term = [], 0.0, math.exp(-1)
+    for k in range(12):
+        total += term
+        edges.append(total)
+        term /= k + 1
+    times = sum(((u > e).cast("int") for e in edges), F.lit(0))
+    drawn = means.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", times).groupBy("draw").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("x"))
+    ends = drawn.agg(F.percentile("x", (1 - level) / 2).alias("low"), F.percentile("x", (1 + level) / 2).alias("high"))
+    return means.agg(F.avg("m").alias("estimate"), F.count("*").alias("n_clusters")).select("estimate", ends.select("low").scalar().alias("low"), ends.select("high").scalar().alias("high"), "n_clusters")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrove.operators import detections, directed, epoching, intervals, montage, quality, stats, windows
+from pulsegrove.operators import detections, directed, epoching, intervals, montage, quality, responses, spectral, stats, windows
 from pulsegrove.plans import tables as P
 from pulsegrove.session import table
 
@@ -355,3 +355,47 @@ def label_keys(spark: SparkSession, d: str) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("elec_label", r"^(?i)pol\s+", ""), r"(?i)[-/_ ]*ref$", "")
     key = F.regexp_replace(F.regexp_replace(F.upper(bare), "[^A-Z0-9]", ""), "(^|[^0-9])0+([0-9])", "$1$2")
     return table(spark, d, "electrode_metadata").where("elec_label is not null").groupBy("elec_label", key.alias("label_key")).agg(F.count("*").alias("n"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").alias("channel"), F.transform("embedding", lambda x: x.cast("double")).alias("y"))
+
+
+#: Samples a second that the vectors are taken to have.
+RATE = 64.0
+
+
+@query()
+def power_spectra(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.power_spectra(_packed(spark, d), "channel", RATE, 32)
+
+
+@query()
+def band_power(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.band_power(spectral.power_spectra(_packed(spark, d), "channel", RATE, 32), "channel", {"low": (1.0, 8.0), "middle": (8.0, 16.0), "high": (16.0, 32.0)})
+
+
+@query()
+def wavelet_power(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.wavelet_power(_packed(spark, d), "channel", RATE, [8.0, 12.0, 20.0])
+
+
+@query()
+def phase_locking(spark: SparkSession, d: str) -> DataFrame:
+    trials = spectral.packed(P.epoched(spark, d), ["epoch", "channel"], "offset", "value").where(F.size("y") == P.BEFORE + P.AFTER + 1)
+    return spectral.phase_locking(spectral.bandpassed(trials, 0.05, 0.3, 1.0, 2), "epoch", "channel")
+
+
+@query()
+def response_calls(spark: SparkSession, d: str) -> DataFrame:
+    return responses.calls(P.epoched(spark, d), (-P.BEFORE, -1), (1, P.AFTER))
+
+
+@query()
+def lead_directions(spark: SparkSession, d: str) -> DataFrame:
+    return stats.linear_fit(P.contacts(spark, d).withColumn("number", F.col("number").cast("double")), ["patient"], "number", ["mni_x", "mni_y", "mni_z"])
+
+
+@query()
+def clustered_interval(spark: SparkSession, d: str) -> DataFrame:
+    return stats.bootstrap_interval(table(spark, d, "artifact_summary"), "patient_id", "bad_response_fraction", 400, 17)
