@@ -88,3 +88,36 @@ def target_shares(edges: DataFrame, keys: list[str], time: str) -> DataFrame:
     return joined.join(known, keys).select(
         *keys, time, "total", "active", (F.col("active") / F.col("_targets")).alias("participation"), F.when(F.col("_targets") > 1, F.col("_h") / F.log(F.col("_targets"))).otherwise(0.0).alias("entropy"), F.exp("_h").alias("effective_targets")
     )
+
+
+def hubs_authorities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """node, hub, authority (each summing to 1) by ``rounds`` of mutual reinforcement over weighted edges."""
+    weights = cut(edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")).where("weight > 0"))
+    hubs = weights.select("source").distinct().withColumn("h", F.lit(1.0))
+    for round_ in range(1, rounds + 1):
+        got = weights.join(hubs, "source").groupBy("target").agg(F.sum(F.col("weight") * F.col("h")).alias("a"))
+        authorities = got.select("target", (F.col("a") / got.agg(F.sum("a")).scalar()).alias("a"))
+        given = weights.join(authorities, "target").groupBy("source").agg(F.sum(F.col("weight") * F.col("a")).alias("h"))
+        hubs = given.select("source", (F.col("h") / given.agg(F.sum("h")).scalar()).alias("h"))
+        if round_ % 4 == 0 or round_ == rounds:
+            hubs = cut(hubs)
+    got = weights.join(hubs, "source").groupBy("target").agg(F.sum(F.col("weight") * F.col("h")).alias("a"))
+    authorities = got.select(F.col("target").alias("node"), (F.col("a") / got.agg(F.sum("a")).scalar()).alias("authority"))
+    return hubs.select(F.col("source").alias("node"), F.col("h").alias("hub")).join(authorities, "node", "full").na.fill(0.0)
+
+
+def canonical_edges(edges: DataFrame, undirected: str, paired: list[str]) -> DataFrame:
+    """``edges`` with the ends of undirected rows in order (whatever their case), and their ``paired`` columns
+    (source_x and target_x) swapped along; directed rows stay."""
+    swap = F.col(undirected) & (F.lower("source") > F.lower("target"))
+    names = [("source", "target"), *((f"source_{p}", f"target_{p}") for p in paired)]
+    return edges.withColumns({k: v for a, b in names for k, v in ((a, F.when(swap, F.col(b)).otherwise(F.col(a))), (b, F.when(swap, F.col(a)).otherwise(F.col(b))))})
+
+
+def same_region(edges: DataFrame, regions: DataFrame) -> DataFrame:
+    """``edges`` with ``same_region``: both ends in one region of ``regions`` (node, region), or neither known."""
+    place = regions.groupBy("node").agg(F.min("region").alias("region"))
+    a, b = place.select(F.col("node").alias("source"), F.col("region").alias("_a"), F.lit(True).alias("_ka")), place.select(F.col("node").alias("target"), F.col("region").alias("_b"), F.lit(True).alias("_kb"))
+    joined = edges.join(a, "source", "left").join(b, "target", "left")
+    unknown = F.col("_ka").isNull() & F.col("_kb").isNull()
+    return joined.withColumn("same_region", unknown | F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).drop("_a", "_b", "_ka", "_kb")

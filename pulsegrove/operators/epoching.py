@@ -80,3 +80,16 @@ def interpolated(samples: DataFrame, block: Column) -> DataFrame:
     p, n = F.col("_p"), F.col("_n")
     line = p["value"] + (n["value"] - p["value"]) * (F.col("k") - p["k"]) / (n["k"] - p["k"])
     return both.withColumn("filled", F.coalesce("value", F.when(p.isNotNull() & n.isNotNull(), line), p["value"], n["value"])).drop("_p", "_n")
+
+
+def blanked(samples: DataFrame, events: DataFrame, before: int, after: int, block: Column) -> DataFrame:
+    """``samples`` with ``filled``: values from ``before`` steps ahead of any event k to ``after`` past it bridged linearly."""
+    hit = events.select(F.explode(F.sequence(F.col("k") - before, F.col("k") + after)).alias("k")).distinct().withColumn("_hit", F.lit(True))
+    masked = samples.join(hit, "k", "left").withColumn("value", F.when(F.col("_hit").isNull(), F.col("value"))).drop("_hit")
+    return interpolated(masked, block)
+
+
+def artifact_envelope(epoched: DataFrame) -> DataFrame:
+    """epoch, offset, envelope: the 95th percentile over channels of the absolute value, the greatest of up to two."""
+    size = F.abs("value")
+    return epoched.groupBy("epoch", "offset").agg(F.when(F.count("value") > 2, F.percentile(size, 0.95)).otherwise(F.max(size)).alias("envelope"))

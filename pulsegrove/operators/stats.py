@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,16 +138,18 @@ def _solve(moments: pd.Series) -> pd.Series:
 
 
 def linear_fit(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
-    """keys, n, intercept and a slope per x: least squares by each group's sums of products, however many rows it has."""
+    """keys, n, intercept, a slope per x and rss (residual sum of squares): least squares by each group's sums of products."""
     full = df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in [y, *xs]))
     means = full.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"_m_{c}") for c in [y, *xs]))
     centred = full.join(means, keys)
     less = {c: F.col(c) - F.col(f"_m_{c}") for c in [y, *xs]}
-    sums = centred.groupBy(*keys, "n", *(f"_m_{c}" for c in [y, *xs])).agg(F.array(*(F.sum(less[a] * less[b]) for a in xs for b in [*xs, y])).alias("_sums"))
+    sums = centred.groupBy(*keys, "n", *(f"_m_{c}" for c in [y, *xs])).agg(F.array(*(F.sum(less[a] * less[b]) for a in xs for b in [*xs, y])).alias("_sums"), F.sum(less[y] * less[y]).alias("_syy"))
     solved = sums.withColumn("_b", _solve("_sums"))
     slopes = [F.get("_b", F.lit(i)) for i in range(len(xs))]
+    explained = sum((b * F.get("_sums", F.lit(i * (len(xs) + 1) + len(xs))) for i, b in enumerate(slopes)), F.lit(0.0))
+    rss = F.greatest(F.col("_syy") - explained, F.lit(0.0))
     intercept = F.col(f"_m_{y}") - sum((b * F.col(f"_m_{x}") for b, x in zip(slopes, xs)), F.lit(0.0))
-    return solved.select(*keys, "n", intercept.alias("intercept"), *(b.alias(f"slope_{x}") for b, x in zip(slopes, xs)))
+    return solved.select(*keys, "n", intercept.alias("intercept"), *(b.alias(f"slope_{x}") for b, x in zip(slopes, xs)), rss.alias("rss"))
 
 
 def bootstrap_interval(df: DataFrame, cluster: str, value: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
@@ -167,3 +169,29 @@ def bootstrap_interval(df: DataFrame, cluster: str, value: str, draws: int, seed
     drawn = means.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", times).groupBy("draw").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("x"))
     ends = drawn.agg(F.percentile("x", (1 - level) / 2).alias("low"), F.percentile("x", (1 + level) / 2).alias("high"))
     return means.agg(F.avg("m").alias("estimate"), F.count("*").alias("n_clusters")).select("estimate", ends.select("low").scalar().alias("low"), ends.select("high").scalar().alias("high"), "n_clusters")
+
+
+def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Wilson's interval of a rate; nulls where n is 0."""
+    p = hits / n
+    middle, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    scale = 1 + z * z / n
+    return F.when(n > 0, (middle - half) / scale), F.when(n > 0, (middle + half) / scale)
+
+
+def slope_permutation(df: DataFrame, keys: list[str], x: str, y: str, draws: int, seed: int) -> DataFrame:
+    """keys, n, slope, r2, p: the slope of y over x, and how often a random pairing of the two is as steep.
+
+    A pairing matches the rows' order by one hash with their order by another, drawn anew for each draw; a draw of a group
+    is one window of as many rows as the group has, so no window grows with the number of draws.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    base = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"))
+    order = F.xxhash64("x", "y", F.monotonically_increasing_id(), F.lit(seed))
+    own = rows.withColumn("_id", order).withColumn("_fixed", F.row_number().over(Window.partitionBy(*keys).orderBy("_id")))
+    drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    shuffled = drawn.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(F.xxhash64("_fixed", "draw", F.lit(seed)))))
+    left, right = drawn.select(*keys, "draw", F.col("_fixed").alias("_at"), "x"), shuffled.select(*keys, "draw", "_at", "y")
+    steep = left.join(right, [*keys, "draw", "_at"]).groupBy(*keys, "draw").agg(F.regr_slope("y", "x").alias("s"))
+    counted = steep.join(base, keys).groupBy(*keys).agg(F.sum((F.abs("s") >= F.abs("slope") - 1e-12).cast("long")).alias("_hits"), F.count("s").alias("_draws"))
+    return base.join(counted, keys, "left").select(*keys, "n", "slope", "r2", F.when(F.col("slope").isNotNull(), (1 + F.col("_hits")) / (1 + F.col("_draws"))).alias("p"))

@@ -101,3 +101,19 @@ def first_settled(df: DataFrame, key: list[str], k: str, calm: Column, n: int) -
     flag = F.coalesce(calm, F.lit(False)).cast("int")
     marked = df.withColumn("_run", F.sum(flag).over(ahead))
     return marked.groupBy(*key).agg(F.min(F.when(F.col("_run") == n, F.col(k))).alias("settled_at"))
+
+
+def threshold_events(samples: DataFrame, z: float, floor: float, ceiling: float, block: Column) -> DataFrame:
+    """channel, k: where |value - median| first rises to min(ceiling, max(floor, z scaled MADs)) on each channel."""
+    middle = samples.groupBy("channel").agg(F.median("value").alias("_med"))
+    off = samples.join(middle, "channel").withColumn("_off", F.abs(F.col("value") - F.col("_med")))
+    spread = off.groupBy("channel").agg((F.median("_off") * MAD_SCALE).alias("_mad"))
+    limited = off.join(spread, "channel").withColumn("_on", F.col("_off") >= F.least(F.lit(ceiling), F.greatest(F.lit(floor), z * F.col("_mad"))))
+    return onsets(limited, "channel", block, ["k"], F.col("_on")).where("edge = 'rising'").select("channel", "k")
+
+
+def consensus_events(events: DataFrame, gap: int, least: int, block: Column) -> DataFrame:
+    """k, n_channels: clusters of events of any channel within ``gap``, at their rounded median, if ``least`` channels take part."""
+    one = events.withColumn("_all", F.lit(1))
+    grouped = clusters(one, "_all", "k", "channel", gap, block).groupBy("cluster").agg(F.bround(F.median("k")).cast("long").alias("k"), F.count_distinct("channel").alias("n_channels"))
+    return grouped.where(F.col("n_channels") >= least).select("k", "n_channels")

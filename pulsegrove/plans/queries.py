@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrove.operators import detections, directed, epoching, intervals, montage, quality, responses, spectral, stats, windows
+from pulsegrove.operators import connectivity, detections, directed, epoching, intervals, montage, quality, responses, spectral, stats, windows
 from pulsegrove.plans import tables as P
 from pulsegrove.session import table
 
@@ -399,3 +399,73 @@ def lead_directions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def clustered_interval(spark: SparkSession, d: str) -> DataFrame:
     return stats.bootstrap_interval(table(spark, d, "artifact_summary"), "patient_id", "bad_response_fraction", 400, 17)
+
+
+@query(f"""WITH {P.SQL_HOURLY}, m AS (SELECT channel, median(value) AS med FROM hourly GROUP BY 1), o AS (SELECT channel, k, abs(value - med) AS off FROM hourly JOIN m USING (channel)), s AS (SELECT channel, median(off) * 1.4826 AS mad FROM o GROUP BY 1),
+a AS (SELECT channel, k, off >= least(60.0, greatest(10.0, 2 * mad)) AS x FROM o JOIN s USING (channel)), r AS (SELECT channel, k FROM (SELECT *, lag(x, 1, false) OVER (PARTITION BY channel ORDER BY k) AS y FROM a) WHERE x AND NOT y),
+g AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 1 THEN 1 ELSE 0 END) OVER (ORDER BY k, channel ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, k - lag(k) OVER (ORDER BY k, channel) AS d FROM r))
+SELECT CAST(round_even(median(k), 0) AS BIGINT) AS k, count(DISTINCT channel) AS n_channels FROM g GROUP BY c HAVING count(DISTINCT channel) >= 2""")
+def consensus_events(spark: SparkSession, d: str) -> DataFrame:
+    return windows.consensus_events(windows.threshold_events(P.hourly(spark, d), 2.0, 10.0, 60.0, _day()), 1, 2, _day())
+
+
+@query(f"""WITH {P.SQL_HOURLY}, a AS (SELECT DISTINCT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events WHERE event_type = 'error' AND value > 80), x AS (SELECT DISTINCT unnest([h, h + 1]) AS k FROM a),
+f AS (SELECT channel, k, CASE WHEN x.k IS NULL THEN value END AS value FROM hourly LEFT JOIN x USING (k)),
+w AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER b AS k0, last_value(value IGNORE NULLS) OVER b AS v0, first_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER c AS k1, first_value(value IGNORE NULLS) OVER c AS v1 FROM f
+WINDOW b AS (PARTITION BY channel ORDER BY k ROWS UNBOUNDED PRECEDING), c AS (PARTITION BY channel ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT channel, k, round(coalesce(value, v0 + (v1 - v0) * (k - k0) / (k1 - k0), v0, v1), 6) AS filled FROM w""")
+def artifact_blanking(spark: SparkSession, d: str) -> DataFrame:
+    pulses = table(spark, d, "events").where("event_type = 'error' and value > 80").select(epoching.sample_index("ts").alias("k")).distinct()
+    return epoching.blanked(P.hourly(spark, d), pulses, 0, 1, _day()).select("channel", "k", "filled")
+
+
+@query(f"""WITH {P.SQL_EPOCHED} SELECT epoch, "offset", round(CASE WHEN count(value) > 2 THEN quantile_cont(abs(value), 0.95) ELSE max(abs(value)) END, 6) AS envelope FROM epoched GROUP BY 1, 2""")
+def artifact_envelope(spark: SparkSession, d: str) -> DataFrame:
+    return epoching.artifact_envelope(P.epoched(spark, d))
+
+
+@query(f"""WITH {P.SQL_TRADE}, e AS (SELECT source, target, count(*) AS n FROM trade GROUP BY 1, 2) SELECT least(source, target) AS source, greatest(source, target) AS target, sum(n)::BIGINT AS n FROM e GROUP BY 1, 2""")
+def undirected_edges(spark: SparkSession, d: str) -> DataFrame:
+    edges = P.trade(spark, d).groupBy("source", "target").agg(F.count("*").alias("n")).withColumn("undirected", F.lit(True))
+    return directed.canonical_edges(edges, "undirected", []).groupBy("source", "target").agg(F.sum("n").alias("n"))
+
+
+@query(f"""WITH {P.SQL_TRADE}, r AS (SELECT n_name AS node, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey), e AS (SELECT source, target, count(*) AS n FROM trade GROUP BY 1, 2)
+SELECT source, target, n, a.region = b.region AS same_region FROM e JOIN r a ON a.node = source JOIN r b ON b.node = target""")
+def same_region(spark: SparkSession, d: str) -> DataFrame:
+    regions = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node"), F.col("r_name").alias("region"))
+    return directed.same_region(P.trade(spark, d).groupBy("source", "target").agg(F.count("*").alias("n")), regions)
+
+
+@query("""WITH t AS (SELECT model_id, count(*) AS n, count(*) FILTER (WHERE n_hard_artifact_response > 0) AS hits FROM artifact_summary GROUP BY 1), p AS (SELECT *, hits / n AS p, 1.959963984540054 AS z FROM t)
+SELECT model_id, n, hits, round(p, 6) AS rate, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM p""")
+def artifact_rates(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "artifact_summary").groupBy("model_id").agg(F.count("*").alias("n"), F.sum((F.col("n_hard_artifact_response") > 0).cast("long")).alias("hits"))
+    low, high = stats.wilson(F.col("hits"), F.col("n"))
+    return counts.select("model_id", "n", "hits", (F.col("hits") / F.col("n")).alias("rate"), low.alias("low"), high.alias("high"))
+
+
+@query()
+def coherence(spark: SparkSession, d: str) -> DataFrame:
+    trials = spectral.packed(P.epoched(spark, d), ["epoch", "channel"], "offset", "value").where(F.size("y") == P.BEFORE + P.AFTER + 1)
+    return connectivity.coherence(trials, "epoch", "channel", 1.0, 0.05, 0.3)
+
+
+@query()
+def granger(spark: SparkSession, d: str) -> DataFrame:
+    return connectivity.granger(P.hourly(spark, d).withColumn("trial", F.floor(F.col("k") / 24)), "trial", 2)
+
+
+@query()
+def phase_amplitude(spark: SparkSession, d: str) -> DataFrame:
+    return connectivity.phase_amplitude(_packed(spark, d), "channel", RATE, (3.0, 7.0), (14.0, 28.0))
+
+
+@query()
+def hubs_authorities(spark: SparkSession, d: str) -> DataFrame:
+    return directed.hubs_authorities(P.trade(spark, d), 8)
+
+
+@query()
+def distance_gradients(spark: SparkSession, d: str) -> DataFrame:
+    return stats.slope_permutation(P.contacts(spark, d), ["patient"], "number", "mni_x", 199, 5)
