@@ -58,21 +58,22 @@ def adjacency(edges: DataFrame, nodes: list[str]) -> DataFrame:
 def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """node, rank by ``rounds`` of weighted PageRank; nodes without outgoing weight hand theirs to all.
 
-    Every round is a join on the source and a sum by target; lineage is cut every fifth.
+    Every round is a join on the source and a sum by target. Lineage is cut every fifth round, or every round if there
+    are nodes without outgoing weight, whose sum would otherwise repeat the rounds before.
     """
     weights = edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")).where("weight > 0")
     totals = weights.groupBy("source").agg(F.sum("weight").alias("total"))
     moves = cut(weights.join(totals, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")))
     nodes = cut(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct().join(totals.select(F.col("source").alias("node"), F.lit(False).alias("dangling")), "node", "left").na.fill({"dangling": True}))
-    n = nodes.count()
+    n, loose_ends = nodes.count(), nodes.where("dangling").count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     ranks = nodes.select("node", "dangling", F.lit(1.0 / n).alias("rank"))
     for round_ in range(1, rounds + 1):
-        loose = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("loose")).scalar()
+        loose = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose")).scalar() if loose_ends else F.lit(0.0)
         given = moves.join(ranks.select(F.col("node").alias("source"), "rank"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         ranks = nodes.join(given, "node", "left").select("node", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank"))
-        if round_ % 5 == 0:
+        if loose_ends or round_ % 5 == 0:
             ranks = cut(ranks)
     return ranks.select("node", "rank")
 
@@ -91,18 +92,26 @@ def target_shares(edges: DataFrame, keys: list[str], time: str) -> DataFrame:
 
 
 def hubs_authorities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, hub, authority (each summing to 1) by ``rounds`` of mutual reinforcement over weighted edges."""
-    weights = cut(edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")).where("weight > 0"))
-    hubs = weights.select("source").distinct().withColumn("h", F.lit(1.0))
+    """node, hub, authority (each summing to 1) by ``rounds`` of mutual reinforcement over weighted edges.
+
+    Weights are relative to the greatest one, and scores are scaled every fourth round, where lineage is cut.
+    """
+    summed = cut(edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")).where("weight > 0"))
+    weights = summed.withColumn("weight", F.col("weight") / summed.agg(F.max("weight")).scalar())
+
+    def authorities_of(hubs: DataFrame) -> DataFrame:
+        return weights.join(hubs, "source").groupBy("target").agg(F.sum(F.col("weight") * F.col("h")).alias("a"))
+
+    def scaled(scores: DataFrame, node: str, score: str) -> DataFrame:
+        stored = cut(scores)
+        return stored.select(node, (F.col(score) / stored.agg(F.sum(score)).scalar()).alias(score))
+
+    hubs = summed.select("source").distinct().withColumn("h", F.lit(1.0))
     for round_ in range(1, rounds + 1):
-        got = weights.join(hubs, "source").groupBy("target").agg(F.sum(F.col("weight") * F.col("h")).alias("a"))
-        authorities = got.select("target", (F.col("a") / got.agg(F.sum("a")).scalar()).alias("a"))
-        given = weights.join(authorities, "target").groupBy("source").agg(F.sum(F.col("weight") * F.col("a")).alias("h"))
-        hubs = given.select("source", (F.col("h") / given.agg(F.sum("h")).scalar()).alias("h"))
+        hubs = weights.join(authorities_of(hubs), "target").groupBy("source").agg(F.sum(F.col("weight") * F.col("a")).alias("h"))
         if round_ % 4 == 0 or round_ == rounds:
-            hubs = cut(hubs)
-    got = weights.join(hubs, "source").groupBy("target").agg(F.sum(F.col("weight") * F.col("h")).alias("a"))
-    authorities = got.select(F.col("target").alias("node"), (F.col("a") / got.agg(F.sum("a")).scalar()).alias("authority"))
+            hubs = scaled(hubs, "source", "h")
+    authorities = scaled(authorities_of(hubs), "target", "a").select(F.col("target").alias("node"), F.col("a").alias("authority"))
     return hubs.select(F.col("source").alias("node"), F.col("h").alias("hub")).join(authorities, "node", "full").na.fill(0.0)
 
 
