@@ -31,17 +31,18 @@ CLOCK_ONLY = r"^\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?\s*([AaPp]\.
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """source, row_key, utc_us, status for records of source, row_key, text, tz, date_order."""
+    """source, row_key, text, utc_us, status for records of source, row_key, text, tz, date_order."""
     read = T.with_readings(records, "text", "tz", "date_order", "readings")
     read = cut(read.select("source", "row_key", "text", "readings"))
     plain = read.where(F.size("readings") <= 1).select(
-        "source", "row_key", F.get("readings", F.lit(0))["us"].alias("utc_us"),
+        "source", "row_key", "text", F.get("readings", F.lit(0))["us"].alias("utc_us"),
         # the only valid reading counts as certain unless the site declares another order for it
         F.when(F.size("readings") == 0, "none").when(F.get("readings", F.lit(0))["cost"] > 0, "inferred").otherwise("instant").alias("status"),
     )
     picked = cheapest_readings(read.where(F.size("readings") > 0), cut)
     status = F.when((F.col("rivals") > 0) | (F.col("cost") > 0), "inferred").when(F.col("same") > 1, "doubled").otherwise("instant")
-    settled = picked.select("source", "row_key", F.col("us").alias("utc_us"), status.alias("status"))
+    texts = read.where(F.size("readings") > 1).select("source", "row_key", "text")
+    settled = picked.select("source", "row_key", F.col("us").alias("utc_us"), status.alias("status")).join(texts, ["source", "row_key"])
     return plain.unionByName(settled)
 
 
@@ -107,16 +108,16 @@ def normalize_times(recordings: DataFrame, trains: DataFrame, events: DataFrame,
 
     of_recording = known.select("raw_id", "tz", "date_order", "sampling_freq", F.when(F.col("status") == "instant", F.col("utc_us")).alias("start_us"))
     heard = with_onset(events.select("event_id", "raw_id", F.col("onset").alias("text")).join(of_recording, "raw_id", "left"))
-    shifted = heard.where(F.col("kind").isNotNull() & (F.col("kind") != "C")).select("event_id", "text", (F.col("start_us") + F.col("shift")).alias("utc_us"), F.lit(1).alias("hits"))
-    clocked = with_clock_instants(heard.where(F.col("kind") == "C")).select("event_id", "text", F.get("hits", F.lit(0)).alias("utc_us"), F.size("hits").alias("hits"))
-    from_start = shifted.unionByName(clocked).select(
-        F.lit("stim_events").alias("tab"), F.col("event_id").alias("row_key"), "text", "utc_us", F.when(F.col("utc_us").isNull(), "none").when(F.col("hits") > 1, "doubled").otherwise("instant").alias("status")
+    relative = with_clock_instants(heard.where(F.col("kind").isNotNull()))
+    clock = F.col("kind") == "C"
+    from_start = relative.select(
+        F.lit("stim_events").alias("tab"), F.col("event_id").alias("row_key"), "text", T.once(F.when(clock, F.get("hits", F.lit(0))).otherwise(F.col("start_us") + F.col("shift"))).alias("utc_us"), (clock & (F.size("hits") > 1)).alias("twice")
     )
+    from_start = from_start.select("tab", "row_key", "text", "utc_us", F.when(F.col("utc_us").isNull(), "none").when(F.col("twice"), "doubled").otherwise("instant").alias("status"))
     written = heard.where(F.col("kind").isNull())
     written = written.select(F.concat(F.lit("event|"), F.coalesce(F.col("raw_id").cast("string"), F.lit(""))).alias("source"), F.col("event_id").alias("row_key"), "text", "tz", "date_order")
 
-    records = logged.unionByName(written)
-    dated = resolve(records).join(records.select("source", "row_key", "text"), ["source", "row_key"])
+    dated = resolve(logged.unionByName(written))
     dated = dated.select(F.when(F.col("source").startswith("stim|"), "stim_metadata").otherwise("stim_events").alias("tab"), "row_key", "text", "utc_us", "status")
     return raw.unionByName(dated).unionByName(from_start)
 
