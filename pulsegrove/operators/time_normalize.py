@@ -106,7 +106,7 @@ def normalize_times(recordings: DataFrame, trains: DataFrame, events: DataFrame,
     logged = trains.select("stim_id", F.col("stim_start").alias("text"), site.alias("_site")).join(sites, "_site", "left")
     logged = logged.select(F.concat(F.lit("stim|"), F.coalesce("_site", F.lit(""))).alias("source"), F.col("stim_id").alias("row_key"), "text", "tz", "date_order")
 
-    of_recording = known.select("raw_id", "tz", "date_order", "sampling_freq", F.when(F.col("status") == "instant", F.col("utc_us")).alias("start_us"))
+    of_recording = known.select("raw_id", F.coalesce("_site", F.lit("")).alias("at_site"), "tz", "date_order", "sampling_freq", F.when(F.col("status") == "instant", F.col("utc_us")).alias("start_us"))
     heard = with_onset(events.select("event_id", "raw_id", F.col("onset").alias("text")).join(of_recording, "raw_id", "left"))
     relative = with_clock_instants(heard.where(F.col("kind").isNotNull()))
     clock = F.col("kind") == "C"
@@ -115,7 +115,7 @@ def normalize_times(recordings: DataFrame, trains: DataFrame, events: DataFrame,
     )
     from_start = from_start.select("tab", "row_key", "text", "utc_us", F.when(F.col("utc_us").isNull(), "none").when(F.col("twice"), "doubled").otherwise("instant").alias("status"))
     written = heard.where(F.col("kind").isNull())
-    written = written.select(F.concat(F.lit("event|"), F.coalesce(F.col("raw_id").cast("string"), F.lit(""))).alias("source"), F.col("event_id").alias("row_key"), "text", "tz", "date_order")
+    written = written.select(F.concat(F.lit("event|"), F.coalesce("at_site", F.lit(""))).alias("source"), F.col("event_id").alias("row_key"), "text", "tz", "date_order")
 
     dated = resolve(logged.unionByName(written))
     dated = dated.select(F.when(F.col("source").startswith("stim|"), "stim_metadata").otherwise("stim_events").alias("tab"), "row_key", "text", "utc_us", "status")
