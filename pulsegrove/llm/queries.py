@@ -38,7 +38,7 @@ def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Ends of the increments in which the splits are built; None takes in everything left.
-INCREMENTS = ["2023-01-01", "2024-07-01", None]
+INCREMENTS = ["2023-07-01", None]
 
 
 def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

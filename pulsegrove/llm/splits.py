@@ -80,7 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = labels.join(around, "u", "left").select("u", "f", F.least("f", F.coalesce("m", "f")).alias("g"))
         # roots hook onto the smallest label that any of their entities saw
         hooks = near.groupBy("f").agg(F.min("g").alias("h"))
-        hooked = cut(near.join(hooks, "f").select("u", "f", F.least("g", "h").alias("g")))
+        hooked = near.join(hooks, "f").select("u", "f", F.least("g", "h").alias("g"))
         # pointer jumping: everyone takes the label of its label
         jumped = hooked.join(hooked.select(F.col("u").alias("w"), F.col("g").alias("x")), F.col("g") == F.col("w"), "left")
         done = cut(jumped.select("u", F.least("g", F.coalesce("x", "g")).alias("g"), (F.least("g", F.coalesce("x", "g")) != F.col("f")).alias("moved")))
