@@ -92,3 +92,24 @@ def morlet(x: np.ndarray, rate: float, freqs: np.ndarray, cycles: float = 7.0) -
         begin = (len(wave) - 1) // 2
         out[:, i] = full[:, begin : begin + x.shape[1]]
     return out
+
+
+def notch(freq: float, width: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """One section that takes out ``freq``; ``width`` is the band, in the same unit, below half power."""
+    w = 2 * np.pi * freq / rate
+    gain = 1 / (1 + np.tan(np.pi * width / rate))
+    b = gain * np.array([1.0, -2 * np.cos(w), 1.0])
+    return b, np.array([1.0, -2 * gain * np.cos(w), 2 * gain - 1])
+
+
+def resampled(x: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Rows at up/down times their rate: a Kaiser-windowed low-pass between zeros, every ``down``-th value kept, no delay."""
+    half = 10 * max(up, down)
+    t = np.arange(-half, half + 1)
+    taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    taps *= up / taps.sum()
+    spread = np.zeros((x.shape[0], x.shape[1] * up))
+    spread[:, ::up] = x
+    size = spread.shape[1] + len(taps) - 1
+    full = np.fft.irfft(np.fft.rfft(spread, size, axis=1) * np.fft.rfft(taps, size), size, axis=1)
+    return full[:, half : half + spread.shape[1]][:, ::down]

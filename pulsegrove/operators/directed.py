@@ -130,3 +130,27 @@ def same_region(edges: DataFrame, regions: DataFrame) -> DataFrame:
     joined = edges.join(a, "source", "left").join(b, "target", "left")
     unknown = F.col("_ka").isNull() & F.col("_kb").isNull()
     return joined.withColumn("same_region", unknown | F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).drop("_a", "_b", "_ka", "_kb")
+
+
+def strongest_over_time(edges: DataFrame, time: str, n: int) -> DataFrame:
+    """source, target, time, weight, rank: the ``n`` strongest targets of each source at each time; equals by target."""
+    summed = edges.groupBy("source", time, "target").agg(F.sum("weight").alias("weight"))
+    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("source", time).orderBy(F.col("weight").desc(), "target")))
+    return ranked.where(F.col("rank") <= n)
+
+
+def target_divergence(edges: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """keys, time, jsd: how far (Jensen-Shannon, base 2) each time's shares of the targets lie from those of the time before.
+
+    Only times with a positive total count. The shares of a time and of the one before meet by target.
+    """
+    by_target = edges.groupBy(*keys, time, "target").agg(F.sum("weight").alias("w"))
+    totals = by_target.groupBy(*keys, time).agg(F.sum("w").alias("_t")).where("_t > 0")
+    before = totals.withColumn("_prev", F.lag(time).over(Window.partitionBy(*keys).orderBy(time))).where("_prev is not null").select(*keys, time, "_prev")
+    shares = by_target.join(totals, [*keys, time]).select(*keys, time, "target", (F.col("w") / F.col("_t")).alias("p"))
+    now = shares.join(before.select(*keys, time), [*keys, time]).select(*keys, time, "target", F.col("p").alias("a"), F.lit(0.0).alias("b"))
+    then = shares.withColumnRenamed(time, "_prev").join(before, [*keys, "_prev"]).select(*keys, time, "target", F.lit(0.0).alias("a"), F.col("p").alias("b"))
+    both = now.unionByName(then).groupBy(*keys, time, "target").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    m = (F.col("a") + F.col("b")) / 2
+    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
+    return both.groupBy(*keys, time).agg((F.sum(part("a") + part("b")) / 2).alias("jsd"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrove.operators.windows import MAD_SCALE
@@ -43,3 +43,35 @@ def laplacian(samples: DataFrame, at: list[str]) -> DataFrame:
     near = samples.select(*at, "lead", F.explode(F.array(F.col("number") - 1, F.col("number") + 1)).alias("number"), "value")
     mean = near.groupBy(*at, "lead", "number").agg(F.avg("value").alias("_near"))
     return samples.join(mean, [*at, "lead", "number"], "left").withColumn("value", F.col("value") - F.coalesce("_near", F.lit(0.0))).drop("_near")
+
+
+def completed_contacts(contacts: DataFrame, fits: DataFrame, keys: list[str], max_rmse: float = 2.5, step: tuple[float, float] = (0.5, 15.0)) -> DataFrame:
+    """``contacts`` with missing coordinates filled from their lead's linear fit (``stats.lead_fits``) and ``filled``.
+
+    A lead's fit counts if its RMS error is at most ``max_rmse`` and its step between contacts lies in ``step``; only
+    contacts at most one number outside the localised ones are filled, to 6 decimals.
+    """
+    length = F.sqrt(sum((F.col(f"slope_{x}") * F.col(f"slope_{x}") for x in ("mni_x", "mni_y", "mni_z")), F.lit(0.0)))
+    good = fits.where((F.col("rmse") <= max_rmse) & length.between(*step)).drop("n", "rmse")
+    joined = contacts.join(good, [*keys, "lead"], "left")
+    missing = F.col("mni_x").isNull() | F.col("mni_y").isNull() | F.col("mni_z").isNull()
+    near = missing & F.col("number").between(F.col("lowest") - 1, F.col("highest") + 1)
+    out = joined.withColumn("filled", F.coalesce(near, F.lit(False)))
+    return out.withColumns({x: F.when(F.col("filled"), F.round(F.col(f"intercept_{x}") + F.col(f"slope_{x}") * F.col("number"), 6)).otherwise(F.col(x)) for x in ("mni_x", "mni_y", "mni_z")}).select(*contacts.columns, "filled")
+
+
+def with_label_match(rows: DataFrame, reference: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
+    """``rows`` with ``value`` of the reference row of the same keys and label: letter for letter, else by ``label_key``.
+
+    A key of several reference rows that disagree gives no value.
+    """
+    one = lambda df, on, name: df.groupBy(*keys, on.alias("_on")).agg(F.when(F.count_distinct(value) <= 1, F.min(value)).alias(name))
+    exact, loose = one(reference, F.col(label), "_exact"), one(reference, label_key(F.col(label)), "_loose")
+    first = rows.withColumn("_on", F.col(label)).join(exact, [*keys, "_on"], "left").drop("_on")
+    return first.withColumn("_on", label_key(F.col(label))).join(loose, [*keys, "_on"], "left").withColumn(value, F.coalesce("_exact", "_loose")).drop("_on", "_exact", "_loose")
+
+
+def label_key(label: Column) -> Column:
+    """A channel label without amplifier prefix, reference, signs and leading zeros of its numbers, in upper case."""
+    bare = F.regexp_replace(F.regexp_replace(label, r"^(?i)pol\s+", ""), r"(?i)[-/_ ]*ref$", "")
+    return F.regexp_replace(F.regexp_replace(F.upper(bare), "[^A-Z0-9]", ""), "(^|[^0-9])0+([0-9])", "$1$2")

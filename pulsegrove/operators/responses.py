@@ -58,3 +58,25 @@ def calls(epoched: DataFrame, base: tuple[int, int], reply: tuple[int, int], lev
 def over_windows(tested: DataFrame, unit: list[str], windows: int, p: str) -> DataFrame:
     """unit, p_any: the smallest p over a fixed bank of ``windows``, times their number, at most 1; a missing window counts as 1."""
     return tested.groupBy(*unit).agg(F.least(F.lit(1.0), windows * F.coalesce(F.min(p), F.lit(1.0))).alias("p_any"))
+
+
+def early_late_z(waveform: DataFrame, base: tuple[int, int], early: tuple[int, int], late: tuple[int, int], level: float = 6.0) -> DataFrame:
+    """channel, early_z, late_z, reversal, significant: the largest deviations of the mean response (channel, offset, mean)
+    from its baseline mean, in baseline deviations; significant if either reaches ``level`` and the response changes sign."""
+    prior = F.col("offset").between(*base)
+    stats = waveform.groupBy("channel").agg(F.avg(F.when(prior, F.col("mean"))).alias("_m"), (F.stddev_samp(F.when(prior, F.col("mean"))) + EPS).alias("_s"))
+    z = waveform.join(stats, "channel").withColumn("z", (F.col("mean") - F.col("_m")) / F.col("_s"))
+    inside = lambda span: F.max(F.when(F.col("offset").between(*span), F.abs("z")))
+    both = F.when(F.col("offset").between(early[0], late[1]), F.col("z"))
+    out = z.groupBy("channel").agg(inside(early).alias("early_z"), inside(late).alias("late_z"), F.coalesce((F.min(both) <= -1) & (F.max(both) >= 1), F.lit(False)).alias("reversal"))
+    return out.withColumn("significant", F.coalesce((F.greatest("early_z", "late_z") >= level) & F.col("reversal"), F.lit(False)))
+
+
+def zero_artifacts(envelope: DataFrame, base: tuple[int, int], level: float = 6.0) -> DataFrame:
+    """epoch, z, artifact: the envelope (epoch, offset, envelope) at offset 0 in robust deviations of its baseline."""
+    prior = envelope.where(F.col("offset").between(*base))
+    middle = prior.groupBy("epoch").agg(F.median("envelope").alias("_m"))
+    spread = prior.join(middle, "epoch").groupBy("epoch").agg(F.median(F.abs(F.col("envelope") - F.col("_m"))).alias("_d"))
+    at = envelope.where("offset = 0").join(middle, "epoch").join(spread, "epoch")
+    z = (F.col("envelope") - F.col("_m")) / F.when(F.col("_d") > 1e-9, F.col("_d") * 1.4826).otherwise(1.0)
+    return at.select("epoch", z.alias("z"), (z >= level).alias("artifact"))

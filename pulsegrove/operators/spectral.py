@@ -110,3 +110,20 @@ def wavelet_power(epochs: DataFrame, channel: str, rate: float, freqs: list[floa
     unit = lambda part: F.avg(F.when(size > 0, part / size))
     out = cells.groupBy(channel, frequency.alias("freq"), (F.col("_i") % F.col("_n")).alias("k"))
     return out.agg(F.avg(size * size).alias("power"), F.sqrt(F.pow(unit(re), F.lit(2)) + F.pow(unit(im), F.lit(2))).alias("itc"))
+
+
+def notched(epochs: DataFrame, line: float, width: float, rate: float, top: float = 0.98) -> DataFrame:
+    """``epochs`` with ``y`` without the line frequency and its harmonics below ``top`` of half the rate, without phase."""
+    sections = [kernels.notch(f, width, rate) for f in np.arange(line, top * rate / 2, line)]
+    return epochs.withColumn("y", array_udf(lambda x: kernels.filtered(sections, x))("y"))
+
+
+def decimated(epochs: DataFrame, factor: int) -> DataFrame:
+    """``epochs`` with every ``factor``-th sample of ``y``, after a phaseless low-pass at 0.8 of the new half rate."""
+    sections = kernels.butterworth(8, None, 0.8 / (2 * factor), 1.0)
+    return epochs.withColumn("y", array_udf(lambda x: kernels.filtered(sections, x)[:, ::factor])("y"))
+
+
+def resampled(epochs: DataFrame, up: int, down: int) -> DataFrame:
+    """``epochs`` with ``y`` at up/down times its rate."""
+    return epochs.withColumn("y", array_udf(lambda x: kernels.resampled(x, up, down))("y"))

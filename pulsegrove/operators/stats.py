@@ -195,3 +195,16 @@ def slope_permutation(df: DataFrame, keys: list[str], x: str, y: str, draws: int
     steep = left.join(right, [*keys, "draw", "_at"]).groupBy(*keys, "draw").agg(F.regr_slope("y", "x").alias("s"))
     counted = steep.join(base, keys).groupBy(*keys).agg(F.sum((F.abs("s") >= F.abs("slope") - 1e-12).cast("long")).alias("_hits"), F.count("s").alias("_draws"))
     return base.join(counted, keys, "left").select(*keys, "n", "slope", "r2", F.when(F.col("slope").isNotNull(), (1 + F.col("_hits")) / (1 + F.col("_draws"))).alias("p"))
+
+
+def latency_gradient(df: DataFrame, keys: list[str], latency: str, axes: list[str]) -> DataFrame:
+    """keys, n, slopes, gradient (latency per unit of space), speed (1 / gradient), unit vector and status of a plane wave.
+
+    Status: ok, too_few (under one row more than there are unknowns), flat (no single plane fits).
+    """
+    fit = linear_fit(df, keys, latency, axes)
+    size = F.sqrt(sum((F.col(f"slope_{a}") * F.col(f"slope_{a}") for a in axes), F.lit(0.0)))
+    few = F.col("n") < len(axes) + 2
+    status = F.when(few, "too_few").when(size.isNull() | (size == 0), "flat").otherwise("ok")
+    keep = lambda x: F.when(status == "ok", x)
+    return fit.select(*keys, "n", *(keep(F.col(f"slope_{a}")).alias(f"slope_{a}") for a in axes), keep(size).alias("gradient"), keep(1 / F.nullif(size, F.lit(0.0))).alias("speed"), *(keep(F.col(f"slope_{a}") / F.nullif(size, F.lit(0.0))).alias(f"unit_{a}") for a in axes), status.alias("status"))

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrove.operators import connectivity, detections, directed, epoching, intervals, montage, quality, responses, spectral, stats, windows
+from pulsegrove.plans import pipeline
 from pulsegrove.plans import tables as P
 from pulsegrove.session import table
+from pulsegrove.sources import tables as source_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -352,9 +354,7 @@ def sign_flips(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT elec_label, regexp_replace(regexp_replace(upper(regexp_replace(regexp_replace(elec_label, '^(?i)pol\\s+', ''), '(?i)[-/_ ]*ref$', '')), '[^A-Z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS label_key, count(*) AS n
 FROM electrode_metadata WHERE elec_label IS NOT NULL GROUP BY 1, 2""")
 def label_keys(spark: SparkSession, d: str) -> DataFrame:
-    bare = F.regexp_replace(F.regexp_replace("elec_label", r"^(?i)pol\s+", ""), r"(?i)[-/_ ]*ref$", "")
-    key = F.regexp_replace(F.regexp_replace(F.upper(bare), "[^A-Z0-9]", ""), "(^|[^0-9])0+([0-9])", "$1$2")
-    return table(spark, d, "electrode_metadata").where("elec_label is not null").groupBy("elec_label", key.alias("label_key")).agg(F.count("*").alias("n"))
+    return table(spark, d, "electrode_metadata").where("elec_label is not null").groupBy("elec_label", montage.label_key(F.col("elec_label")).alias("label_key")).agg(F.count("*").alias("n"))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -469,3 +469,55 @@ def hubs_authorities(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def distance_gradients(spark: SparkSession, d: str) -> DataFrame:
     return stats.slope_permutation(P.contacts(spark, d), ["patient"], "number", "mni_x", 199, 5)
+
+
+@query(f"""WITH {P.SQL_EPOCHED}, m AS (SELECT channel, "offset", avg(value) AS mean FROM epoched GROUP BY 1, 2), b AS (SELECT channel, avg(mean) AS bm, stddev_samp(mean) + 1e-12 AS bs FROM m WHERE "offset" BETWEEN -6 AND -1 GROUP BY 1),
+z AS (SELECT channel, "offset", (mean - bm) / bs AS z FROM m JOIN b USING (channel)), r AS (SELECT channel, max(abs(z)) FILTER (WHERE "offset" BETWEEN 1 AND 3) AS e, max(abs(z)) FILTER (WHERE "offset" BETWEEN 3 AND 12) AS l,
+coalesce(min(z) FILTER (WHERE "offset" BETWEEN 1 AND 12) <= -1 AND max(z) FILTER (WHERE "offset" BETWEEN 1 AND 12) >= 1, false) AS reversal FROM z GROUP BY 1)
+SELECT channel, round(e, 6) AS early_z, round(l, 6) AS late_z, reversal, greatest(e, l) >= 2 AND reversal AS significant FROM r""")
+def early_late_z(spark: SparkSession, d: str) -> DataFrame:
+    return responses.early_late_z(epoching.mean_waveform(P.epoched(spark, d)), (-6, -1), (1, 3), (3, 12), 2.0)
+
+
+@query(f"""WITH {P.SQL_EPOCHED}, e AS (SELECT epoch, "offset", CASE WHEN count(value) > 2 THEN quantile_cont(abs(value), 0.95) ELSE max(abs(value)) END AS v FROM epoched GROUP BY 1, 2),
+m AS (SELECT epoch, median(v) AS m FROM e WHERE "offset" BETWEEN -6 AND -1 GROUP BY 1), s AS (SELECT epoch, median(abs(v - m)) AS d FROM e JOIN m USING (epoch) WHERE "offset" BETWEEN -6 AND -1 GROUP BY 1),
+z AS (SELECT epoch, (v - m) / CASE WHEN d > 1e-9 THEN d * 1.4826 ELSE 1 END AS z FROM e JOIN m USING (epoch) JOIN s USING (epoch) WHERE "offset" = 0) SELECT epoch, round(z, 6) AS z, z >= 6 AS artifact FROM z""")
+def zero_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    return responses.zero_artifacts(epoching.artifact_envelope(P.epoched(spark, d)), (-6, -1))
+
+
+@query(f"""WITH {P.SQL_TRADE}, e AS (SELECT source, month, target, sum(weight) AS weight FROM trade GROUP BY 1, 2, 3)
+SELECT source, CAST(month AS DATE) AS month, target, round(weight, 4) AS weight, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source, month ORDER BY weight DESC, target) AS INTEGER) AS rank FROM e) WHERE rank <= 2""")
+def strongest_over_time(spark: SparkSession, d: str) -> DataFrame:
+    return directed.strongest_over_time(P.trade(spark, d), "month", 2).withColumn("weight", _round("weight", 4))
+
+
+@query(f"""WITH {P.SQL_TRADE}, w AS (SELECT source, month, target, sum(weight) AS w FROM trade GROUP BY 1, 2, 3), t AS (SELECT source, month, sum(w) AS t FROM w GROUP BY 1, 2), b AS (SELECT *, lag(month) OVER (PARTITION BY source ORDER BY month) AS prev FROM t),
+p AS (SELECT source, month, target, w / t AS p FROM w JOIN t USING (source, month)), k AS (SELECT b.source, b.month, b.prev, x.target FROM b JOIN p x ON x.source = b.source AND x.month IN (b.month, b.prev) WHERE prev IS NOT NULL GROUP BY ALL),
+j AS (SELECT k.source, k.month, coalesce(a.p, 0) AS a, coalesce(c.p, 0) AS c FROM k LEFT JOIN p a ON a.source = k.source AND a.month = k.month AND a.target = k.target LEFT JOIN p c ON c.source = k.source AND c.month = k.prev AND c.target = k.target)
+SELECT source, CAST(month AS DATE) AS month, round(sum(CASE WHEN a > 0 THEN a * log2(a / ((a + c) / 2)) ELSE 0 END + CASE WHEN c > 0 THEN c * log2(c / ((a + c) / 2)) ELSE 0 END) / 2, 6) AS jsd FROM j GROUP BY 1, 2""")
+def target_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return directed.target_divergence(P.trade(spark, d), ["source"], "month")
+
+
+@query()
+def completed_contacts(spark: SparkSession, d: str) -> DataFrame:
+    contacts = P.contacts(spark, d)
+    return montage.completed_contacts(contacts, stats.lead_fits(contacts, ["patient"]), ["patient"], 60.0, (0.0, 1000.0))
+
+
+@query()
+def latency_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return stats.latency_gradient(P.contacts(spark, d).withColumn("number", F.col("number").cast("double")), ["patient"], "number", ["mni_x", "mni_y", "mni_z"])
+
+
+@query()
+def decimated_vectors(spark: SparkSession, d: str) -> DataFrame:
+    out, name = pipeline.run(_packed(spark, d), [("bandpass", {"low": 1.0, "high": 20.0}), ("decimate", {"factor": 2})], RATE)
+    return out.select("vec_id", F.lit(name).alias("pipeline"), F.posexplode("y").alias("k", "value"))
+
+
+@query("""SELECT stim_pair AS written, CASE WHEN regexp_matches(stim_pair, '^\\s*([A-Za-z]+)0*([0-9]+)\\s*[-_/ ]\\s*([A-Za-z]*)0*([0-9]+)\\s*$') AND regexp_extract(stim_pair, '^\\s*([A-Za-z]+)0*([0-9]+)\\s*[-_/ ]\\s*([A-Za-z]*)0*([0-9]+)\\s*$', 3) IN ('', regexp_extract(stim_pair, '^\\s*([A-Za-z]+)', 1))
+THEN regexp_replace(stim_pair, '^\\s*([A-Za-z]+)0*([0-9]+)\\s*[-_/ ]\\s*([A-Za-z]*)0*([0-9]+)\\s*$', '\\1_\\2_\\4') ELSE trim(stim_pair) END AS stim_pair, count(*) AS n FROM stim_metadata WHERE stim_pair IS NOT NULL GROUP BY 1, 2""")
+def stim_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "stim_metadata").where("stim_pair is not null").groupBy(F.col("stim_pair").alias("written"), source_tables.stim_pair(F.col("stim_pair")).alias("stim_pair")).agg(F.count("*").alias("n"))

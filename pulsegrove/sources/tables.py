@@ -78,3 +78,15 @@ def stim_table(events: DataFrame) -> DataFrame:
     """file, stim_pair, stim_start, stim_stop, stim_freq (1 / median interval), n of BIDS events."""
     gaps = events.withColumn("gap", F.col("onset") - F.lag("onset").over(Window.partitionBy("file", "stim_pair").orderBy("onset")))
     return gaps.groupBy("file", "stim_pair").agg(F.min("onset").alias("stim_start"), F.max("onset").alias("stim_stop"), (1 / F.median(F.when(F.col("gap") > 0, F.col("gap")))).alias("stim_freq"), F.count("*").alias("n"))
+
+
+def bids_recordings(spark: SparkSession, root: str) -> DataFrame:
+    """path, subject, session, task, suffix of the recordings below ``root``; an .eeg file counts only through its .vhdr.
+
+    The listing is Spark's own; no file is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    entity = lambda key: F.nullif(F.regexp_extract(name, f"(?:^|_){key}-([A-Za-z0-9]+)", 1), F.lit(""))
+    kept = files.where(name.rlike(r"_ieeg\.(vhdr|edf|bdf|nwb)$"))
+    return kept.select("path", entity("sub").alias("subject"), entity("ses").alias("session"), entity("task").alias("task"), F.regexp_extract(name, r"\.([a-z]+)$", 1).alias("suffix"))
