@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrove.functions.field_names import ALIASES
+from pulsegrove.functions.units import FACTORS, PREFIXES, VOLT
 from pulsegrove.operators import schema_drift, time_normalize, unit_normalize
 from pulsegrove.session import table
 
@@ -49,4 +51,30 @@ def p6_electrode(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {x.__name__: x for x in (p1_found, p1_peaks, p2_found, p2_times, p6_found, p6_versions, p6_raw, p6_stim, p6_electrode)}
-ORACLES: dict[str, str] = {}
+
+
+def _unit_sql(text: str) -> str:
+    """The picovolts of a unit that makes up a whole field."""
+    low = f"replace(lower(trim({text})), 'µ', 'μ')"
+    cases = " ".join(f"WHEN regexp_matches({low}, '^({'|'.join(prefixes)})[-_ ]?({'|'.join(VOLT)})$') THEN {FACTORS[code]}" for code, prefixes in PREFIXES.items())
+    return f"CASE {cases} END"
+
+
+NUMBER_SQL = "'^\\s*([-+]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][-+]?[0-9]+)?)(.*)$'"
+ALIASES_SQL = ", ".join(f"('{kind}', '{x}', '{field}')" for kind, fields in ALIASES.items() for field, names in fields.items() for x in [field.replace("_", ""), *names])
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH a AS (SELECT summary_id, regexp_extract(max_peak_abs, {NUMBER_SQL}, 1) AS num, CAST(coalesce({_unit_sql(f"regexp_extract(max_peak_abs, {NUMBER_SQL}, 2)")}, {_unit_sql("a.voltage_unit")},
+CASE WHEN value_scale_to_uv > 0 AND NOT isnan(value_scale_to_uv) THEN CAST(round(value_scale_to_uv * 1e6) AS BIGINT) END, {_unit_sql("signal_units")}, {_unit_sql("m.voltage_unit")}) AS BIGINT) AS unit_pv
+FROM artifact_summary a LEFT JOIN raw_metadata USING (raw_id) LEFT JOIN n1_models m ON m.model_id = a.model_id) SELECT summary_id, unit_pv FROM a WHERE num <> '' AND unit_pv <> 1000000""",
+    "p6_found": f"""WITH al(kind, bare, field) AS (VALUES {ALIASES_SQL}), k AS (SELECT r.file_id, kind, payload, unnest(json_keys(payload)) AS name FROM metadata_rows r JOIN metadata_files f ON f.file_id = r.file_id),
+t AS (SELECT file_id, kind, name, json_type(json_extract(payload, '$."' || name || '"')) AS ty FROM k),
+n AS (SELECT file_id, coalesce(field, name) AS field, name, CASE ty WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS ty
+FROM t LEFT JOIN al ON al.kind = t.kind AND al.bare = lower(regexp_replace(name, '[^0-9A-Za-z]', '', 'g'))),
+g AS (SELECT file_id, field, list_sort(list(DISTINCT name)) AS names, coalesce(list_sort(list(DISTINCT ty) FILTER (WHERE ty IS NOT NULL)), []) AS types FROM n GROUP BY 1, 2),
+o AS (SELECT file_id, lag(file_id) OVER (PARTITION BY stream_id ORDER BY exported_at, file_id) AS prev FROM metadata_files),
+p AS (SELECT o.file_id, o.prev, g.field FROM o JOIN g ON g.file_id = o.file_id OR g.file_id = o.prev WHERE o.prev IS NOT NULL GROUP BY 1, 2, 3),
+j AS (SELECT p.file_id, p.field, a.names AS n1, b.names AS n0, a.types AS t1, b.types AS t0 FROM p LEFT JOIN g a ON a.file_id = p.file_id AND a.field = p.field LEFT JOIN g b ON b.file_id = p.prev AND b.field = p.field)
+SELECT file_id, field AS field_name, 'added' AS change_kind FROM j WHERE n0 IS NULL UNION ALL SELECT file_id, field, 'removed' FROM j WHERE n1 IS NULL UNION ALL SELECT file_id, field, 'renamed' FROM j WHERE n0 <> n1
+UNION ALL SELECT file_id, field, 'retyped' FROM j WHERE len(t0) > 0 AND len(t1) > 0 AND t0 <> t1""",
+}

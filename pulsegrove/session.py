@@ -18,6 +18,6 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``. Only a session that has none, as in tests, gets one of its own.
     """
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
