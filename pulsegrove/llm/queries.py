@@ -80,4 +80,23 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {x.__name__: x for x in (p3_found, p3_unmatched, p4_found, p4_raters, p4_consensus, p5_found, p5_splits, p7_ids, p7_roundtrip, p8_containers, p8_summary, p9_found, p9_levels)}
-ORACLES: dict[str, str] = {}
+
+
+def _code_sql(text: str, site: str | None = None) -> str:
+    """SITE|number of a subject or code, as ``splits.parsed_code`` reads it."""
+    low, code, number = f"lower(trim({text}))", "'^(?:sub[-_ ]?)?([a-z]{4})[-_ ]?([0-9]{1,12})$'", "'^(?:sub[-_ ]?)?p?[-_ ]?([0-9]{1,12})$'"
+    whole = f"WHEN regexp_matches({low}, {code}) THEN upper(regexp_extract({low}, {code}, 1)) || '|' || CAST(regexp_extract({low}, {code}, 2) AS BIGINT)"
+    alone = f"WHEN regexp_matches({low}, {number}) THEN upper(trim({site})) || '|' || CAST(regexp_extract({low}, {number}, 1) AS BIGINT)" if site else ""
+    return f"CASE {whole} {alone} END"
+
+
+ORACLES: dict[str, str] = {
+    "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "p5_found": f"""WITH RECURSIVE own AS (SELECT participant_key AS k, {_code_sql("participant_id")} AS code FROM participants),
+former AS (SELECT participant_key AS k, {_code_sql("former_id")} AS code FROM participants),
+uses AS (SELECT {_code_sql("subject", "site")} AS code, lower(regexp_replace(recording_uid, '[^0-9A-Za-z]', '', 'g')) AS uid FROM family_coverage),
+tok AS (SELECT k, 'c' || code AS t FROM own UNION SELECT k, 'c' || code FROM former WHERE split_part(code, '|', 1) IN (SELECT upper(trim(site)) FROM sites)
+UNION SELECT k, 'u' || uid FROM uses JOIN own USING (code) WHERE regexp_matches(uid, '^[0-9a-f]{{24}}$') AND uid <> repeat(uid[1], 24)),
+e AS (SELECT DISTINCT x.k AS a, y.k AS b FROM tok x JOIN tok y ON x.t = y.t AND x.k <> y.k), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS participant_key_a, b AS participant_key_b FROM r WHERE a < b""",
+}

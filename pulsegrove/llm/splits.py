@@ -16,7 +16,7 @@ subject are on one side whatever their stimpair; empty tables give empty tables;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrove.session import cut
@@ -159,6 +159,16 @@ def increments(participants: DataFrame, coverage: DataFrame, sites: DataFrame, u
     return rows, state
 
 
+def save_state(state: DataFrame, path: str, version: int) -> None:
+    """Persists the component table as a version of its own; a version is written whole or not at all, and never again."""
+    state.select("entity", "component", "split", "status").write.mode("errorifexists").parquet(f"{path}/version={version:06d}")
+
+
+def load_state(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A persisted component table, to go on from with ``merge`` and ``assign``."""
+    return spark.read.parquet(f"{path}/version={version:06d}")
+
+
 def split_rows(rows: DataFrame, state: DataFrame) -> DataFrame:
     """coverage_id, entity, component, split, status of each coverage row."""
     return rows.select("coverage_id", "entity").join(state, "entity", "left").select("coverage_id", "entity", "component", "split", "status")

@@ -44,6 +44,16 @@ def test_increments_keep_splits_and_quarantine_conflicts(spark):
     assert got[5][2] == "new" and got[5][1] in splits.SPLITS
 
 
+def test_state_is_persisted(spark, tmp_path):
+    first = splits.assign(splits.merge(None, spark.createDataFrame([(1,), (2,)], "entity long"), spark.createDataFrame([], "entity long, token string")), spark.createDataFrame([(1, 1), (2, 1)], "entity long, weight long"))
+    splits.save_state(first, str(tmp_path), 1)
+    old = splits.load_state(spark, str(tmp_path), 1)
+    merged = splits.merge(old, spark.createDataFrame([(3,)], "entity long"), spark.createDataFrame([(2, "a"), (3, "a")], "entity long, token string"))
+    new = {r.entity: (r.split, r.status) for r in splits.assign(merged, spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "entity long, weight long")).collect()}
+    before = {r.entity: r.split for r in old.collect()}
+    assert new == {1: (before[1], "kept"), 2: (before[2], "kept"), 3: (before[2], "kept")}
+
+
 def test_components_equal_union_find_and_shares_are_kept(spark):
     rng = np.random.default_rng(4)
     n = 1500
