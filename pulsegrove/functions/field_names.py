@@ -39,7 +39,7 @@ ALIASES = {
     },
 }
 #: How a field's values are brought to one type; fields that are not named here stay texts.
-CASTS = {x: "number" for x in ("sampling_freq", "value_scale_to_uv", "stim_freq", "amplitude_ma", "pulse_width_us", "mni_x", "mni_y", "mni_z")} | {"bad_channel": "flag", "stim_pair": "pair", "elec_label": "label"}
+CASTS = {x: "number" for x in ("sampling_freq", "value_scale_to_uv", "stim_freq", "amplitude_ma", "pulse_width_us", "mni_x", "mni_y", "mni_z")} | {"bad_channel": "flag", "stim_pair": "pair", "elec_label": "label"} | {x: "time" for x in ("start_time", "stop_time", "stim_start", "stim_stop")}
 
 
 def bare(name: Column) -> Column:

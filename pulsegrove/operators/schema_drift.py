@@ -18,18 +18,20 @@ from pyspark.sql import functions as F
 
 from pulsegrove.functions.field_names import ALIASES, CASTS, alias_table, bare
 from pulsegrove.operators.in_order import with_previous
+from pulsegrove.sources.tables import stim_pair
 
 NUMBER_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL.*|FLOAT|DOUBLE)$"
 
 
-def record_fields(rows: DataFrame) -> DataFrame:
-    """row_id, file_id, name, type (null for a null value), value: a row for each name in each readable payload."""
+def record_fields(rows: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """row_id, file_id, ``kept``, name, type (null for a null value), value: a row for each name in each readable payload."""
+    kept = kept or []
     spark = rows.sparkSession
     kind = F.schema_of_variant("value")
-    named = rows.select("row_id", "file_id", F.try_parse_json("payload").alias("_v")).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+    named = rows.select("row_id", "file_id", *kept, F.try_parse_json("payload").alias("_v")).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
     named = named.where(F.col("key").isNotNull())
     json_type = F.when(kind.rlike(NUMBER_TYPE), "number").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
-    return named.select("row_id", "file_id", F.col("key").alias("name"), json_type.alias("type"), F.col("value").cast("string").alias("value"))
+    return named.select("row_id", "file_id", *kept, F.col("key").alias("name"), json_type.alias("type"), F.col("value").cast("string").alias("value"))
 
 
 def file_fields(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -86,12 +88,22 @@ def changes(rows: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("file_id", F.col("field").alias("field_name"), F.explode(found).alias("change_kind"))
 
 
+def rename_steps(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, renames: each file's steps from the names it uses to the fields they stand for, as a map.
+
+    A map has as many entries as a file has names.
+    """
+    steps = file_fields(rows, files).select("file_id", F.struct("name", "field").alias("step"))
+    return steps.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list("step"))).alias("renames"))
+
+
 def migrate(rows: DataFrame, files: DataFrame, kind: str) -> DataFrame:
-    """row_id, file_id, line_no, readable and the kind's fields: each record of one kind through rename, cast and default."""
+    """row_id, file_id, line_no, readable and the kind's fields: each record of one kind through its file's rename steps,
+    the defaults (null) of fields that the file has not, and the casts."""
     fields = list(ALIASES[kind])
-    aliases = F.broadcast(alias_table(rows.sparkSession).where(F.col("kind") == kind).select("bare_name", "field"))
     own = rows.join(files.where(F.col("kind") == kind).select("file_id"), "file_id", "left_semi")
-    renamed = record_fields(own).withColumn("bare_name", bare(F.col("name"))).join(aliases, "bare_name")
+    routed = own.select("row_id", "file_id", "payload").join(rename_steps(own, files), "file_id")
+    renamed = record_fields(routed, ["renames"]).withColumn("field", F.try_element_at("renames", F.col("name"))).where(F.col("field").isin(fields))
     one = renamed.groupBy("row_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields))
     base = own.select("row_id", "file_id", "line_no", (F.coalesce(F.schema_of_variant(F.try_parse_json("payload")), F.lit("")).startswith("OBJECT")).alias("readable"))
     return base.join(one, "row_id", "left").select("row_id", "file_id", "line_no", "readable", *(cast_field(f).alias(f) for f in fields))
@@ -110,5 +122,10 @@ def cast_field(field: str):
         parts = F.regexp_extract_all(text, F.lit(r'(?<=[\[{,:])\s*"?([A-Za-z]+[0-9]*|[0-9]+)"?(?=\s*[,}\]])'), 1)
         # an object's keys are in no order: a lead's name goes before its contact's number, a pair's anode comes first by key
         joined = F.array_join(F.reverse(F.array_sort(parts)), "") if rule == "label" else F.array_join(parts, "-")
-        return F.when(text.rlike(r"^[\[{]"), joined).otherwise(F.nullif(F.trim(text), F.lit("")))
+        plain = F.when(text.rlike(r"^[\[{]"), joined).otherwise(F.nullif(F.trim(text), F.lit("")))
+        return stim_pair(plain) if rule == "pair" else plain
+    if rule == "time":
+        # seconds since 1970 as the same kind of text as the other times; other numbers count from a start and stay
+        since = F.expr(f"timestampadd(SECOND, try_cast({field} AS bigint), timestamp_ntz'1970-01-01 00:00:00')")
+        return F.when(text.rlike(r"^\s*\d{10}\s*$"), F.regexp_replace(since.cast("string"), " ", "T")).otherwise(F.nullif(F.trim(text), F.lit("")))
     return F.nullif(F.trim(text), F.lit(""))

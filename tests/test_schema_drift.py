@@ -34,7 +34,7 @@ def test_changes_against_the_file_before(spark):
     raw = {x.row_id: x for x in schema_drift.migrate(r, f, "raw").collect()}
     assert len(raw) == 7 and raw[0].sampling_freq == 512 and raw[5].sampling_freq == 512 and raw[6].sampling_freq == 512_000 and raw[6].patient_id == "3"
     assert not raw[2].readable and not raw[3].readable and not raw[4].readable and raw[2].patient_id is None
-    assert [x.stim_pair for x in schema_drift.migrate(r, f, "stim").orderBy("row_id").collect()] == ["A1-A2", "A1-A2"]
+    assert [x.stim_pair for x in schema_drift.migrate(r, f, "stim").orderBy("row_id").collect()] == ["A_1_2", "A_1_2"]
     steps = {x.file_id: (x.steps, x.same_as_before) for x in schema_drift.versions(r, f).collect()}
     assert "rename fs to sampling_freq" in steps[9][0] and "cast sampling_freq to number" in steps[9][0] and "default raw_file" in steps[9][0]
     assert steps[5][1] is None and steps[2][1] is False
@@ -46,6 +46,12 @@ def test_labels_in_objects(spark):
     assert [x.elec_label for x in out.collect()] == ["RTPOLE7", "LAMYG3", "LCINA4", None]
 
 
+def test_times_and_pairs_have_one_form(spark):
+    rows = [(1, 1, json.dumps({"stim_start": a, "stim_pair": b})) for a, b in ((1709607845, "LTG1-LTG2"), ("2024-03-05T03:04:05", ["LTG1", "LTG2"]), (12.5, {"cathode": "LTG2", "anode": "LTG1"}), (None, "LTG_1_2"))]
+    out = schema_drift.migrate(*frames(spark, [(1, "s", "stim", day(0))], rows), "stim").orderBy("row_id").collect()
+    assert [r.stim_start for r in out] == ["2024-03-05T03:04:05", "2024-03-05T03:04:05", "12.5", None] and {r.stim_pair for r in out} == {"LTG_1_2"}
+
+
 def test_empty_tables(spark):
     r, f = frames(spark, [], [])
     assert schema_drift.changes(r, f).count() == 0 and schema_drift.migrate(r, f, "raw").count() == 0 and schema_drift.versions(r, f).count() == 0
