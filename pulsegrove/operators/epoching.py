@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrove.operators.in_order import with_last_known
+from pulsegrove.operators.in_order import with_last_known, with_previous
 
 EPS = 1e-12
 
@@ -82,6 +82,16 @@ def interpolated(samples: DataFrame, block: Column) -> DataFrame:
     return both.withColumn("filled", F.coalesce("value", F.when(p.isNotNull() & n.isNotNull(), line), p["value"], n["value"])).drop("_p", "_n")
 
 
+def bridged(samples: DataFrame, session: str, block: Column) -> DataFrame:
+    """``samples`` with values and rows on the line between each two neighbours of a channel and session; none beyond the ends."""
+    known = samples.where("value is not null").select(session, "channel", "k", "value")
+    pairs = with_previous(known, [session, "channel"], block, ["k"], F.struct("k", "value"), "_p")
+    p = F.col("_p")
+    steps = pairs.withColumn("_k", F.explode(F.when(p.isNull(), F.array("k")).otherwise(F.sequence(p["k"] + 1, F.col("k")))))
+    line = F.when(F.col("_k") == F.col("k"), F.col("value")).otherwise(p["value"] + (F.col("value") - p["value"]) * (F.col("_k") - p["k"]) / (F.col("k") - p["k"]))
+    return steps.select(session, "channel", F.col("_k").alias("k"), line.alias("value"))
+
+
 def blanked(samples: DataFrame, events: DataFrame, before: int, after: int, block: Column) -> DataFrame:
     """``samples`` with ``filled``: values from ``before`` steps ahead of any event k to ``after`` past it bridged linearly."""
     hit = events.select(F.explode(F.sequence(F.col("k") - before, F.col("k") + after)).alias("k")).distinct().withColumn("_hit", F.lit(True))

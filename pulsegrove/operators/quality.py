@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrove.operators.in_order import with_running_sum
 from pulsegrove.operators.windows import robust_scores
 
 # Cut-offs of the gate; a fraction at its cut-off fails.
@@ -79,5 +80,7 @@ def reject(epoched: DataFrame, bad: DataFrame, mode: str) -> DataFrame:
     kept = epoched.join(share.where(F.col("share") >= MAX_BAD if mode == "epoch" else F.col("share") > MAX_BAD), unit, "left_anti")
     if mode == "channel":
         return kept
-    numbers = kept.select("epoch").distinct().withColumn("_new", F.dense_rank().over(Window.orderBy("epoch")) - 1)
-    return kept.join(numbers, "epoch").withColumn("epoch", F.col("_new")).drop("_new")
+    # numbers by block, as there may be as many epochs as events
+    each = kept.select("epoch").distinct().withColumn("_all", F.lit(1))
+    numbers = with_running_sum(each, "_all", F.floor(F.col("epoch") / 4096), ["epoch"], F.lit(1), "_new").drop("_all")
+    return kept.join(numbers, "epoch").withColumn("epoch", F.col("_new") - 1).drop("_new")

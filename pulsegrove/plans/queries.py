@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +26,25 @@ def _round(column: str, decimals: int = DECIMALS) -> Column:
     return F.round(F.col(f"`{column}`") + SHIFT[decimals], decimals)
 
 
-def query(sql: str | None = None) -> Callable:
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        def rounded(spark: SparkSession, d: str) -> DataFrame:
-            df = f(spark, d)
-            return df.select(*(_round(c).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
+def query(sql: str | None = None, users: SimpleNamespace | None = None) -> Callable:
+    """Registers a query and its SQL. ``users``: also ``.._by_user``, the same over each user's own readings instead of all
+    users' hourly means, whose size is fixed; the function then takes the signal roles as its third argument."""
 
-        QUERIES[f.__name__] = rounded
-        if sql:
-            ORACLES[f.__name__] = re.sub(r", ([46])\)", lambda m: f" + {SHIFT[int(m[1])]}, {m[1]})", sql)
-        return rounded
+    def register(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def under(name: str, text: str | None, *roles: SimpleNamespace) -> Callable[[SparkSession, str], DataFrame]:
+            def rounded(spark: SparkSession, d: str) -> DataFrame:
+                df = f(spark, d, *roles)
+                return df.select(*(_round(c).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
+
+            QUERIES[name] = rounded
+            if text:
+                ORACLES[name] = re.sub(r", ([46])\)", lambda m: f" + {SHIFT[int(m[1])]}, {m[1]})", text)
+            return rounded
+
+        if users:
+            under(f"{f.__name__}_by_user", users.sql(sql), users)
+            return under(f.__name__, sql, P.HOURLY)
+        return under(f.__name__, sql)
 
     return register
 
@@ -44,9 +54,9 @@ def _day(name: str = "k"):
 
 
 @query(f"""WITH {P.SQL_EPOCHED} SELECT channel, "offset", count(value) AS n_trials, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
-round(stddev_samp(value) / sqrt(count(value)), 6) AS sem FROM epoched GROUP BY 1, 2""")
-def epoch_mean_waveform(spark: SparkSession, d: str) -> DataFrame:
-    return epoching.mean_waveform(P.epoched(spark, d))
+round(stddev_samp(value) / sqrt(count(value)), 6) AS sem FROM epoched GROUP BY 1, 2""", users=P.BY_USER)
+def epoch_mean_waveform(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return epoching.mean_waveform(roles.epoched(spark, d))
 
 
 @query(f"""WITH {P.SQL_EPOCHED}, m AS (SELECT channel, "offset", avg(value) AS mean FROM epoched GROUP BY 1, 2),
@@ -54,9 +64,9 @@ b AS (SELECT channel, avg(mean) AS bm, stddev_samp(mean) + 1e-12 AS bs FROM m WH
 p AS (SELECT channel, mean AS peak, "offset" AS latency, row_number() OVER (PARTITION BY channel ORDER BY abs(mean) DESC, "offset") AS r FROM m WHERE "offset" BETWEEN 1 AND 12),
 a AS (SELECT channel, sqrt(avg(mean * mean)) AS rms, sum(abs(mean)) AS area FROM m WHERE "offset" BETWEEN 1 AND 12 GROUP BY 1)
 SELECT p.channel, round(peak, 6) AS peak, latency, round(rms, 6) AS rms, round(area, 6) AS area, round(abs(peak - bm) / bs, 6) AS z, abs(peak - bm) / bs >= 3 AS significant
-FROM p JOIN a USING (channel) JOIN b USING (channel) WHERE r = 1""")
-def epoch_responses(spark: SparkSession, d: str) -> DataFrame:
-    return epoching.responses(epoching.mean_waveform(P.epoched(spark, d)), (-P.BEFORE, -1), (1, P.AFTER), 3.0)
+FROM p JOIN a USING (channel) JOIN b USING (channel) WHERE r = 1""", users=P.BY_USER)
+def epoch_responses(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return epoching.responses(epoching.mean_waveform(roles.epoched(spark, d)), (-P.BEFORE, -1), (1, P.AFTER), 3.0)
 
 
 def _asof(spark: SparkSession, d: str, kind: str, forward: bool) -> DataFrame:
@@ -84,9 +94,9 @@ f AS (SELECT g.channel, g.k, value FROM g LEFT JOIN hourly USING (channel, k)),
 w AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER b AS k0, last_value(value IGNORE NULLS) OVER b AS v0,
 first_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER a AS k1, first_value(value IGNORE NULLS) OVER a AS v1 FROM f
 WINDOW b AS (PARTITION BY channel ORDER BY k ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY channel ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT channel, k, round(value, 6) AS value, round(coalesce(value, v0 + (v1 - v0) * (k - k0) / (k1 - k0)), 6) AS filled FROM w""")
-def signal_interpolated(spark: SparkSession, d: str) -> DataFrame:
-    signal = P.hourly(spark, d)
+SELECT channel, k, round(value, 6) AS value, round(coalesce(value, v0 + (v1 - v0) * (k - k0) / (k1 - k0)), 6) AS filled FROM w""", users=P.BY_TRACE)
+def signal_interpolated(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    signal = roles.signal(spark, d)
     grid = signal.groupBy("channel").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).select("channel", F.explode(F.sequence("lo", "hi")).alias("k"))
     return epoching.interpolated(grid.join(signal, ["channel", "k"], "left"), _day())
 
@@ -140,22 +150,22 @@ def gap_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {P.SQL_HOURLY}, r AS (SELECT channel, k - row_number() OVER (PARTITION BY channel ORDER BY k) AS run FROM hourly WHERE value > 50),
-n AS (SELECT channel, count(*) AS n FROM r GROUP BY channel, run) SELECT h.channel, coalesce(max(n.n), 0) AS longest FROM (SELECT DISTINCT channel FROM hourly) h LEFT JOIN n USING (channel) GROUP BY 1""")
-def longest_runs(spark: SparkSession, d: str) -> DataFrame:
-    return windows.longest_runs(P.hourly(spark, d), "channel", "k", F.col("value") > 50)
+n AS (SELECT channel, count(*) AS n FROM r GROUP BY channel, run) SELECT h.channel, coalesce(max(n.n), 0) AS longest FROM (SELECT DISTINCT channel FROM hourly) h LEFT JOIN n USING (channel) GROUP BY 1""", users=P.BY_TRACE)
+def longest_runs(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return windows.longest_runs(roles.signal(spark, d), "channel", "k", F.col("value") > 50)
 
 
 @query(f"""WITH {P.SQL_EPOCHED}, m AS (SELECT channel, "offset", avg(value) AS mean FROM epoched GROUP BY 1, 2),
 l AS (SELECT *, lag(mean) OVER w AS a, lead(mean) OVER w AS b FROM m WINDOW w AS (PARTITION BY channel ORDER BY "offset"))
-SELECT channel, "offset", round(CASE WHEN a IS NULL THEN b - mean WHEN b IS NULL THEN mean - a ELSE (b - a) / 2 END, 6) AS gradient FROM l""")
-def waveform_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return windows.gradient(epoching.mean_waveform(P.epoched(spark, d)), ["channel"], "offset", "mean").select("channel", "offset", "gradient")
+SELECT channel, "offset", round(CASE WHEN a IS NULL THEN b - mean WHEN b IS NULL THEN mean - a ELSE (b - a) / 2 END, 6) AS gradient FROM l""", users=P.BY_USER)
+def waveform_gradient(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return windows.gradient(epoching.mean_waveform(roles.epoched(spark, d)), ["channel"], "offset", "mean").select("channel", "offset", "gradient")
 
 
 @query(f"""WITH {P.SQL_EPOCHED}, w AS (SELECT channel, epoch, "offset", sum(CASE WHEN abs(value) <= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY channel, epoch ORDER BY "offset" ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS c FROM epoched WHERE "offset" >= 0)
-SELECT channel, epoch, min("offset") FILTER (WHERE c = 3) AS settled_at FROM w GROUP BY 1, 2""")
-def settled_trials(spark: SparkSession, d: str) -> DataFrame:
-    return windows.first_settled(P.epoched(spark, d).where("offset >= 0"), ["channel", "epoch"], "offset", F.abs("value") <= 40, 3)
+SELECT channel, epoch, min("offset") FILTER (WHERE c = 3) AS settled_at FROM w GROUP BY 1, 2""", users=P.BY_USER)
+def settled_trials(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return windows.first_settled(roles.epoched(spark, d).where("offset >= 0"), ["channel", "epoch"], "offset", F.abs("value") <= 40, 3)
 
 
 @query("""SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS smoothed FROM orders""")
@@ -163,21 +173,21 @@ def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
     return windows.rolling_mean(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", 5, "smoothed").select("o_orderkey", "smoothed")
 
 
-@query(f"""WITH {P.SQL_HOURLY} SELECT channel, round(stddev_samp(value), 6) AS std, round(max(value) - min(value), 6) AS ptp, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing, round(median(abs(value)), 6) AS median_abs FROM hourly GROUP BY 1""")
-def channel_features(spark: SparkSession, d: str) -> DataFrame:
-    return quality.channel_features(P.hourly(spark, d))
+@query(f"""WITH {P.SQL_HOURLY} SELECT channel, round(stddev_samp(value), 6) AS std, round(max(value) - min(value), 6) AS ptp, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing, round(median(abs(value)), 6) AS median_abs FROM hourly GROUP BY 1""", users=P.BY_TRACE)
+def channel_features(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return quality.channel_features(roles.signal(spark, d))
 
 
 @query(f"""WITH {P.SQL_EPOCHED}, s AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY epoch, channel ORDER BY "offset")) AS step FROM epoched),
 f AS (SELECT epoch, channel, max(abs(value)) AS peak_abs, max(value) - min(value) AS ptp, max(step) AS max_step, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM s GROUP BY 1, 2)
-SELECT epoch, channel, round(peak_abs, 6) AS peak_abs, round(ptp, 6) AS ptp, round(max_step, 6) AS max_step, round(missing, 6) AS missing FROM f""")
-def trial_features(spark: SparkSession, d: str) -> DataFrame:
-    return quality.trial_features(P.epoched(spark, d)).drop("saturation")
+SELECT epoch, channel, round(peak_abs, 6) AS peak_abs, round(ptp, 6) AS ptp, round(max_step, 6) AS max_step, round(missing, 6) AS missing FROM f""", users=P.BY_USER)
+def trial_features(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return quality.trial_features(roles.epoched(spark, d)).drop("saturation")
 
 
 @query()
 def trial_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return quality.with_reasons(quality.trial_features(P.epoched(spark, d)), 3.0).select("epoch", "channel", F.concat_ws(";", "reasons").alias("reasons"), "bad_response")
+    return quality.with_reasons(quality.trial_features(P.session_epoched(spark, d)), 3.0).select("epoch", "channel", F.concat_ws(";", "reasons").alias("reasons"), "bad_response")
 
 
 SQL_TOTALS = """t AS (SELECT raw_id, sum(n_epochs) AS n, sum(n_bad_response) AS b, sum(n_hard_artifact_response) AS h, sum(n_clean_response) AS c, max(max_saturation_fraction) AS s FROM artifact_summary GROUP BY 1),
@@ -190,34 +200,34 @@ def recording_gate(spark: SparkSession, d: str) -> DataFrame:
     return quality.gated(quality.artifact_totals(table(spark, d, "artifact_summary"), ["raw_id"]))
 
 
-def _bad(spark: SparkSession, d: str) -> DataFrame:
-    return quality.trial_features(P.epoched(spark, d)).where("peak_abs > 60")
+def _bad(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return quality.trial_features(roles.epoched(spark, d)).where("peak_abs > 60")
 
 
 SQL_BAD = """bad AS (SELECT epoch, channel FROM epoched GROUP BY 1, 2 HAVING max(abs(value)) > 60)"""
 
 
-@query(f"""WITH {P.SQL_EPOCHED}, {SQL_BAD} SELECT e.epoch, e.channel, e."offset", round(CASE WHEN bad.epoch IS NULL THEN value END, 6) AS value FROM epoched e LEFT JOIN bad USING (epoch, channel)""")
-def rejected_values(spark: SparkSession, d: str) -> DataFrame:
-    return quality.reject(P.epoched(spark, d), _bad(spark, d), "null").select("epoch", "channel", "offset", "value")
+@query(f"""WITH {P.SQL_EPOCHED}, {SQL_BAD} SELECT e.epoch, e.channel, e."offset", round(CASE WHEN bad.epoch IS NULL THEN value END, 6) AS value FROM epoched e LEFT JOIN bad USING (epoch, channel)""", users=P.BY_USER)
+def rejected_values(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return quality.reject(roles.epoched(spark, d), _bad(spark, d, roles), "null").select("epoch", "channel", "offset", "value")
 
 
 @query(f"""WITH {P.SQL_EPOCHED}, {SQL_BAD}, n AS (SELECT epoch, count(DISTINCT channel) AS n FROM epoched GROUP BY 1), b AS (SELECT epoch FROM bad JOIN n USING (epoch) GROUP BY epoch HAVING count(*) / any_value(n) >= 0.25),
-k AS (SELECT * FROM epoched WHERE epoch NOT IN (SELECT epoch FROM b)) SELECT dense_rank() OVER (ORDER BY epoch) - 1 AS epoch, channel, "offset", round(value, 6) AS value FROM k""")
-def rejected_epochs(spark: SparkSession, d: str) -> DataFrame:
-    return quality.reject(P.epoched(spark, d), _bad(spark, d), "epoch").select(F.col("epoch").cast("long").alias("epoch"), "channel", "offset", "value")
+k AS (SELECT * FROM epoched WHERE epoch NOT IN (SELECT epoch FROM b)) SELECT dense_rank() OVER (ORDER BY epoch) - 1 AS epoch, channel, "offset", round(value, 6) AS value FROM k""", users=P.BY_USER)
+def rejected_epochs(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return quality.reject(roles.epoched(spark, d), _bad(spark, d, roles), "epoch").select(F.col("epoch").cast("long").alias("epoch"), "channel", "offset", "value")
 
 
-@query(f"""WITH {P.SQL_HOURLY} SELECT channel, k, round(value - avg(value) OVER (PARTITION BY k), 6) AS value FROM hourly""")
-def reference_mean(spark: SparkSession, d: str) -> DataFrame:
-    return montage.common_reference(P.hourly(spark, d), ["k"], "mean").select("channel", "k", "value")
+@query(f"""WITH {P.SQL_HOURLY} SELECT channel, k, round(value - avg(value) OVER (PARTITION BY k), 6) AS value FROM hourly""", users=P.BY_USER)
+def reference_mean(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return montage.common_reference(roles.signal(spark, d), ["k"], "mean").select("channel", "k", "value")
 
 
 @query(f"""WITH {P.SQL_HOURLY}, m AS (SELECT k, median(value) AS m FROM hourly GROUP BY 1), a AS (SELECT k, any_value(m) AS m, median(abs(value - m)) AS d, count(*) AS n FROM hourly JOIN m USING (k) GROUP BY 1),
 r AS (SELECT k, CASE WHEN count(*) FILTER (WHERE abs(value - m) <= 8 * 1.4826 * d) >= least(4, any_value(n)) THEN avg(value) FILTER (WHERE abs(value - m) <= 8 * 1.4826 * d) ELSE any_value(m) END AS ref FROM hourly JOIN a USING (k) GROUP BY 1)
-SELECT channel, k, round(value - ref, 6) AS value FROM hourly JOIN r USING (k)""")
-def reference_robust(spark: SparkSession, d: str) -> DataFrame:
-    return montage.common_reference(P.hourly(spark, d), ["k"], "robust_mean").select("channel", "k", "value")
+SELECT channel, k, round(value - ref, 6) AS value FROM hourly JOIN r USING (k)""", users=P.BY_USER)
+def reference_robust(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return montage.common_reference(roles.signal(spark, d), ["k"], "robust_mean").select("channel", "k", "value")
 
 
 @query(f"""WITH {P.SQL_CONTACTS} SELECT a.patient, a.lead || a.number || '-' || a.lead || (a.number + 1) AS channel, round(a.mni_x - b.mni_x, 6) AS value FROM contacts a JOIN contacts b ON a.patient = b.patient AND a.lead = b.lead AND b.number = a.number + 1""")
@@ -332,17 +342,17 @@ def group_p_values(spark: SparkSession, d: str) -> DataFrame:
     return windows.adjusted_p(pairs.withColumn("family", F.lit(1)), ["family"], "p", "q").select("group_a", "group_b", "p", "q")
 
 
-@query(f"""WITH {P.SQL_HOURLY} SELECT a.channel AS a, b.channel AS b, count(*) AS n, round(corr(a.value, b.value), 6) AS r FROM hourly a JOIN hourly b USING (k) WHERE a.channel < b.channel GROUP BY 1, 2""")
-def channel_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return stats.correlations(P.hourly(spark, d))
+@query(f"""WITH {P.SQL_HOURLY} SELECT a.channel AS a, b.channel AS b, count(*) AS n, round(corr(a.value, b.value), 6) AS r FROM hourly a JOIN hourly b USING (k) WHERE a.channel < b.channel GROUP BY 1, 2""", users=P.BY_USER)
+def channel_correlation(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return stats.correlations(roles.signal(spark, d))
 
 
 @query(f"""WITH {P.SQL_HOURLY}, r AS (SELECT channel, min(value) AS lo, max(value) AS hi FROM hourly GROUP BY 1), c AS (SELECT k, channel, least(floor((value - lo) / (hi - lo) * 8), 7) AS cell FROM hourly JOIN r USING (channel)),
 j AS (SELECT a.channel AS a, b.channel AS b, a.cell AS i, b.cell AS j, count(*) AS n FROM c a JOIN c b USING (k) WHERE a.channel < b.channel GROUP BY a.channel, b.channel, a.cell, b.cell),
 x AS (SELECT *, sum(n) OVER (PARTITION BY a, b, i) AS ni, sum(n) OVER (PARTITION BY a, b, j) AS nj, sum(n) OVER (PARTITION BY a, b) AS m FROM j)
-SELECT a, b, round(sum(n / m * ln(n * m / (ni * nj))), 6) AS mi FROM x GROUP BY 1, 2""")
-def mutual_information(spark: SparkSession, d: str) -> DataFrame:
-    return stats.mutual_information(P.hourly(spark, d), 8)
+SELECT a, b, round(sum(n / m * ln(n * m / (ni * nj))), 6) AS mi FROM x GROUP BY 1, 2""", users=P.BY_USER)
+def mutual_information(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return stats.mutual_information(roles.signal(spark, d), 8)
 
 
 @query()
@@ -382,13 +392,13 @@ def wavelet_power(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def phase_locking(spark: SparkSession, d: str) -> DataFrame:
-    trials = spectral.packed(P.epoched(spark, d), ["epoch", "channel"], "offset", "value").where(F.size("y") == P.BEFORE + P.AFTER + 1)
+    trials = spectral.packed(P.bridged_epoched(spark, d), ["epoch", "channel"], "offset", "value").where(F.size("y") == P.BEFORE + P.AFTER + 1)
     return spectral.phase_locking(spectral.bandpassed(trials, 0.05, 0.3, 1.0, 2), "epoch", "channel")
 
 
 @query()
 def response_calls(spark: SparkSession, d: str) -> DataFrame:
-    return responses.calls(P.epoched(spark, d), (-P.BEFORE, -1), (1, P.AFTER))
+    return responses.calls(P.bridged_epoched(spark, d), (-P.BEFORE, -1), (1, P.AFTER))
 
 
 @query()
@@ -404,24 +414,23 @@ def clustered_interval(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {P.SQL_HOURLY}, m AS (SELECT channel, median(value) AS med FROM hourly GROUP BY 1), o AS (SELECT channel, k, abs(value - med) AS off FROM hourly JOIN m USING (channel)), s AS (SELECT channel, median(off) * 1.4826 AS mad FROM o GROUP BY 1),
 a AS (SELECT channel, k, off >= least(60.0, greatest(10.0, 2 * mad)) AS x FROM o JOIN s USING (channel)), r AS (SELECT channel, k FROM (SELECT *, lag(x, 1, false) OVER (PARTITION BY channel ORDER BY k) AS y FROM a) WHERE x AND NOT y),
 g AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 1 THEN 1 ELSE 0 END) OVER (ORDER BY k, channel ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, k - lag(k) OVER (ORDER BY k, channel) AS d FROM r))
-SELECT CAST(round_even(median(k), 0) AS BIGINT) AS k, count(DISTINCT channel) AS n_channels FROM g GROUP BY c HAVING count(DISTINCT channel) >= 2""")
-def consensus_events(spark: SparkSession, d: str) -> DataFrame:
-    return windows.consensus_events(windows.threshold_events(P.hourly(spark, d), 2.0, 10.0, 60.0, _day()), 1, 2, _day())
+SELECT CAST(round_even(median(k), 0) AS BIGINT) AS k, count(DISTINCT channel) AS n_channels FROM g GROUP BY c HAVING count(DISTINCT channel) >= 2""", users=P.BY_TRACE)
+def consensus_events(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return windows.consensus_events(windows.threshold_events(roles.signal(spark, d), 2.0, 10.0, 60.0, _day()), 1, 2, F.floor(F.col("k") / 4096))
 
 
 @query(f"""WITH {P.SQL_HOURLY}, a AS (SELECT DISTINCT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events WHERE event_type = 'error' AND value > 80), x AS (SELECT DISTINCT unnest([h, h + 1]) AS k FROM a),
 f AS (SELECT channel, k, CASE WHEN x.k IS NULL THEN value END AS value FROM hourly LEFT JOIN x USING (k)),
 w AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER b AS k0, last_value(value IGNORE NULLS) OVER b AS v0, first_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER c AS k1, first_value(value IGNORE NULLS) OVER c AS v1 FROM f
 WINDOW b AS (PARTITION BY channel ORDER BY k ROWS UNBOUNDED PRECEDING), c AS (PARTITION BY channel ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT channel, k, round(coalesce(value, v0 + (v1 - v0) * (k - k0) / (k1 - k0), v0, v1), 6) AS filled FROM w""")
-def artifact_blanking(spark: SparkSession, d: str) -> DataFrame:
-    pulses = table(spark, d, "events").where("event_type = 'error' and value > 80").select(epoching.sample_index("ts").alias("k")).distinct()
-    return epoching.blanked(P.hourly(spark, d), pulses, 0, 1, _day()).select("channel", "k", "filled")
+SELECT channel, k, round(coalesce(value, v0 + (v1 - v0) * (k - k0) / (k1 - k0), v0, v1), 6) AS filled FROM w""", users=P.BY_TRACE)
+def artifact_blanking(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return epoching.blanked(roles.signal(spark, d), roles.pulses(spark, d), 0, 1, _day()).select("channel", "k", "filled")
 
 
-@query(f"""WITH {P.SQL_EPOCHED} SELECT epoch, "offset", round(CASE WHEN count(value) > 2 THEN quantile_cont(abs(value), 0.95) ELSE max(abs(value)) END, 6) AS envelope FROM epoched GROUP BY 1, 2""")
-def artifact_envelope(spark: SparkSession, d: str) -> DataFrame:
-    return epoching.artifact_envelope(P.epoched(spark, d))
+@query(f"""WITH {P.SQL_EPOCHED} SELECT epoch, "offset", round(CASE WHEN count(value) > 2 THEN quantile_cont(abs(value), 0.95) ELSE max(abs(value)) END, 6) AS envelope FROM epoched GROUP BY 1, 2""", users=P.BY_USER)
+def artifact_envelope(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return epoching.artifact_envelope(roles.epoched(spark, d))
 
 
 @query(f"""WITH {P.SQL_TRADE}, e AS (SELECT source, target, count(*) AS n FROM trade GROUP BY 1, 2) SELECT least(source, target) AS source, greatest(source, target) AS target, sum(n)::BIGINT AS n FROM e GROUP BY 1, 2""")
@@ -447,13 +456,13 @@ def artifact_rates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def coherence(spark: SparkSession, d: str) -> DataFrame:
-    trials = spectral.packed(P.epoched(spark, d), ["epoch", "channel"], "offset", "value").where(F.size("y") == P.BEFORE + P.AFTER + 1)
+    trials = spectral.packed(P.bridged_epoched(spark, d), ["epoch", "channel"], "offset", "value").where(F.size("y") == P.BEFORE + P.AFTER + 1)
     return connectivity.coherence(trials, "epoch", "channel", 1.0, 0.05, 0.3)
 
 
 @query()
 def granger(spark: SparkSession, d: str) -> DataFrame:
-    return connectivity.granger(P.hourly(spark, d).withColumn("trial", F.floor(F.col("k") / 24)), "trial", 2)
+    return connectivity.granger(P.bridged(spark, d).withColumnRenamed("session", "trial"), "trial", 2)
 
 
 @query()
@@ -474,16 +483,16 @@ def distance_gradients(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {P.SQL_EPOCHED}, m AS (SELECT channel, "offset", avg(value) AS mean FROM epoched GROUP BY 1, 2), b AS (SELECT channel, avg(mean) AS bm, stddev_samp(mean) + 1e-12 AS bs FROM m WHERE "offset" BETWEEN -6 AND -1 GROUP BY 1),
 z AS (SELECT channel, "offset", (mean - bm) / bs AS z FROM m JOIN b USING (channel)), r AS (SELECT channel, max(abs(z)) FILTER (WHERE "offset" BETWEEN 1 AND 3) AS e, max(abs(z)) FILTER (WHERE "offset" BETWEEN 3 AND 12) AS l,
 coalesce(min(z) FILTER (WHERE "offset" BETWEEN 1 AND 12) <= -1 AND max(z) FILTER (WHERE "offset" BETWEEN 1 AND 12) >= 1, false) AS reversal FROM z GROUP BY 1)
-SELECT channel, round(e, 6) AS early_z, round(l, 6) AS late_z, reversal, greatest(e, l) >= 2 AND reversal AS significant FROM r""")
-def early_late_z(spark: SparkSession, d: str) -> DataFrame:
-    return responses.early_late_z(epoching.mean_waveform(P.epoched(spark, d)), (-6, -1), (1, 3), (3, 12), 2.0)
+SELECT channel, round(e, 6) AS early_z, round(l, 6) AS late_z, reversal, greatest(e, l) >= 2 AND reversal AS significant FROM r""", users=P.BY_USER)
+def early_late_z(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return responses.early_late_z(epoching.mean_waveform(roles.epoched(spark, d)), (-6, -1), (1, 3), (3, 12), 2.0)
 
 
 @query(f"""WITH {P.SQL_EPOCHED}, e AS (SELECT epoch, "offset", CASE WHEN count(value) > 2 THEN quantile_cont(abs(value), 0.95) ELSE max(abs(value)) END AS v FROM epoched GROUP BY 1, 2),
 m AS (SELECT epoch, median(v) AS m FROM e WHERE "offset" BETWEEN -6 AND -1 GROUP BY 1), s AS (SELECT epoch, median(abs(v - m)) AS d FROM e JOIN m USING (epoch) WHERE "offset" BETWEEN -6 AND -1 GROUP BY 1),
-z AS (SELECT epoch, (v - m) / CASE WHEN d > 1e-9 THEN d * 1.4826 ELSE 1 END AS z FROM e JOIN m USING (epoch) JOIN s USING (epoch) WHERE "offset" = 0) SELECT epoch, round(z, 6) AS z, z >= 6 AS artifact FROM z""")
-def zero_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    return responses.zero_artifacts(epoching.artifact_envelope(P.epoched(spark, d)), (-6, -1))
+z AS (SELECT epoch, (v - m) / CASE WHEN d > 1e-9 THEN d * 1.4826 ELSE 1 END AS z FROM e JOIN m USING (epoch) JOIN s USING (epoch) WHERE "offset" = 0) SELECT epoch, round(z, 6) AS z, z >= 6 AS artifact FROM z""", users=P.BY_USER)
+def zero_artifacts(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataFrame:
+    return responses.zero_artifacts(epoching.artifact_envelope(roles.epoched(spark, d)), (-6, -1))
 
 
 @query(f"""WITH {P.SQL_TRADE}, e AS (SELECT source, month, target, sum(weight) AS weight FROM trade GROUP BY 1, 2, 3)

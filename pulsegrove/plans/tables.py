@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pulsegrove.operators import epoching
 from pulsegrove.session import table
 
 BEFORE, AFTER = 6, 12
+#: Hours between the sessions of neighbouring users where they share one axis: more than any window or span of a session.
+SESSION = 1 << 24
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +29,40 @@ def epoched(spark: SparkSession, d: str) -> DataFrame:
     return epoching.baseline_centered(epoching.epochs(hourly(spark, d), anchors(spark, d), BEFORE, AFTER), -BEFORE, -1)
 
 
+def _session_hour():
+    """Hours on one axis for all users: no window around an hour reaches another user's hours."""
+    return F.col("user_id") * SESSION + epoching.sample_index("ts")
+
+
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    """channel, k, value: the hourly mean of each kind of event of each user, nearly always a single reading."""
+    return epoching.regular_grid(table(spark, d, "events"), "event_type", _session_hour(), "value")
+
+
+def traces(spark: SparkSession, d: str) -> DataFrame:
+    """``sessions`` with a channel for each user and kind of event."""
+    named = table(spark, d, "events").withColumn("trace", F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type"))
+    return epoching.regular_grid(named, "trace", _session_hour(), "value")
+
+
+def session_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """k: the hours with an error event of each user."""
+    return table(spark, d, "events").where("event_type = 'error'").select(_session_hour().alias("k")).distinct()
+
+
+def bridged(spark: SparkSession, d: str) -> DataFrame:
+    """``sessions`` with the hours between two readings of a user's channel filled linearly, for operators that need whole trials."""
+    return epoching.bridged(sessions(spark, d).withColumn("session", F.floor(F.col("k") / SESSION)), "session", F.floor(F.col("k") / 168))
+
+
+def session_epoched(spark: SparkSession, d: str) -> DataFrame:
+    return epoching.baseline_centered(epoching.epochs(sessions(spark, d), session_anchors(spark, d), BEFORE, AFTER), -BEFORE, -1)
+
+
+def bridged_epoched(spark: SparkSession, d: str) -> DataFrame:
+    return epoching.baseline_centered(epoching.epochs(bridged(spark, d), session_anchors(spark, d), BEFORE, AFTER), -BEFORE, -1)
+
+
 def contacts(spark: SparkSession, d: str) -> DataFrame:
     """patient, lead, number, mni_x.. of the entries whose label is a lead and a number letter for letter; repeats averaged."""
     rows = table(spark, d, "electrode_metadata").where(F.col("elec_label").rlike(r"^[A-Z]{4,7}[0-9]{1,2}$"))
@@ -62,3 +100,16 @@ avg(mni_z) FILTER (WHERE NOT isnan(mni_z)) AS mni_z FROM electrode_metadata WHER
 SQL_TRADE = """trade AS (SELECT s.n_name AS source, t.n_name AS target, date_trunc('month', l_shipdate) AS month, l_extendedprice * (1 - l_discount) AS weight FROM lineitem
 JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation s ON s.n_nationkey = s_nationkey JOIN nation t ON t.n_nationkey = c_nationkey)"""
 SQL_DECISIONS = """decisions AS (SELECT record_id, rater, CASE WHEN NOT isnan(raw_annotation) AND raw_annotation >= 0 THEN raw_annotation > 0 END AS call FROM annotations)"""
+
+
+SQL_HOUR, SQL_CHANNEL = "CAST(floor(epoch(ts) / 3600) AS BIGINT)", "event_type AS channel"
+
+
+def _pulses(hour):
+    return lambda spark, d: table(spark, d, "events").where("event_type = 'error' and value > 80").select(hour().alias("k")).distinct()
+
+
+#: The signal roles: of all users' hourly means, of each user's readings, and of those with a channel per user.
+HOURLY = SimpleNamespace(signal=hourly, epoched=epoched, pulses=_pulses(lambda: epoching.sample_index("ts")), sql=lambda sql: sql)
+BY_USER = SimpleNamespace(signal=sessions, epoched=session_epoched, pulses=_pulses(_session_hour), sql=lambda sql: sql.replace(SQL_HOUR, f"(user_id * {SESSION} + {SQL_HOUR})"))
+BY_TRACE = SimpleNamespace(signal=traces, epoched=None, pulses=_pulses(_session_hour), sql=lambda sql: BY_USER.sql(sql).replace(SQL_CHANNEL, "user_id || ':' || event_type AS channel"))
