@@ -98,15 +98,21 @@ def rename_steps(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def migrate(rows: DataFrame, files: DataFrame, kind: str) -> DataFrame:
-    """row_id, file_id, line_no, readable and the kind's fields: each record of one kind through its file's rename steps,
-    the defaults (null) of fields that the file has not, and the casts."""
+    """row_id, file_id, line_no, readable, the kind's fields and ``others``: each record of one kind through its file's rename
+    steps, the defaults (null) of fields that the file has not, and the casts.
+
+    ``others`` maps the names of the record that stand for none of the kind's fields to their values as texts, as written;
+    null values stay in it as nulls, and a record without such names has an empty map.
+    """
     fields = list(ALIASES[kind])
     own = rows.join(files.where(F.col("kind") == kind).select("file_id"), "file_id", "left_semi")
     routed = own.select("row_id", "file_id", "payload").join(rename_steps(own, files), "file_id")
-    renamed = record_fields(routed, ["renames"]).withColumn("field", F.try_element_at("renames", F.col("name"))).where(F.col("field").isin(fields))
-    one = renamed.groupBy("row_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields))
+    renamed = record_fields(routed, ["renames"]).withColumn("field", F.try_element_at("renames", F.col("name")))
+    renamed = renamed.groupBy("row_id", "name", "field").agg(F.max("value").alias("value"))  # repeated lines
+    others = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("field").isin(fields), F.struct("name", "value")))))
+    one = renamed.groupBy("row_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields), others.alias("others"))
     base = own.select("row_id", "file_id", "line_no", (F.coalesce(F.schema_of_variant(F.try_parse_json("payload")), F.lit("")).startswith("OBJECT")).alias("readable"))
-    return base.join(one, "row_id", "left").select("row_id", "file_id", "line_no", "readable", *(cast_field(f).alias(f) for f in fields))
+    return base.join(one, "row_id", "left").select("row_id", "file_id", "line_no", "readable", *(cast_field(f).alias(f) for f in fields), F.coalesce("others", F.create_map().cast("map<string,string>")).alias("others"))
 
 
 def cast_field(field: str):

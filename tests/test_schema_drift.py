@@ -52,6 +52,19 @@ def test_times_and_pairs_have_one_form(spark):
     assert [r.stim_start for r in out] == ["2024-03-05T03:04:05", "2024-03-05T03:04:05", "12.5", None] and {r.stim_pair for r in out} == {"LTG_1_2"}
 
 
+def test_values_of_other_fields_stay(spark):
+    rows = [(1, 1, json.dumps(x)) for x in ({"patient_id": "A", "notch": None, "Headbox": {"no": 3}, "impedance_kohm": 5.5}, {"patid": "B"})] + [(1, 3, None), (1, 4, '{"batch_code": "b1", "notch": 50}')]
+    out = schema_drift.migrate(*frames(spark, [(1, "s", "raw", day(0))], rows), "raw").orderBy("row_id").collect()
+    assert [r.others for r in out] == [{"notch": None, "Headbox": '{"no":3}', "impedance_kohm": "5.5"}, {}, {}, {"batch_code": "b1", "notch": "50"}]
+    assert [r.patient_id for r in out] == ["A", "B", None, None]
+
+
+def test_repeated_rows_have_their_other_fields_once(spark):
+    r, f = frames(spark, [(1, "s", "raw", day(0))], [(1, 1, json.dumps({"notch": 50}))])
+    out = schema_drift.migrate(r.unionByName(r), f, "raw").collect()
+    assert {tuple(x.others.items()) for x in out} == {(("notch", "50"),)}
+
+
 def test_empty_tables(spark):
     r, f = frames(spark, [], [])
     assert schema_drift.changes(r, f).count() == 0 and schema_drift.migrate(r, f, "raw").count() == 0 and schema_drift.versions(r, f).count() == 0
