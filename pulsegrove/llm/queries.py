@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrove.llm import bpe, canonical_map, consensus, packing, reading_level, splits
+from pulsegrove.llm import contacts as _contacts  # noqa: F401  registers its queries with the engine's
 from pulsegrove.session import table
 
 

@@ -401,11 +401,6 @@ def response_calls(spark: SparkSession, d: str) -> DataFrame:
     return responses.calls(P.bridged_epoched(spark, d), (-P.BEFORE, -1), (1, P.AFTER))
 
 
-@query()
-def lead_directions(spark: SparkSession, d: str) -> DataFrame:
-    return stats.linear_fit(P.contacts(spark, d).withColumn("number", F.col("number").cast("double")), ["patient"], "number", ["mni_x", "mni_y", "mni_z"])
-
-
 @query()
 def clustered_interval(spark: SparkSession, d: str) -> DataFrame:
     return stats.bootstrap_interval(table(spark, d, "artifact_summary"), "patient_id", "bad_response_fraction", 400, 17)
@@ -475,11 +470,6 @@ def hubs_authorities(spark: SparkSession, d: str) -> DataFrame:
     return directed.hubs_authorities(P.trade(spark, d), 8)
 
 
-@query()
-def distance_gradients(spark: SparkSession, d: str) -> DataFrame:
-    return stats.slope_permutation(P.contacts(spark, d), ["patient"], "number", "mni_x", 199, 5)
-
-
 @query(f"""WITH {P.SQL_EPOCHED}, m AS (SELECT channel, "offset", avg(value) AS mean FROM epoched GROUP BY 1, 2), b AS (SELECT channel, avg(mean) AS bm, stddev_samp(mean) + 1e-12 AS bs FROM m WHERE "offset" BETWEEN -6 AND -1 GROUP BY 1),
 z AS (SELECT channel, "offset", (mean - bm) / bs AS z FROM m JOIN b USING (channel)), r AS (SELECT channel, max(abs(z)) FILTER (WHERE "offset" BETWEEN 1 AND 3) AS e, max(abs(z)) FILTER (WHERE "offset" BETWEEN 3 AND 12) AS l,
 coalesce(min(z) FILTER (WHERE "offset" BETWEEN 1 AND 12) <= -1 AND max(z) FILTER (WHERE "offset" BETWEEN 1 AND 12) >= 1, false) AS reversal FROM z GROUP BY 1)
@@ -509,17 +499,6 @@ def target_divergence(spark: SparkSession, d: str) -> DataFrame:
     return directed.target_divergence(P.trade(spark, d), ["source"], "month")
 
 
-@query()
-def completed_contacts(spark: SparkSession, d: str) -> DataFrame:
-    contacts = P.contacts(spark, d)
-    return montage.completed_contacts(contacts, stats.lead_fits(contacts, ["patient"]), ["patient"], 60.0, (0.0, 1000.0))
-
-
-@query()
-def latency_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return stats.latency_gradient(P.contacts(spark, d).withColumn("number", F.col("number").cast("double")), ["patient"], "number", ["mni_x", "mni_y", "mni_z"])
-
-
 @query()
 def decimated_vectors(spark: SparkSession, d: str) -> DataFrame:
     out, name = pipeline.run(_packed(spark, d), [("bandpass", {"low": 1.0, "high": 20.0}), ("decimate", {"factor": 2})], RATE)
