@@ -22,6 +22,12 @@ def matrix(decisions: DataFrame, unit: str, method: str, call: str, methods: lis
     return decisions.groupBy(unit).pivot(method, methods).agg(F.bool_or(call)).na.fill(False)
 
 
+def cells(decisions: DataFrame, unit: str, method: str, call: str, methods: DataFrame) -> DataFrame:
+    """unit, method, call: ``matrix`` in long form over all of ``methods``, a fixed table of one column; without a row false."""
+    who = decisions.groupBy(unit).agg(F.collect_set(F.when(F.col(call), F.col(method))).alias("_who"))
+    return who.crossJoin(F.broadcast(methods.select(method))).select(unit, method, F.array_contains("_who", F.col(method)).alias(call))
+
+
 def availability(calls: DataFrame, unit: str, call: str, run: str) -> DataFrame:
     """``calls`` with a reason why a nullable call is missing: not_run, method_unavailable, or nothing."""
     return calls.withColumn("reason", F.when(~F.coalesce(run, F.lit(False)), "not_run").when(F.col(call).isNull(), "method_unavailable").otherwise(""))

@@ -55,6 +55,12 @@ def adjacency(edges: DataFrame, nodes: list[str]) -> DataFrame:
     return edges.groupBy("source").pivot("target", nodes).agg(F.avg("weight")).na.fill(0.0)
 
 
+def adjacency_cells(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """source, target, weight: ``adjacency`` in long form over all of ``nodes``, a fixed table of column node."""
+    pairs = edges.select("source").distinct().crossJoin(F.broadcast(nodes.select(F.col("node").alias("target"))))
+    return pairs.join(edges.groupBy("source", "target").agg(F.avg("weight").alias("weight")), ["source", "target"], "left").na.fill(0.0, ["weight"])
+
+
 def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """node, rank by ``rounds`` of weighted PageRank; nodes without outgoing weight hand theirs to all.
 

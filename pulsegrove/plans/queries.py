@@ -289,6 +289,12 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
     return directed.adjacency(P.trade(spark, d), NODES)
 
 
+@query(f"""WITH {P.SQL_TRADE}, e AS (SELECT source, target, avg(weight) AS w FROM trade GROUP BY 1, 2), p AS (SELECT DISTINCT t.source, n_name AS target FROM trade t CROSS JOIN nation)
+SELECT source, target, round(coalesce(w, 0), 6) AS weight FROM p LEFT JOIN e USING (source, target)""")
+def adjacency_cells(spark: SparkSession, d: str) -> DataFrame:
+    return directed.adjacency_cells(P.trade(spark, d), table(spark, d, "nation").select(F.col("n_name").alias("node")))
+
+
 @query()
 def page_rank(spark: SparkSession, d: str) -> DataFrame:
     return directed.page_rank(P.trade(spark, d))
@@ -313,6 +319,12 @@ def decision_matrix(spark: SparkSession, d: str) -> DataFrame:
     return detections.matrix(calls, "raw_id", "model_id", "call", [1, 2, 3, 4])
 
 
+@query("""SELECT raw_id, m.model_id, coalesce(bool_or(bad_response_fraction > 0.2) FILTER (WHERE a.model_id = m.model_id), false) AS call FROM artifact_summary a CROSS JOIN n1_models m GROUP BY 1, 2""")
+def decision_cells(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "artifact_summary").withColumn("call", F.col("bad_response_fraction") > 0.2)
+    return detections.cells(calls, "raw_id", "model_id", "call", table(spark, d, "n1_models"))
+
+
 @query("""WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS k FROM events)
 SELECT a.event_id, count(*) AS n, round(sum(b.value), 6) AS total FROM e a JOIN e b ON a.user_id = b.user_id AND b.k BETWEEN a.k - 7200 AND a.k + 7200 WHERE a.event_type = 'error' GROUP BY 1""")
 def events_near_errors(spark: SparkSession, d: str) -> DataFrame:
