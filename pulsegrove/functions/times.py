@@ -124,10 +124,15 @@ def with_offset(df: DataFrame, zone: str, tz: str, name: str) -> DataFrame:
     return df.withColumn(name, out).drop("_digits", "_minutes", "_everywhere", "_there")
 
 
+#: What a reading against the site's declared order costs beforehand, in steps of ``viterbi.SWITCH_COST``.
+CONTRARY = 3.0
+
+
 def with_readings(df: DataFrame, text: str, tz: str, date_order: str, name: str) -> DataFrame:
     """``df`` with every valid reading of a text, as array<struct<fmt string, us bigint, cost double>> ``name``.
 
-    fmt is the order in which a numeric date is read, or the layout; cost is 0 for the order that the site declares.
+    fmt is the order in which a numeric date is read, or the layout; cost is 0 for the order that the site declares. A date
+    of two-digit parts is read in all three orders, one whose year has four digits in the two that have it last.
     """
     kept = [F.col(f"`{x}`") for x in df.columns]
     at = lambda i: F.get("_f", F.lit(i))
@@ -139,32 +144,36 @@ def with_readings(df: DataFrame, text: str, tz: str, date_order: str, name: str)
     df = with_offset(df, "_zone", tz, "_offset")
     kind, a, b, c, numeric = F.col("_kind"), F.col("_a"), F.col("_b"), F.col("_c"), F.col("_kind") == "N"
     order, short = F.col(date_order), (F.col("_n") == 2)
-    year_first = numeric & short & (F.col("_m") == 2) & (order == "YMD")
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    # a text has at most two orders of year, month and day: the first reading and, for numeric dates, a second
+    full = lambda y: F.when(short, y + 2000).otherwise(y)
     df = df.withColumns(
         {
-            "_y1": F.when(kind.isin("Y", "B"), a).when(year_first, a + 2000).when(short, c + 2000).otherwise(c),
+            "_y1": F.when(kind.isin("Y", "B"), a).otherwise(full(c)),
             "_m1": F.when(kind == "M", F.try_element_at(months, F.col("_name"))).otherwise(b),
-            "_d1": F.when(kind.isin("Y", "B") | year_first, c).otherwise(a),
-            "_fmt1": F.when(kind.isin("Y", "B") | year_first, "YMD").when(numeric, "DMY").when(kind == "M", "NAME"),
-            "_y2": F.when(numeric & ~year_first & (a != b), F.when(short, c + 2000).otherwise(c)),
+            "_d1": F.when(kind.isin("Y", "B"), c).otherwise(a),
+            "_fmt1": F.when(kind.isin("Y", "B"), "YMD").when(numeric, "DMY").when(kind == "M", "NAME"),
+            "_y2": F.when(numeric & (a != b), full(c)),
+            "_y3": F.when(numeric & short & (F.col("_m") == 2) & (a != c), a + 2000),
         }
     )
-    declared = lambda fmt: F.when(numeric & ~year_first & (a != b) & (order != fmt), 40.0).otherwise(0.0)
-    for k, (y, m, day) in {"1": ("_y1", "_m1", "_d1"), "2": ("_y2", "_a", "_b")}.items():
+    # where two orders give one day, the declared one stands for both
+    year_first = (order == "YMD") & short & (F.col("_m") == 2)
+    alike = F.when(year_first, a == c).otherwise(a == b)
+    declared = lambda fmt, like: F.when(numeric & (order != fmt) & ~F.coalesce(like, F.lit(False)), CONTRARY).otherwise(0.0)
+    for k, (y, m, day) in {"1": ("_y1", "_m1", "_d1"), "2": ("_y2", "_a", "_b"), "3": ("_y3", "_b", "_c")}.items():
         df = df.withColumn(f"_local{k}", day_number(F.col(y), F.col(m), F.col(day)) * DAY_US + F.col("_clock"))
     df = df.withColumn("_tz", F.when(F.col("_zone").contains("/"), F.col("_zone")).when(F.col("_zone").isNull(), F.col(tz)).when(F.col("_offset").isNotNull(), "UTC"))
     df = df.withColumn("_tz", F.when(F.col("_tz").rlike(ZONE_NAME), F.col("_tz")))
-    df = df.withColumns({f"_local{k}": F.col(f"_local{k}") - F.coalesce(F.when(F.col("_zone").isNull() | F.col("_zone").contains("/"), 0).otherwise(F.col("_offset")), F.lit(0)) * 60_000_000 for k in "12"})
-    for k in "12":
+    df = df.withColumns({f"_local{k}": F.col(f"_local{k}") - F.coalesce(F.when(F.col("_zone").isNull() | F.col("_zone").contains("/"), 0).otherwise(F.col("_offset")), F.lit(0)) * 60_000_000 for k in "123"})
+    for k in "123":
         df = with_instants(df, f"_local{k}", "_tz", f"_us{k}")
     epoch = F.when(kind == "E", F.when(F.col("_m") == 10, a * 1_000_000).when(F.col("_m") == 13, a * 1000).when(F.col("_m") == 19, F.floor(a / 1000)).otherwise(a).cast("bigint"))
     reading = lambda fmt, cost: lambda u: F.struct(fmt.alias("fmt"), u.alias("us"), cost.alias("cost"))
     lists = [
         F.transform(F.array_compact(F.array(epoch)), reading(F.lit("EPOCH"), F.lit(0.0))),
-        F.transform("_us1", reading(F.col("_fmt1"), declared("DMY"))),
-        F.transform("_us2", reading(F.lit("MDY"), declared("MDY"))),
+        F.transform("_us1", reading(F.col("_fmt1"), declared("DMY", alike))),
+        F.transform("_us2", reading(F.lit("MDY"), declared("MDY", F.lit(False)))),
+        F.transform("_us3", reading(F.lit("YMD"), declared("YMD", F.lit(False)))),
     ]
     none = F.array().cast("array<struct<fmt:string,us:bigint,cost:double>>")
     return df.select(*kept, F.concat(*[F.coalesce(x, none) for x in lists]).alias(name))

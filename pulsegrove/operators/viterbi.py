@@ -1,10 +1,12 @@
 """The cheapest sequence of readings along each source's record order (Viterbi), for sources of any size.
 
 A record with one reading fixes the path there, so a source falls into independent runs of ambiguous records between
-fixed ones. Records are cut into blocks of consecutive ids; within a block the records that can matter (ambiguous ones,
+fixed ones. Records are cut into blocks along their order; within a block the records that can matter (ambiguous ones,
 their fixed neighbours, the block's ends) are solved together. Costs add up along a path, so a block is summed up by the
-matrix of cheapest costs from each reading of its first record to each of its last; a source's blocks are chained by
-those matrices alone, which fixes each block's ends, and then each block is solved once more between its ends.
+matrix of cheapest costs from each reading of its first record to each of its last. Neighbouring matrices combine into
+one, so blocks are gathered into bundles, and bundles into sources, as a tree; on the way back down each block gets the
+cheapest costs of everything before and after it. With those, a block gives for each of its records the cheapest path
+through each reading: the least one is picked, and how much worse the best path through another order would be is its gap.
 """
 
 from __future__ import annotations
@@ -13,104 +15,137 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Records of consecutive ids that one task solves together.
-BLOCK = 1 << 15
+#: Records that one task solves together; blocks in a bundle.
+BLOCK, BUNDLE = 1 << 15, 1 << 12
 SWITCH_COST, BACKWARD_COST = 1.0, 2.0
 #: A step back in time counts only beyond this; records of one batch are written in any order.
-SLACK_US = 86_400_000_000
+SLACK_US = 3 * 86_400_000_000
 
 
-def step_costs(a: tuple, b: tuple) -> np.ndarray:
-    """Costs of each pair of readings (formats, instants, own costs) of two consecutive records."""
-    return SWITCH_COST * (a[0][:, None] != b[0][None, :]) + BACKWARD_COST * (b[1][None, :] < a[1][:, None] - SLACK_US)
+Step = Callable[[tuple, tuple], np.ndarray]
+
+
+def steps(switch: float, backward: float) -> Step:
+    """The costs of each pair of readings (formats, instants) of two consecutive records."""
+
+    def costs(a: tuple, b: tuple) -> np.ndarray:
+        return switch * (a[0][:, None] != b[0][None, :]) + backward * (b[1][None, :] < a[1][:, None] - SLACK_US)
+
+    return costs
 
 
 def rows_of(pdf: pd.DataFrame) -> list[tuple]:
     return list(zip(pdf["fmts"], pdf["instants"], pdf["costs"]))
 
 
-def forward(rows: list[tuple], start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Cheapest costs into each reading of the last record, from ``start`` costs of the first, and the way there."""
-    cost, ways = start, []
+def ends_of(pdf: pd.DataFrame, end: str) -> list[tuple]:
+    return list(zip(pdf[f"{end}_fmts"], pdf[f"{end}_instants"]))
+
+
+def segment(pdf: pd.DataFrame, key: str, matrix: np.ndarray, first: tuple, last: tuple) -> pd.DataFrame:
+    """One row that sums up a run of records: its matrix, and the readings of its first and last record."""
+    out = {"source": [pdf["source"].iloc[0]], key: [pdf[key].iloc[0]], "matrix": [matrix.ravel()]}
+    return pd.DataFrame(out | {f"{end}_{name}": [x[at]] for end, x in (("first", first), ("last", last)) for at, name in enumerate(("fmts", "instants"))})
+
+
+def summarize(pdf: pd.DataFrame, step: Step) -> pd.DataFrame:
+    """One block's segment."""
+    rows = rows_of(pdf.sort_values(["at", "row_key"]))
+    cost = np.where(np.eye(len(rows[0][2]), dtype=bool), rows[0][2], np.inf)
     for a, b in zip(rows, rows[1:]):
-        total = cost[..., :, None] + step_costs(a, b)
-        ways.append(total.argmin(axis=-2))
-        cost = total.min(axis=-2) + b[2]
-    return cost, ways
+        cost = (cost[:, :, None] + step(a, b)).min(axis=1) + b[2]
+    return segment(pdf, "block", cost, rows[0], rows[-1])
 
 
-def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block's matrix, and the readings of its first and last record."""
-    rows = rows_of(pdf.sort_values("row_key"))
-    start = np.where(np.eye(len(rows[0][2]), dtype=bool), rows[0][2], np.inf)
-    matrix, _ = forward(rows, start)
-    out = {"source": [pdf["source"].iloc[0]], "block": [pdf["block"].iloc[0]], "matrix": [matrix.ravel()]}
-    return pd.DataFrame(out | {f"{end}_{name}": [rows[k][at]] for end, k in (("first", 0), ("last", -1)) for at, name in enumerate(("fmts", "instants"))})
+def matrices_of(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.asarray(m, dtype=float).reshape(len(f), len(z)) for m, f, z in zip(pdf["matrix"], pdf["first_fmts"], pdf["last_fmts"])]
 
 
-def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The reading of each block's first and last record on the source's cheapest path."""
+def gather(pdf: pd.DataFrame, step: Step) -> pd.DataFrame:
+    """The segment of a bundle of consecutive blocks."""
     pdf = pdf.sort_values("block")
-    firsts, lasts = (list(zip(pdf[f"{end}_fmts"], pdf[f"{end}_instants"])) for end in ("first", "last"))
-    matrices = [np.asarray(m, dtype=float).reshape(len(f[0]), len(z[0])) for m, f, z in zip(pdf["matrix"], firsts, lasts)]
-    into, via_first, via_last = None, [], []
-    for k, matrix in enumerate(matrices):
-        if k:
-            total = into[:, None] + step_costs(lasts[k - 1], firsts[k])
-            via_last.append(total.argmin(axis=0))
-            matrix = matrix + total.min(axis=0)[:, None]
-        via_first.append(matrix.argmin(axis=0))
-        into = matrix.min(axis=0)
-    at, ends = int(into.argmin()), []
-    for k in reversed(range(len(matrices))):
-        begin = int(via_first[k][at])
-        ends.append((begin, at))
-        if k:
-            at = int(via_last[k - 1][begin])
-    begins, stops = zip(*reversed(ends))
-    return pd.DataFrame({"source": pdf["source"], "block": pdf["block"], "begin": begins, "stop": stops})
-
-
-def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The chosen reading of each record of a block whose first and last readings are fixed."""
-    pdf = pdf.sort_values("row_key")
-    rows, begin, at = rows_of(pdf), int(pdf["begin"].iloc[0]), int(pdf["stop"].iloc[0])
-    _, ways = forward(rows, np.where(np.arange(len(rows[0][2])) == begin, 0.0, np.inf))
-    path = [at]
-    for way in reversed(ways):
-        path.append(int(way[path[-1]]))
-    path.reverse()
-    picked = [(r[1][k], r[2][k], int((r[0] == r[0][k]).sum()), int(((r[0] != r[0][k]) & (r[2] <= r[2][k])).sum()), len(r[0])) for r, k in zip(rows, path)]
-    out = pdf[["source", "row_key"]].assign(**dict(zip(("us", "cost", "same", "rivals", "n"), zip(*picked))))
+    matrices, firsts, lasts = matrices_of(pdf), ends_of(pdf, "first"), ends_of(pdf, "last")
+    cost = matrices[0]
+    for k in range(1, len(matrices)):
+        across = (cost[:, :, None] + step(lasts[k - 1], firsts[k])).min(axis=1)
+        cost = (across[:, :, None] + matrices[k][None, :, :]).min(axis=1)
+    return segment(pdf, "bundle", cost, firsts[0], lasts[-1])
+
+
+def hand_down(pdf: pd.DataFrame, key: str, step: Step) -> pd.DataFrame:
+    """The costs before (``into``, by reading of the first record) and after (``beyond``, by reading of the last) each segment.
+
+    The first row's ``into`` and the last row's ``beyond``, if there are such columns, come from the level above.
+    """
+    pdf = pdf.sort_values(key)
+    matrices, firsts, lasts = matrices_of(pdf), ends_of(pdf, "first"), ends_of(pdf, "last")
+    n = len(matrices)
+    into = [np.asarray(pdf["into"].iloc[0], float) if "into" in pdf else np.zeros(len(firsts[0][0]))]
+    beyond = [np.asarray(pdf["beyond"].iloc[0], float) if "beyond" in pdf else np.zeros(len(lasts[-1][0]))]
+    for k in range(1, n):
+        reached = (into[-1][:, None] + matrices[k - 1]).min(axis=0)
+        into.append((reached[:, None] + step(lasts[k - 1], firsts[k])).min(axis=0))
+        left = n - 1 - k
+        ahead = (matrices[left + 1] + beyond[-1][None, :]).min(axis=1)
+        beyond.append((step(lasts[left], firsts[left + 1]) + ahead[None, :]).min(axis=1))
+    return pd.DataFrame({"source": pdf["source"], key: pdf[key], "into": into, "beyond": beyond[::-1]})
+
+
+def decode(pdf: pd.DataFrame, step: Step) -> pd.DataFrame:
+    """The reading of each ambiguous record of a block that the cheapest path takes, and its gap."""
+    pdf = pdf.sort_values(["at", "row_key"])
+    rows = rows_of(pdf)
+    ahead = [np.asarray(pdf["into"].iloc[0], float) + rows[0][2]]
+    for a, b in zip(rows, rows[1:]):
+        ahead.append((ahead[-1][:, None] + step(a, b)).min(axis=0) + b[2])
+    after = [np.asarray(pdf["beyond"].iloc[0], float)]
+    for a, b in zip(rows[-2::-1], rows[:0:-1]):
+        after.append((step(a, b) + (after[-1] + b[2])[None, :]).min(axis=1))
+    found = []
+    for (fmts, instants, costs), x, y in zip(rows, ahead, reversed(after)):
+        through = x + y
+        k = int(through.argmin())
+        others = through[fmts != fmts[k]]
+        found.append((instants[k], costs[k], int((fmts == fmts[k]).sum()), others.min() - through[k] if len(others) else np.inf, len(fmts)))
+    out = pdf[["source", "row_key"]].assign(**dict(zip(("us", "cost", "same", "gap", "n"), zip(*found))))
     return out[out["n"] > 1].drop(columns="n")
 
 
-def cheapest_readings(records: DataFrame, materialize: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """source, row_key, us, cost, same, rivals of the records with at least two readings: the reading on the cheapest path,
-    how many readings have its format, and how many of other formats cost no more by themselves.
+def cheapest_readings(records: DataFrame, at: Column, materialize: Callable[[DataFrame], DataFrame], switch: float = SWITCH_COST, backward: float = BACKWARD_COST) -> DataFrame:
+    """source, row_key, us, cost, same, gap of the records with at least two readings: the reading on the cheapest path, its
+    own cost, how many readings have its format, and how much dearer the cheapest path through another format is (infinite
+    if there is none).
 
-    ``records`` has source string (not null), row_key long (unique in a source, the record order) and readings
-    array<struct<fmt, us, cost>> without empty arrays. ``materialize`` stores the few records that can matter, because
-    two passes read them.
+    ``records`` has source string (not null), row_key long (unique in a source) and readings
+    array<struct<fmt, us, cost>> without empty arrays; the record order is ``at`` (microseconds), then row_key. Quarters of
+    a year, and within them chunks of ids, follow each other, so that no source is sorted as a whole. ``materialize``
+    stores the few records that can matter, because two passes read them.
     """
     # records are small but costly, so the number of tasks follows the cluster and not the bytes
+    step = steps(switch, backward)
     tasks = 4 * max(records.sparkSession.sparkContext.defaultParallelism, 2)
-    block = F.floor(F.col("row_key") / BLOCK).alias("block")
-    within = Window.partitionBy("source", "block").orderBy("row_key")
+    span = (F.floor(F.coalesce("at", F.lit(0)) / (91 * 86_400_000_000)) * (1 << 20) + F.shiftright("row_key", 22)).alias("span")
+    within = Window.partitionBy("source", "span").orderBy("at", "row_key")
     many = F.size("readings") > 1
     doubtful = records.where(many).select("source").distinct()
-    flagged = records.join(doubtful, "source", "left_semi").select("source", "row_key", "readings", block).select(
-        "*", F.coalesce(F.lag(many).over(within), F.lit(True)).alias("_after"), F.coalesce(F.lead(many).over(within), F.lit(True)).alias("_ahead")
-    )
+    ordered = records.withColumn("at", F.coalesce(at, F.lit(0)).cast("long")).join(doubtful, "source", "left_semi").select("source", "row_key", "at", "readings", span)
+    flagged = ordered.select(
+        "*", F.coalesce(F.lag(many).over(within), F.lit(True)).alias("_after"), F.coalesce(F.lead(many).over(within), F.lit(True)).alias("_ahead"),
+        (F.col("span") * (1 << 8) + F.floor((F.row_number().over(within) - 1) / BLOCK)).alias("block"),
+    )
     part = lambda name, value: F.transform("readings", value).alias(name)
     matter = materialize(
-        flagged.where(many | F.col("_after") | F.col("_ahead")).select("source", "block", "row_key", part("fmts", lambda r: F.hash(r["fmt"])), part("instants", lambda r: r["us"]), part("costs", lambda r: r["cost"]))
+        flagged.where(many | F.col("_after") | F.col("_ahead")).select("source", "block", "row_key", "at", part("fmts", lambda r: F.hash(r["fmt"])), part("instants", lambda r: r["us"]), part("costs", lambda r: r["cost"]))
     )
-    ends_schema = ", ".join(f"{end}_fmts array<int>, {end}_instants array<bigint>" for end in ("first", "last"))
-    blocks = matter.repartition(tasks, "source", "block").groupBy("source", "block").applyInPandas(summarize, f"source string, block long, matrix array<double>, {ends_schema}")
-    ends = blocks.repartition(tasks, "source").groupBy("source").applyInPandas(chain, "source string, block long, begin int, stop int")
-    told = matter.join(ends, ["source", "block"]).repartition(tasks, "source", "block")
-    return told.groupBy("source", "block").applyInPandas(decode, "source string, row_key long, us long, cost double, same int, rivals int")
+    ends = ", ".join(f"{end}_fmts array<int>, {end}_instants array<bigint>" for end in ("first", "last"))
+    blocks = matter.repartition(tasks, "source", "block").groupBy("source", "block").applyInPandas(lambda pdf: summarize(pdf, step), f"source string, block long, matrix array<double>, {ends}")
+    blocks = materialize(blocks.withColumn("bundle", F.floor(F.col("block") / ((1 << 8) * BUNDLE))))
+    bundles = blocks.groupBy("source", "bundle").applyInPandas(lambda pdf: gather(pdf, step), f"source string, bundle long, matrix array<double>, {ends}")
+    costs = "into array<double>, beyond array<double>"
+    outer = bundles.groupBy("source").applyInPandas(lambda pdf: hand_down(pdf, "bundle", step), f"source string, bundle long, {costs}")
+    inner = blocks.join(outer, ["source", "bundle"]).groupBy("source", "bundle").applyInPandas(lambda pdf: hand_down(pdf, "block", step), f"source string, block long, {costs}")
+    told = matter.join(inner, ["source", "block"]).repartition(tasks, "source", "block")
+    return told.groupBy("source", "block").applyInPandas(lambda pdf: decode(pdf, step), "source string, row_key long, us long, cost double, same int, gap double")

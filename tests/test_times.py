@@ -4,14 +4,15 @@ import datetime as dt
 from zoneinfo import ZoneInfo
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pulsegrove.operators import viterbi
 from pulsegrove.operators.time_normalize import normalize_times, normalized_foreign
 
 SITES = [("OSLO", "Europe/Oslo", "DMY"), ("CHIC", "America/Chicago", "MDY"), ("SHAN", "Asia/Shanghai", "YMD"), ("FREE", "Europe/Oslo", None)]
-RAW = "raw_id long, site string, start_time string, sampling_freq double, tz string, status string"
-STIM = "stim_id long, site string, stim_start string, text string"
-EVENTS = "event_id long, raw_id long, onset string, kind string"
+RAW = "raw_id long, site string, start_time string, sampling_freq double, loaded_at timestamp, tz string, status string"
+STIM = "stim_id long, site string, stim_start string, loaded_at timestamp, text string"
+EVENTS = "event_id long, raw_id long, onset string, loaded_at timestamp, kind string"
 
 
 def us(*parts, tz="UTC", fold=0):
@@ -19,10 +20,11 @@ def us(*parts, tz="UTC", fold=0):
     return (at - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
 
 
-def run(spark, raw, stim, events):
+def run(spark, raw, stim, events, **costs):
     sites = spark.createDataFrame(SITES, "site string, tz string, date_order string")
-    frames = [spark.createDataFrame([(*r, "x", "y") for r in raw], RAW), spark.createDataFrame([(*r, "x") for r in stim], STIM), spark.createDataFrame([(*r, "x") for r in events], EVENTS)]
-    out = normalize_times(*frames, sites)
+    at = lambda r: dt.datetime(2025, 1, 1) + dt.timedelta(minutes=r[0])
+    frames = [spark.createDataFrame([(*r, at(r), "x", "y") for r in raw], RAW), spark.createDataFrame([(*r, at(r), "x") for r in stim], STIM), spark.createDataFrame([(*r, at(r), "x") for r in events], EVENTS)]
+    out = normalize_times(*frames, sites, **costs)
     return {(r.tab, r.row_key): (r.utc_us, r.status) for r in out.collect()}, {(r.tab, r.row_key): r.utc_us for r in normalized_foreign(out).collect()}
 
 
@@ -70,33 +72,55 @@ def test_empty_tables(spark):
     assert run(spark, [], [], []) == ({}, {})
 
 
-def test_viterbi_in_blocks_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(viterbi, "BLOCK", 4)
+def test_a_run_of_neighbours_outweighs_the_declared_order(spark):
+    # an American device at a site that declares DMY: only MDY reads its other dates
+    stim = [(i, "OSLO", f"{m}/{day}/2024 10:00:00") for i, (m, day) in enumerate([("03", "20"), ("03", "21"), ("04", "05"), ("04", "18"), ("04", "19")])]
+    got, found = run(spark, [], stim, [])
+    assert found["stim_metadata", 2] == us(2024, 4, 5, 8), got
+    # a lone ambiguous date among others keeps the declared order
+    lone = [(0, "OSLO", "2024-03-20 10:00:00"), (1, "OSLO", "04/05/2024 10:00:00"), (2, "OSLO", "2024-05-06 10:00:00")]
+    assert run(spark, [], lone, [])[1]["stim_metadata", 1] == us(2024, 5, 4, 8)
+    assert run(spark, [], stim, [], switch=0.0, backward=0.0)[1]["stim_metadata", 2] == us(2024, 5, 4, 8)
+
+
+def test_two_digit_parts_are_read_in_all_orders(spark):
+    sites = [("OSLO", "05.03.24 10:00:00", us(2024, 3, 5, 9)), ("SHAN", "24/03/05 10:00:00", us(2024, 3, 5, 2)), ("CHIC", "03/05/24 10:00:00", us(2024, 3, 5, 16)), ("SHAN", "05/05/24 10:00:00", us(2005, 5, 24, 2))]
+    got, found = run(spark, [], [(i, s, t) for i, (s, t, _) in enumerate(sites)], [])
+    assert {i: found.get(("stim_metadata", i)) for i in range(4)} == {i: want for i, (_, _, want) in enumerate(sites)}, got
+
+
+def test_viterbi_as_a_tree_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(viterbi, "BLOCK", 3)
+    monkeypatch.setattr(viterbi, "BUNDLE", 1)
     rng = np.random.default_rng(5)
-    day = viterbi.SLACK_US
+    day, quarter = viterbi.SLACK_US, 91 * 86_400_000_000
     rows = []
     for source in ("a", "b"):
-        for key in range(14):
+        for key in range(16):
             times = rng.permutation(9)[: int(rng.integers(1, 4))]  # different, so that a reading is told by its time
-            rows.append((source, key, [(str(rng.choice(["D", "M"])), int(t) * day, float(rng.integers(0, 3))) for t in times]))
-    df = spark.createDataFrame(rows, "source string, row_key long, readings array<struct<fmt:string,us:bigint,cost:double>>")
-    got = {(r.source, r.row_key): (r.us, r.cost) for r in viterbi.cheapest_readings(df, lambda x: x.cache()).collect()}
+            rows.append((source, key, (key // 6) * quarter + key, [(str(rng.choice(["D", "M"])), int(t) * day, float(rng.integers(0, 3))) for t in times]))
+    df = spark.createDataFrame(rows, "source string, row_key long, at long, readings array<struct<fmt:string,us:bigint,cost:double>>")
+    got = {(r.source, r.row_key): r for r in viterbi.cheapest_readings(df, F.col("at"), lambda x: x.cache()).collect()}
 
-    def cost(path):
-        total = sum(r[2] for r in path)
-        return total + sum((a[0] != b[0]) * viterbi.SWITCH_COST + (b[1] < a[1] - day) * viterbi.BACKWARD_COST for a, b in zip(path, path[1:]))
+    def step(a, b):
+        return (a[0] != b[0]) * viterbi.SWITCH_COST + (b[1] < a[1] - day) * viterbi.BACKWARD_COST
 
     for source in ("a", "b"):
-        own = [r for r in rows if r[0] == source]
-        best: dict = {}
-        for _, _, readings in own:  # exhaustive dynamic program over last readings
-            step = {}
-            for k, r in enumerate(readings):
-                options = [(c + r[2] + ((p[-1][0] != r[0]) * viterbi.SWITCH_COST + (r[1] < p[-1][1] - day) * viterbi.BACKWARD_COST if p else 0), [*p, r]) for c, p in (best.values() or [(0.0, [])])]
-                step[k] = min(options, key=lambda x: x[0])
-            best = step
-        least = min(c for c, _ in best.values())
-        chosen = []
-        for _, key, readings in own:
-            chosen.append(readings[0] if len(readings) == 1 else next(r for r in readings if (r[1], r[2]) == got[source, key]))
-        assert cost(chosen) <= least + 1e-9, (source, cost(chosen), least)
+        own = [r[3] for r in rows if r[0] == source]
+        for k, readings in enumerate(own):
+            through = []
+            for fixed in readings:  # the cheapest path through each reading of record k
+                costs = [0.0]
+                last: list = [None]
+                for j, options in enumerate([fixed] if j == k else rs for j, rs in enumerate(own)):
+                    new = [min(c + (step(p, r) if p else 0) for c, p in zip(costs, last)) + r[2] for r in options]
+                    costs, last = new, options
+                through.append(min(costs))
+            if len(readings) == 1:
+                assert (source, k) not in got
+                continue
+            row = got[source, k]
+            picked = next(i for i, r in enumerate(readings) if r[1] == row.us)
+            assert through[picked] == min(through)
+            others = [c for c, r in zip(through, readings) if r[0] != readings[picked][0]]
+            assert row.gap == (min(others) - through[picked] if others else float("inf"))
