@@ -40,6 +40,13 @@ ALIASES = {
 }
 #: How a field's values are brought to one type; fields that are not named here stay texts.
 CASTS = {x: "number" for x in ("sampling_freq", "value_scale_to_uv", "stim_freq", "amplitude_ma", "pulse_width_us", "mni_x", "mni_y", "mni_z")} | {"bad_channel": "flag", "stim_pair": "pair", "elec_label": "label"} | {x: "time" for x in ("start_time", "stop_time", "stim_start", "stim_stop")}
+#: Units that a number may be written with, by what they are in the field's own unit; "" is a number without one.
+HERTZ, MICROVOLTS = {"": 1.0, "hz": 1.0, "khz": 1e3}, {"": 1.0, "uv": 1.0, "nv": 1e-3, "mv": 1e3, "v": 1e6}
+MILLIMETRES = {"": 1.0, "mm": 1.0, "cm": 10.0, "m": 1e3}
+UNITS = {
+    "sampling_freq": HERTZ, "stim_freq": HERTZ, "value_scale_to_uv": MICROVOLTS, "amplitude_ma": {"": 1.0, "ma": 1.0, "ua": 1e-3, "a": 1e3},
+    "pulse_width_us": {"": 1.0, "us": 1.0, "ms": 1e3, "s": 1e6}, "mni_x": MILLIMETRES, "mni_y": MILLIMETRES, "mni_z": MILLIMETRES,
+}
 
 
 def bare(name: Column) -> Column:

@@ -26,28 +26,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return time_normalize.normalized_foreign(p2_times(spark, d))
 
 
-def _drift(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "metadata_rows"), table(spark, d, "metadata_files")
+def p6_versions(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.versions(table(spark, d, "metadata_rows"), table(spark, d, "metadata_files"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.changes(*_drift(spark, d))
+    return schema_drift.changes(p6_versions(spark, d))
 
 
-def p6_versions(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.versions(*_drift(spark, d))
+def _migrated(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return schema_drift.migrate(table(spark, d, "metadata_rows"), p6_versions(spark, d), kind)
 
 
 def p6_raw(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.migrate(*_drift(spark, d), "raw")
+    return _migrated(spark, d, "raw")
 
 
 def p6_stim(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.migrate(*_drift(spark, d), "stim")
+    return _migrated(spark, d, "stim")
 
 
 def p6_electrode(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.migrate(*_drift(spark, d), "electrode")
+    return _migrated(spark, d, "electrode")
 
 
 QUERIES = {x.__name__: x for x in (p1_found, p1_peaks, p2_found, p2_times, p6_found, p6_versions, p6_raw, p6_stim, p6_electrode)}
