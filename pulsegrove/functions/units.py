@@ -67,15 +67,17 @@ def factor_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FACTORS.items()), "unit string, unit_pv long")
 
 
-#: A number with a point or a comma as decimal mark, perhaps with an exponent.
-NUMBER = r"^\s*([-+]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][-+]?\d+)?)(.*)$"
+#: Perhaps a word, then a number with a point or a comma as decimal mark, perhaps with an exponent, then the rest.
+NUMBER = r"^\s*([A-Za-zµμ][A-Za-zµμ_-]*)?\s*([-+]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][-+]?\d+)?)(.*)$"
+#: A rest that goes on with the number, such as after a separator of thousands: which number is meant is open.
+MORE = r"^\s*[.,']?\d"
 
 
 def number_of(text: Column) -> Column:
-    """The number at the start of a text as a double; null if there is none."""
-    return F.regexp_replace(F.regexp_extract(text, NUMBER, 1), ",", ".").try_cast("double")
+    """The one number of a text as a double; null if there is none or its digits go on after it."""
+    return F.when(~F.regexp_extract(text, NUMBER, 3).rlike(MORE), F.regexp_replace(F.regexp_extract(text, NUMBER, 2), ",", ".").try_cast("double"))
 
 
 def rest_of(text: Column) -> Column:
-    """What follows the number; null if nothing does."""
-    return F.nullif(F.trim(F.regexp_extract(text, NUMBER, 2)), F.lit(""))
+    """What follows the number, else the word before it; null if there is neither."""
+    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, NUMBER, part)), F.lit("")) for part in (3, 1)))

@@ -4,8 +4,9 @@
 then in the row's unit field, then in what the recording and the model say, and converts to microvolts with a broadcast
 table of factors (its size is that of ``FACTORS``).
 
-Defined results: a null, blank or placeholder peak has no number and status ``unreadable``; a number that no field gives
-a unit has status ``no_unit`` and a null value; repeated rows come out once each; unknown recordings and models count as
+Defined results: a null, blank or placeholder peak, and one with more digits after its number (``1,234.5``), has no number and status ``unreadable``; a number that no field gives
+a unit has status ``no_unit`` and a null value; the unit may stand before the number; repeated rows come out once each; of several rows of one
+recording or model the least values count; unknown recordings and models count as
 silent; extra columns are not carried along, so their names cannot clash; an empty table gives an empty table.
 """
 
@@ -29,11 +30,11 @@ def normalize_peaks(peaks: DataFrame, recordings: DataFrame, models: DataFrame)
         find_unit(F.col("voltage_unit")).alias("field_unit"),
     )
     by_recording = recordings.groupBy("raw_id").agg(
-        F.first(F.when((F.col("value_scale_to_uv") > 0) & ~F.isnan("value_scale_to_uv") & (F.col("value_scale_to_uv") < 1e12), F.round(F.col("value_scale_to_uv") * 1e6).cast("long"))).alias("scale_pv"),
-        F.first("signal_units").alias("signal_units"),
+        F.min(F.when((F.col("value_scale_to_uv") > 0) & ~F.isnan("value_scale_to_uv") & (F.col("value_scale_to_uv") < 1e12), F.round(F.col("value_scale_to_uv") * 1e6).cast("long"))).alias("scale_pv"),
+        F.min("signal_units").alias("signal_units"),
     )
     by_recording = by_recording.select("raw_id", F.when(F.col("scale_pv") > 0, F.col("scale_pv")).alias("scale_pv"), find_unit(F.col("signal_units")).alias("signal_unit"))
-    by_model = models.groupBy("model_id").agg(F.first("voltage_unit").alias("u")).select("model_id", find_unit(F.col("u")).alias("model_unit"))
+    by_model = models.groupBy("model_id").agg(F.min("voltage_unit").alias("u")).select("model_id", find_unit(F.col("u")).alias("model_unit"))
     named = rows.join(by_recording, "raw_id", "left").join(by_model, "model_id", "left")
     named = named.withColumn("unit", F.coalesce("text_unit", "field_unit", F.when(F.col("scale_pv").isNull(), F.coalesce("signal_unit", "model_unit"))))
     out = named.join(factors, "unit", "left").select(

@@ -61,12 +61,16 @@ def _unit_sql(text: str) -> str:
 
 
 NUMBER_SQL = "'^\\s*([-+]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][-+]?[0-9]+)?)(.*)$'"
+PEAKS_SQL = f"""p AS (SELECT summary_id, try_cast(replace(regexp_extract(max_peak_abs, {NUMBER_SQL}, 1), ',', '.') AS DOUBLE) AS x, {_unit_sql(f"regexp_extract(max_peak_abs, {NUMBER_SQL}, 2)")} AS t, {_unit_sql("a.voltage_unit")} AS f,
+CASE WHEN value_scale_to_uv > 0 AND NOT isnan(value_scale_to_uv) THEN CAST(round(value_scale_to_uv * 1e6) AS BIGINT) END AS c, {_unit_sql("signal_units")} AS g, {_unit_sql("m.voltage_unit")} AS m
+FROM artifact_summary a LEFT JOIN raw_metadata USING (raw_id) LEFT JOIN n1_models m ON m.model_id = a.model_id),
+peaks AS (SELECT summary_id, CASE WHEN NOT isnan(x) THEN x END AS recorded, CAST(coalesce(t, f, c, g, m) AS BIGINT) AS unit_pv,
+CASE WHEN t IS NOT NULL THEN 'text' WHEN f IS NOT NULL THEN 'field' WHEN c IS NOT NULL THEN 'scale' WHEN g IS NOT NULL THEN 'signal' WHEN m IS NOT NULL THEN 'model' END AS unit_from FROM p)"""
 ALIASES_SQL = ", ".join(f"('{kind}', '{x}', '{field}')" for kind, fields in ALIASES.items() for field, names in fields.items() for x in [field.replace("_", ""), *names])
 
 ORACLES: dict[str, str] = {
-    "p1_found": f"""WITH a AS (SELECT summary_id, regexp_extract(max_peak_abs, {NUMBER_SQL}, 1) AS num, CAST(coalesce({_unit_sql(f"regexp_extract(max_peak_abs, {NUMBER_SQL}, 2)")}, {_unit_sql("a.voltage_unit")},
-CASE WHEN value_scale_to_uv > 0 AND NOT isnan(value_scale_to_uv) THEN CAST(round(value_scale_to_uv * 1e6) AS BIGINT) END, {_unit_sql("signal_units")}, {_unit_sql("m.voltage_unit")}) AS BIGINT) AS unit_pv
-FROM artifact_summary a LEFT JOIN raw_metadata USING (raw_id) LEFT JOIN n1_models m ON m.model_id = a.model_id) SELECT summary_id, unit_pv FROM a WHERE num <> '' AND unit_pv <> 1000000""",
+    "p1_peaks": f"""WITH {PEAKS_SQL} SELECT *, recorded * (unit_pv / 1e6) AS peak_uv, CASE WHEN recorded IS NULL THEN 'unreadable' WHEN unit_pv IS NULL THEN 'no_unit' ELSE 'converted' END AS status FROM peaks""",
+    "p1_found": f"""WITH {PEAKS_SQL} SELECT summary_id, unit_pv FROM peaks WHERE recorded IS NOT NULL AND unit_pv <> 1000000""",
     "p6_found": f"""WITH al(kind, bare, field) AS (VALUES {ALIASES_SQL}), k AS (SELECT r.file_id, kind, payload, unnest(json_keys(payload)) AS name FROM metadata_rows r JOIN metadata_files f ON f.file_id = r.file_id),
 t AS (SELECT file_id, kind, name, json_type(json_extract(payload, '$."' || name || '"')) AS ty FROM k),
 n AS (SELECT file_id, coalesce(field, name) AS field, name, CASE ty WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS ty

@@ -21,6 +21,7 @@ def test_first_field_that_names_a_unit_holds(spark):
     rows = [
         (1, 1, "2 mV", "uV", 1, "x", 0), (2, 1, "2", "V", 1, "x", 0), (3, 1, "2", "counts", 1, "x", 0), (4, 2, "3,5e+01", None, 1, "x", 0), (5, 3, "4", "", 1, "x", 0), (6, 4, "5", None, 9, "x", 0),
         (7, 1, "n/a", "mV", 1, "x", 0), (8, 1, None, "mV", 1, "x", 0), (9, None, "6", None, None, "x", 0), (10, 1, "2 mV", "uV", 1, "x", 0), (11, 2, "nan", "mV", 1, "x", 0),
+        (12, 1, "1,234.5 uV", None, 1, "x", 0), (13, 1, "mV 3", None, 1, "x", 0), (14, 1, "1 234 uV", None, 1, "x", 0),
     ]
     raw = [(1, 0.25, "mV", "y"), (2, None, "V", "y"), (3, float("nan"), "a.u.", "y")]
     out = normalize_peaks(spark.createDataFrame(rows, PEAKS), spark.createDataFrame(raw, RAW), spark.createDataFrame([(1, "nV"), (2, None)], MODELS))
@@ -32,8 +33,9 @@ def test_first_field_that_names_a_unit_holds(spark):
     assert got[4] == (10**12, "signal", 35e6, "converted")
     assert got[5] == (1000, "model", 0.004, "converted")
     assert got[6][3] == got[9][3] == "no_unit" and got[6][2] is None
-    assert got[7][3] == got[8][3] == got[11][3] == "unreadable"
-    assert {r.summary_id for r in foreign_units(out).collect()} == {1, 2, 3, 4, 5, 10}
+    assert got[7][3] == got[8][3] == got[11][3] == got[12][3] == got[14][3] == "unreadable"
+    assert got[13] == (10**9, "text", 3000.0, "converted")
+    assert {r.summary_id for r in foreign_units(out).collect()} == {1, 2, 3, 4, 5, 10, 13}
 
 
 def test_empty_tables(spark):
