@@ -5,8 +5,9 @@ chance-corrected accuracies, so for three raters k_ij * k_ik / k_jk = r_i square
 and denominator over all triplets it takes part in, and two least-squares passes over its pairs refine it. Votes are then combined with log-odds weights of those accuracies,
 and a rater's reliability is its chance-corrected agreement with the consensus of the others.
 
-Rates come from pairs of raters on one record. A record with more than ``BLOCK_LABELS`` labels is cut into blocks by a
-hash of the rater, and pairs are counted within blocks: every label counts, and pairs grow in proportion to labels.
+Rates come from all pairs of raters on one record. The raters of a record are cut into blocks of about ``BLOCK_LABELS``
+by hash, and every block meets every block of its record in a group of its own, so that no group grows with the record
+and no pair is left out; a record with that many labels or fewer is one group.
 Triplets are found along edges directed from fewer to more partners, so a rater who shares records with all others does
 not multiply.
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pulsegrove.session import cut
 
 LABELS = (0, 1, 2)
+#: Labels of a record that one group compares; a record with more is compared in several groups.
 BLOCK_LABELS = 48
 RELIABLE = 0.4
 #: Least-squares passes over the pairs after the triplets.
@@ -43,13 +45,18 @@ def kappa(n: Column, agree: Column, chance: Column) -> Column:
     return F.when(pe < 1 - 1e-9, (po - pe) / (1 - pe)).otherwise(F.lit(0.0))
 
 
-def pair_agreement(labels: DataFrame) -> DataFrame:
+def pair_agreement(labels: DataFrame, block_labels: int = BLOCK_LABELS) -> DataFrame:
     """a, b, n, k: raters (a before b) with their number of shared records and chance-corrected agreement."""
-    sizes = labels.groupBy("record_id").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("record_id", F.ceil(F.col("size") / BLOCK_LABELS).alias("blocks"))
-    spread = labels.join(sizes, "record_id").select("record_id", F.pmod(F.xxhash64("record_id", "rater"), F.col("blocks")).alias("block"), F.struct("rater", "label").alias("x"))
-    sets = spread.groupBy("record_id", "block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    sizes = labels.groupBy("record_id").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("record_id", F.ceil(F.col("size") / block_labels).cast("int").alias("blocks"))
+    spread = labels.join(sizes, "record_id").withColumn("own", F.pmod(F.xxhash64("record_id", "rater"), F.col("blocks")).cast("int"))
+    # a label goes to the groups (i, j), i <= j, of its block with each block of the record
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    spread = spread.select("record_id", F.explode(others).alias("g"), F.struct("rater", "label", "own").alias("x"))
+    sets = spread.groupBy("record_id", "g").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     later = lambda i: F.slice("xs", i + 2, F.greatest(F.size("xs") - i - 1, F.lit(0)))
-    pairs = sets.select(F.explode(F.flatten(F.transform("xs", lambda x, i: F.transform(later(i), lambda y: F.struct(x.alias("p"), y.alias("q")))))).alias("pq"))
+    pairs = sets.select("g", F.explode(F.flatten(F.transform("xs", lambda x, i: F.transform(later(i), lambda y: F.struct(x.alias("p"), y.alias("q")))))).alias("pq"))
+    # two raters of one block meet in that block's own group only
+    pairs = pairs.where((F.col("g.i") == F.col("g.j")) | (F.col("pq.p.own") != F.col("pq.q.own")))
     pairs = pairs.select(F.col("pq.p.rater").alias("a"), F.col("pq.q.rater").alias("b"), F.col("pq.p.label").alias("la"), F.col("pq.q.label").alias("lb"))
     is_ = lambda c, v: F.sum((F.col(c) == v).cast("long"))
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum((F.col("la") == F.col("lb")).cast("long")).alias("agree"), *(is_(c, v).alias(f"{c}{v}") for c in ("la", "lb") for v in LABELS))
@@ -57,7 +64,7 @@ def pair_agreement(labels: DataFrame) -> DataFrame:
     return counts.select("a", "b", "n", kappa(F.col("n"), F.col("agree"), chance).alias("k"))
 
 
-def triplet_accuracies(pairs: DataFrame) -> DataFrame:
+def triplet_accuracies(pairs: DataFrame, refinements: int = REFINEMENTS) -> DataFrame:
     """rater, accuracy: chance-corrected, between -1 and 1."""
     both = pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), "n", "k").unionByName(pairs.select(F.col("b").alias("i"), F.col("a").alias("j"), "n", "k"))
     degree = both.groupBy("i").agg(F.count("*").alias("d"))
@@ -74,7 +81,7 @@ def triplet_accuracies(pairs: DataFrame) -> DataFrame:
     size = moments.where(F.col("den") > 0).select(F.col("rater").alias("j"), F.sqrt(F.greatest(F.col("num") / F.col("den"), F.lit(0.0))).alias("r"))
     # raters who copy each other pull down the moments of all who meet both; weighing each pair by the partner's own
     # accuracy takes that back, gives the sign, and reaches raters without a triplet
-    for _ in range(REFINEMENTS):
+    for _ in range(refinements):
         fitted = both.join(size, "j").groupBy(F.col("i").alias("j")).agg(F.sum(F.col("n") * F.col("k") * F.col("r")).alias("up"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("down"))
         fit = F.col("up") / F.col("down")
         # where all partners are too low by a factor, the fit is too high by it: their geometric mean is right

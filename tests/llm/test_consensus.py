@@ -39,11 +39,46 @@ def test_accuracies_consensus_and_unreliable_raters(spark):
     assert {r.rater for r in consensus.unreliable(annotations).collect()} == {"r5", "r6"}
 
 
-def test_blocks_of_large_records_keep_every_label(spark, monkeypatch):
-    monkeypatch.setattr(consensus, "BLOCK_LABELS", 3)
-    rows, _, skill = simulated(2, 400)
-    pairs = consensus.pair_agreement(consensus.latest_labels(frame(spark, rows)))
-    assert {x for r in pairs.collect() for x in (r.a, r.b)} == set(skill)
+def brute_pairs(rows):
+    by_record, counts = {}, {}
+    for r, who, v in rows:
+        by_record.setdefault(r, {})[who] = v
+    for votes in by_record.values():
+        for a in votes:
+            for b in votes:
+                if a < b:
+                    n, same, ca, cb = counts.setdefault((a, b), [0, 0, [0] * 3, [0] * 3])
+                    counts[a, b][0] += 1
+                    counts[a, b][1] += votes[a] == votes[b]
+                    ca[votes[a]] += 1
+                    cb[votes[b]] += 1
+    out = {}
+    for pair, (n, same, ca, cb) in counts.items():
+        chance = sum(x * y for x, y in zip(ca, cb)) / n**2
+        out[pair] = (n, (same / n - chance) / (1 - chance) if chance < 1 - 1e-9 else 0.0)
+    return out
+
+
+def test_pairs_of_records_with_many_labels_are_all_counted(spark):
+    rng = np.random.default_rng(3)
+    rows = [(r, f"w{k:03d}", int(rng.integers(3))) for r, size in ((1, 200), (2, 200), (3, 49), (4, 5)) for k in rng.permutation(220)[:size]]
+    labels = consensus.latest_labels(frame(spark, rows))
+    want = brute_pairs(rows)
+    for block in (48, 7):
+        got = {(r.a, r.b): (r.n, r.k) for r in consensus.pair_agreement(labels, block).collect()}
+        assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
+
+
+def test_refinements_lower_the_error_where_raters_copy(spark):
+    errors = {0: [], 2: []}
+    for seed in (1, 2, 3):
+        rows, _, skill = simulated(seed)
+        pairs = consensus.pair_agreement(consensus.latest_labels(frame(spark, rows))).cache()
+        for n in errors:
+            got = {r.rater: r.accuracy for r in consensus.triplet_accuracies(pairs, n).collect()}
+            errors[n].append(np.mean([abs(got.get(w, 0.0) - s) for w, s in skill.items()]))
+    print("mean error of accuracies without and with the passes:", np.round(np.mean(errors[0]), 3), np.round(np.mean(errors[2]), 3))
+    assert np.mean(errors[2]) < np.mean(errors[0]) - 0.02
 
 
 def test_edge_cases(spark):
