@@ -38,20 +38,31 @@ def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(consensus.prepare(table(spark, d, "annotations"))[0])
 
 
-#: Ends of the increments in which the splits are built; None takes in everything left.
-INCREMENTS = ["2023-07-01", None]
+def _split_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "participants"), table(spark, d, "family_coverage"), table(spark, d, "sites")
 
 
-def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return splits.increments(table(spark, d, "participants"), table(spark, d, "family_coverage"), table(spark, d, "sites"), INCREMENTS)
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    """The splits' members after two increments: the earlier half of the rows by time, then the rest."""
+    participants, coverage, sites = _split_tables(spark, d)
+    middle = coverage.agg(F.percentile_approx(F.unix_micros(F.col("computed_at").cast("timestamp")), 0.5).alias("at")).select(F.timestamp_micros("at").cast("timestamp_ntz").cast("string").alias("at")).first()["at"]
+    path, version = splits.increments(participants, coverage, sites, [middle, None] if middle else [None])
+    return splits.members(spark, path, version)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.tied_pairs(_splits(spark, d)[1])
+    return splits.tied_pairs(_splits(spark, d))
 
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:
-    return splits.split_rows(*_splits(spark, d))
+    participants, coverage, _ = _split_tables(spark, d)
+    return splits.split_rows(participants, coverage, _splits(spark, d))
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """split, n_rows, n_components, share of all rows."""
+    rows = p5_splits(spark, d).groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_components"))
+    return rows.select("split", "n_rows", "n_components", (F.col("n_rows") / rows.agg(F.sum("n_rows")).scalar()).alias("share"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +91,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_level.learned(p9_levels(spark, d))
 
 
-QUERIES = {x.__name__: x for x in (p3_found, p3_unmatched, p4_found, p4_raters, p4_consensus, p5_found, p5_splits, p7_ids, p7_roundtrip, p8_containers, p8_summary, p9_found, p9_levels)}
+QUERIES = {x.__name__: x for x in (p3_found, p3_unmatched, p4_found, p4_raters, p4_consensus, p5_found, p5_splits, p5_shares, p7_ids, p7_roundtrip, p8_containers, p8_summary, p9_found, p9_levels)}
 
 
 def _code_sql(text: str, site: str | None = None) -> str:

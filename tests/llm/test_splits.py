@@ -7,15 +7,21 @@ import numpy as np
 
 from pulsegrove.llm import splits
 
-PEOPLE = "participant_key long, participant_id string, site string, former_id string, component string"
-COVERAGE = "coverage_id long, subject string, site string, stimpair string, recording_uid string, computed_at timestamp, split string"
+PEOPLE = "participant_key long, participant_id string, site string, former_id string, registered_at timestamp_ntz, component string"
+COVERAGE = "coverage_id long, subject string, site string, stimpair string, recording_uid string, computed_at timestamp_ntz, split string"
 UID = "00c8adc1-fdce-5e7c-8e4f0f70"
 
 
 def frames(spark, people, rows):
     at = dt.datetime(2022, 1, 1)
     coverage = [(i, s, t, "A1-A2", u, None if n is None else at + dt.timedelta(days=n), "x") for i, (s, t, u, n) in enumerate(rows)]
-    return spark.createDataFrame([(*p, "x") for p in people], PEOPLE), spark.createDataFrame(coverage, COVERAGE), spark.createDataFrame([("HAVN",), ("BRIX",)], "site string")
+    return spark.createDataFrame([(*p, at, "x") for p in people], PEOPLE), spark.createDataFrame(coverage, COVERAGE), spark.createDataFrame([("HAVN",), ("BRIX",)], "site string")
+
+
+def run(spark, people, rows, until):
+    p, c, s = frames(spark, people, rows)
+    state = splits.members(spark, *splits.increments(p, c, s, until))
+    return splits.split_rows(p, c, state), state
 
 
 def test_who_belongs_together(spark):
@@ -24,34 +30,46 @@ def test_who_belongs_together(spark):
         ("P1", " havn ", UID, 1), ("BRIX-0001", "BRIX", "{00C8ADC1-FDCE-5E7C-8E4F0F70}", 2), ("sub-BRIX0002", "x", "0" * 24, 3), ("3", "BRIX", "0" * 24, 4), ("PHANTOM", "HAVN", UID, 5), ("PHANTOM", "HAVN", "CAL-2024-W26", 5),
         (None, None, None, None), ("HAVN0002", "HAVN", "n/a", 6), ("HAVN0003", "HAVN", "n/a", 6), ("P1", " havn ", UID, 1), ("y" * 50_000, "HAVN", "z" * 50_000, 7),
     ]
-    p, c, s = frames(spark, people, rows)
-    coverage, state = splits.increments(p, c, s, ["2022-01-03", None])
-    assert sorted((r.participant_key_a, r.participant_key_b) for r in splits.tied_pairs(state).collect()) == [(1, 2), (1, 5), (2, 5)]
-    out = splits.split_rows(coverage, state).collect()
-    assert len(out) == len(rows) and all(r.split for r in out)
-    sides = {}
-    for r in out:
-        assert sides.setdefault(r.component, r.split) == r.split
-
-
-def test_increments_keep_splits_and_quarantine_conflicts(spark):
-    first = spark.createDataFrame([(1, 1, "train", "new"), (2, 2, "test", "new"), (3, 3, "train", "new")], "entity long, component long, split string, status string")
-    tokens = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c")], "entity long, token string")
-    merged = splits.merge(first, spark.createDataFrame([(4,), (5,)], "entity long"), tokens)
-    got = {r.entity: (r.component, r.split, r.status) for r in splits.assign(merged, spark.createDataFrame([(i, 10) for i in range(1, 6)], "entity long, weight long")).collect()}
-    assert got[1][1:] == got[2][1:] == ("quarantine", "conflict") and got[1][0] == got[2][0] == 1
-    assert got[3] == (3, "train", "kept") and got[4] == (3, "train", "kept")
-    assert got[5][2] == "new" and got[5][1] in splits.SPLITS
-
-
-def test_state_is_persisted(spark, tmp_path):
-    first = splits.assign(splits.merge(None, spark.createDataFrame([(1,), (2,)], "entity long"), spark.createDataFrame([], "entity long, token string")), spark.createDataFrame([(1, 1), (2, 1)], "entity long, weight long"))
-    splits.save_state(first, str(tmp_path), 1)
-    old = splits.load_state(spark, str(tmp_path), 1)
-    merged = splits.merge(old, spark.createDataFrame([(3,)], "entity long"), spark.createDataFrame([(2, "a"), (3, "a")], "entity long, token string"))
-    new = {r.entity: (r.split, r.status) for r in splits.assign(merged, spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "entity long, weight long")).collect()}
-    before = {r.entity: r.split for r in old.collect()}
-    assert new == {1: (before[1], "kept"), 2: (before[2], "kept"), 3: (before[2], "kept")}
+    for until in (["2022-01-03", None], ["2022-01-02 12:00:00", "2022-01-05", "2022-01-07", None], [None]):
+        out, state = run(spark, people, rows, until)
+        assert sorted((r.participant_key_a, r.participant_key_b) for r in splits.tied_pairs(state).collect()) == [(1, 2), (1, 5), (2, 5)]
+        out = out.collect()
+        assert len(out) == len(rows) and all(r.split for r in out)
+        sides = {}
+        for r in out:
+            assert sides.setdefault(r.component, r.split) == r.split
+
+
+def grown(spark, path, version, batch, codes=()):
+    splits.increment(spark, path, version, spark.createDataFrame(batch, "entity long, uid string"), spark.createDataFrame([], "entity long"), spark.createDataFrame(list(codes), "entity long, token string"))
+    return {r.entity: (r.component, r.split, r.status) for r in splits.members(spark, path, version).collect()}
+
+
+def test_increments_keep_splits_quarantine_conflicts_and_follow_merges(spark, tmp_path):
+    path = str(tmp_path / "state")
+    # two splits at least: the larger component goes to the one that lacks most, the other to another
+    first = grown(spark, path, 1, [(1, "a")] * 8 + [(2, "b")] * 2)
+    assert {first[1][1], first[2][1]} <= set(splits.SPLITS) and first[1][1] != first[2][1] and first[1][2] == "new"
+    second = grown(spark, path, 2, [(3, "b"), (4, "c"), (5, "c")])
+    assert second[1] == (1, first[1][1], "kept") and second[2] == second[3] == (2, first[2][1], "kept") and second[4][:2] == second[5][:2] and second[4][2] == "new"
+    # a row of 3 with 1's recording ties components of two splits, whose members arrived in earlier increments
+    third = grown(spark, path, 3, [(3, "a"), (6, "c")])
+    assert {third[k] for k in (1, 2, 3)} == {(1, "quarantine", "conflict")} and third[4][:2] == third[5][:2] == third[6][:2] and third[4][1] == second[4][1]
+    # whoever joins a quarantined component is quarantined, and earlier versions stay as they were
+    fourth = grown(spark, path, 4, [(7, "b"), (8, "d")], [(8, "code|x"), (2, "code|x")])
+    assert fourth[7][:2] == (1, "quarantine") and fourth[8][1] in splits.SPLITS
+    assert {r.entity for r in splits.members(spark, path, 2).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_an_increment_reads_its_rows_and_the_state_only(spark, tmp_path):
+    path, jobs = str(tmp_path / "state"), []
+    status = spark.sparkContext.statusTracker()
+    for version in range(1, 5):
+        spark.sparkContext.setJobGroup(f"increment {version}", "")
+        grown(spark, path, version, [(10 * version + k, f"u{version}-{k // 2}") for k in range(10)])
+        jobs.append(len(status.getJobIdsForGroup(f"increment {version}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[3] <= jobs[1] + 2, jobs
 
 
 def test_components_equal_union_find_and_shares_are_kept(spark):
@@ -71,14 +89,34 @@ def test_components_equal_union_find_and_shares_are_kept(spark):
     smallest = {}
     for e in range(n):
         smallest.setdefault(find(e), e)
-    df = spark.createDataFrame(tokens, "entity long, token string")
-    merged = splits.merge(None, spark.createDataFrame([(i,) for i in range(n)], "entity long"), df)
-    assert {r.entity: r.component for r in merged.collect()} == {e: smallest[find(e)] for e in range(n)}
-    out = splits.assign(merged, spark.createDataFrame([(i, 1) for i in range(n)], "entity long, weight long"))
-    shares = Counter(r.split for r in out.collect())
-    assert abs(shares["train"] / n - 0.8) < 0.05 and abs(shares["test"] / n - 0.1) < 0.05
+    found = {r.entity: r.component for r in splits.components(splits.stars(spark.createDataFrame(tokens, "entity long, token string"))).collect()}
+    assert {e: found.get(e, e) for e in range(n)} == {e: smallest[find(e)] for e in range(n)}
+    nodes = spark.createDataFrame([(i, found.get(i, i), None, 1) for i in range(n)], "component long, root long, split string, weight long")
+    errors = {}
+    for large in (splits.LARGE, 2.0, 0.0):  # as it is, all in hash order, all one by one
+        shares = Counter()
+        for r in splits.assign(nodes, None, large).collect():
+            shares[r.split] += r.weight
+        errors[large] = max(abs(shares[s] / n - share) for s, share in splits.SPLITS.items())
+    print("largest error of a share, as it is, in hash order, one by one:", errors)
+    assert errors[splits.LARGE] < 0.01 and errors[2.0] < 0.25 and errors[0.0] < 0.01
+
+
+def test_shares_of_the_given_tables(spark, data):
+    import __spark_entry__ as entry
+
+    shares = {r.split: r.share for r in entry.queries()["p5_shares"](spark, data.replace("0.001", "0.01")).collect()}
+    kept = 1 - shares.get(splits.QUARANTINE, 0.0)
+    assert all(abs(shares[s] / kept - share) < 0.04 for s, share in splits.SPLITS.items()), shares
+
+
+def test_pairs_of_a_large_component(spark, monkeypatch):
+    monkeypatch.setattr(splits, "PAIR_BLOCK", 8)
+    state = spark.createDataFrame([(i, 1) for i in range(1, 41)] + [(100, 2), (-5, 1)], "entity long, component long")
+    pairs = [(r.participant_key_a, r.participant_key_b) for r in splits.tied_pairs(state).collect()]
+    assert sorted(pairs) == [(a, b) for a in range(1, 41) for b in range(a + 1, 41)]
 
 
 def test_empty_tables(spark):
-    coverage, state = splits.increments(*frames(spark, [], []), ["2022-01-03", None])
-    assert splits.split_rows(coverage, state).count() == 0 and splits.tied_pairs(state).count() == 0
+    out, state = run(spark, [], [], ["2022-01-03", None])
+    assert out.count() == 0 and splits.tied_pairs(state).count() == 0
