@@ -1,10 +1,11 @@
 """Problem 3: freely typed values mapped to the entries of a canonical list.
 
 Distinct values are normalised once (look-alike letters, wide digits, number words, amplifier prefixes, remarks) into a
-side with letters and a contact number. The letters' character bigrams are looked up in an inverted index of the
-catalog's labels and anatomical names; a candidate is scored by the cosine of bigram counts weighted by their rarity in
-the catalog, raised for words within one edit. The best lead is accepted above a threshold and a margin over the next
-lead; an exact check then asks that no other retrieved lead is as few edits away, and that the lead has the contact.
+side with letters and a contact number. The letters' character n-grams are looked up in an inverted index of the catalog's
+labels and anatomical names: bigrams and trigrams weighted by their rarity in the catalog, and gapped n-grams of the whole
+word less one letter, which a typing error leaves in common. A candidate's score is the cosine of these weighted counts.
+The best lead is accepted if its score reaches a threshold and leads the next one by a margin. Leads closer to each other
+than the margin are settled by an exact check of edits among them; if two are equally near, the value is ambiguous.
 
 Defined results: null, empty and placeholder values, values without exactly one number, with two sides, or equally
 close to two leads are unmatched and reported with a reason; equal values share one result; texts of any length are
@@ -21,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cosine at which a lead is retrieved; score at which it is accepted, and its margin over the next lead.
-RETRIEVE, THRESHOLD, MARGIN = 0.1, 0.4, 0.05
-#: What a word zero or one edit away adds to the cosine.
-CLOSE = {0: 1.0, 1: 0.7}
-#: Weight of a bigram that the catalog doesn't have, such as a typing error makes.
+#: Score at which a lead is accepted, and its margin over the next lead.
+THRESHOLD, MARGIN = 0.15, 0.03
+#: Lengths of the n-grams, and the share of the gapped ones as a multiple of theirs.
+LENGTHS, GAPPED = (2, 3), 2.0
+#: Weight of an n-gram that the catalog doesn't have, such as a typing error makes.
 STRANGE = 0.25
 
 # Letters of other scripts that look like Latin ones, number words, and words that name no lead.
@@ -65,30 +66,42 @@ def spelled(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([spell(x) for x in texts], columns=["stem", "number", "reason"])
 
 
-def bigrams(word: Column) -> Column:
-    """The character bigrams of a word between its ends, as an array with repeats."""
+def grams(word: Column) -> Column:
+    """The character n-grams of a word between its ends, as an array with repeats."""
     framed = F.concat(F.lit("^"), word, F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(framed) - 1), lambda i: F.substring(framed, i, F.lit(2)))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(framed) - (n - 1)), lambda i: F.substring(framed, i, F.lit(n)))
+    return F.concat(*(F.when(F.length(framed) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in LENGTHS))
 
 
-def one_edit(a: str, b: str) -> int:
-    """0 for equal words, 1 for words one insertion, deletion, substitution or swap of neighbours apart, else 2."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > 1:
-        return 2
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    if len(a) == len(b):
-        swap = a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
-        return 1 if a[k + 1 :] == b[k + 1 :] or swap else 2
-    return 1 if a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:] else 2
+def gapped(word: Column, longest: Column | None = None) -> Column:
+    """The word, and the word less each of its letters.
 
+    Of a word over ``longest`` + 1 letters only itself: none of its others can be one of a word of ``longest`` letters.
+    """
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    whole = F.array(word)
+    each = F.array_distinct(F.concat(whole, less))
+    return F.transform(each if longest is None else F.when(F.length(word) <= longest + 1, each).otherwise(whole), lambda x: F.concat(F.lit("="), x))
 
-@F.pandas_udf(T.IntegerType())
-def edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([one_edit(x, y) for x, y in zip(a, b)], dtype="int32")
+
+def counted(words: DataFrame, word: str, longest: Column | None = None) -> DataFrame:
+    """``words`` with a row for each distinct gram of ``word``, its count n and whether it is gapped (at least one letter each)."""
+    each = F.concat(F.transform(grams(F.col(word)), lambda g: F.struct(g.alias("gram"), F.lit(False).alias("gap"))), F.transform(gapped(F.col(word), longest), lambda g: F.struct(g.alias("gram"), F.lit(True).alias("gap"))))
+    return words.select(*words.columns, F.explode(each).alias("g")).groupBy(*words.columns, "g.gram", "g.gap").agg(F.count("*").alias("n"))
+
+
+def unit_vectors(weighed: DataFrame, key: list[str]) -> DataFrame:
+    """key, gram, v of rows of key, gram, gap, v: both kinds scaled to length 1, the gapped ones then to ``GAPPED``, and all to length 1."""
+    lengths = weighed.groupBy(*key, "gap").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_length"))
+    scale = F.when(F.col("gap"), GAPPED).otherwise(1.0) / (1 + GAPPED**2) ** 0.5
+    return weighed.join(lengths, [*key, "gap"]).select(*key, "gram", (F.col("v") / F.col("_length") * scale).alias("v"))
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Insertions, deletions and substitutions between two words; a swap of neighbours alone counts as one."""
+    edits = F.levenshtein(a, b)
+    swap = (F.length(a) == F.length(b)) & (F.size(F.array_intersect(gapped(a), gapped(b))) >= 2)
+    return F.when((edits == 2) & swap, 1).otherwise(edits)
 
 
 def lead_forms(catalog: DataFrame) -> DataFrame:
@@ -99,39 +112,37 @@ def lead_forms(catalog: DataFrame) -> DataFrame:
     return forms.where("form is not null and form <> ''").distinct()
 
 
-def match_stems(stems: DataFrame, catalog: DataFrame) -> DataFrame:
+def match_stems(stems: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """stem, lead, score, verdict for each distinct stem (side|letters); lead is null unless the verdict is accepted."""
     forms = lead_forms(catalog)
-    entries = forms.select("lead", "form", F.explode(bigrams(F.col("form"))).alias("gram")).groupBy("lead", "form", "gram").agg(F.count("*").alias("n"))
+    longest = F.lit(forms.agg(F.max(F.length("form"))).first()[0] or 0)  # one number of a reference table
+    entries = counted(forms, "form")
     rarity = entries.groupBy("gram").agg(F.count_distinct("form").alias("df")).select("gram", (F.lit(1.0) / F.sqrt("df")).alias("weight"))
-    entries = entries.join(rarity, "gram").withColumn("v", F.col("n") * F.col("weight"))
-    index = entries.join(entries.groupBy("form").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")), "form").select("gram", "lead", "form", (F.col("v") / F.col("norm")).alias("v"))
-
-    words = stems.withColumn("side", F.split("stem", r"\|")[0]).withColumn("word", F.concat("side", F.split("stem", r"\|")[1]))
-    grams = words.select("stem", "side", "word", F.explode(bigrams(F.col("word"))).alias("gram")).groupBy("stem", "side", "word", "gram").agg(F.count("*").alias("n"))
-    weighed = grams.join(rarity, "gram", "left").withColumn("v", F.col("n") * F.coalesce("weight", F.lit(STRANGE)))
-    norms = weighed.groupBy("stem").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    hits = weighed.select("stem", "side", "word", "gram", F.col("v").alias("q")).join(index, "gram").groupBy("stem", "side", "word", "lead", "form").agg(F.sum(F.col("q") * F.col("v")).alias("dot"))
-    scored = hits.join(norms, "stem").where((F.col("side") == "") | F.col("form").startswith(F.col("side"))).select("stem", "word", "lead", "form", (F.col("dot") / F.col("norm")).alias("score"))
-    near = scored.where(F.col("score") >= RETRIEVE).withColumn("edits", edits("word", "form"))
-    close = F.coalesce(*(F.when(F.col("edits") == k, v) for k, v in CLOSE.items()), F.lit(0.0))
-    per_lead = near.groupBy("stem", "lead").agg(F.max((F.col("score") + close) / 2).alias("score"), F.min("edits").alias("edits"))
-    top = per_lead.groupBy("stem").agg(
-        F.max(F.struct("score", "lead", "edits")).alias("best"), F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(1)).alias("next"), F.get(F.sort_array(F.collect_list("edits")), F.lit(1)).alias("next_edits")
-    )
-    verdict = (
-        F.when((F.col("best")["score"] < THRESHOLD) | (F.col("best")["edits"] > 1), "too far")
-        .when((F.col("best")["score"] - F.coalesce("next", F.lit(0.0)) < MARGIN) | (F.col("next_edits") <= F.col("best")["edits"]), "ambiguous").otherwise("accepted")
-    )
-    return top.select("stem", F.when(verdict == "accepted", F.col("best")["lead"]).alias("lead"), F.col("best")["score"].alias("score"), verdict.alias("verdict"))
-
-
-def map_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
+    index = unit_vectors(entries.join(rarity, "gram").select("lead", "form", "gram", "gap", F.when(F.col("gap"), 1.0).otherwise(F.col("n") * F.col("weight")).alias("v")), ["lead", "form"])
+
+    words = stems.withColumn("side", F.split("stem", r"\|")[0]).withColumn("word", F.concat("side", F.split("stem", r"\|")[1])).select("stem", "side", "word")
+    weighed = counted(words, "word", longest).join(rarity, "gram", "left").select("stem", "side", "word", "gram", "gap", F.when(F.col("gap"), 1.0).otherwise(F.col("n") * F.coalesce("weight", F.lit(STRANGE))).alias("v"))
+    asked = unit_vectors(weighed, ["stem", "side", "word"]).withColumnRenamed("v", "q")
+    hits = asked.join(index, "gram").where((F.col("side") == "") | F.col("form").startswith(F.col("side"))).groupBy("stem", "word", "lead", "form").agg(F.sum(F.col("q") * F.col("v")).alias("score"))
+    per_lead = hits.groupBy("stem", "word", "lead").agg(F.max("score").alias("score"), F.max_by("form", F.struct("score", "form")).alias("form"))
+    # the catalog's leads are few, and fewer of them share a gram with one word
+    top = per_lead.groupBy("stem", "word").agg(F.sort_array(F.collect_list(F.struct("score", "lead", "form")), asc=False).alias("ranked"))
+    best = F.col("ranked")[0]
+    close = F.filter("ranked", lambda c: c["score"] > best["score"] - margin)
+    near = F.array_sort(F.transform(close, lambda c: F.struct(edit_distance(F.col("word"), c["form"]).alias("edits"), c["lead"].alias("lead"), c["score"].alias("score"))))
+    decided = top.select("stem", best.alias("best"), F.size(close).alias("n_close"), F.when(F.size(close) > 1, near).alias("near"))
+    first, second = F.col("near")[0], F.col("near")[1]
+    verdict = F.when(F.col("best")["score"] < threshold, "too far").when((F.col("n_close") > 1) & (first["edits"] == second["edits"]), "ambiguous").otherwise("accepted")
+    lead = F.when(F.col("n_close") > 1, first["lead"]).otherwise(F.col("best")["lead"])
+    return decided.select("stem", F.when(verdict == "accepted", lead).alias("lead"), F.col("best")["score"].alias("score"), verdict.alias("verdict"))
+
+
+def map_values(values: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """value, catalog_id, score, verdict for each distinct ``value`` (null included)."""
     distinct = values.select("value").distinct().withColumn("s", spelled("value"))
     parsed = distinct.select("value", F.col("s.stem").alias("stem"), F.col("s.number").alias("number"), F.col("s.reason").alias("reason"))
     stems = parsed.where("reason = ''").select("stem").distinct()
-    matched = match_stems(stems, catalog)
+    matched = match_stems(stems, catalog, threshold, margin)
     contacts = catalog.groupBy(F.upper(F.trim("lead_label")).alias("lead"), F.col("contact_no").alias("number")).agg(F.min("catalog_id").alias("catalog_id"))
     found = parsed.join(matched, "stem", "left").join(contacts, ["lead", "number"], "left")
     verdict = F.when(F.col("reason") != "", F.col("reason")).when(F.col("verdict").isNull(), "no candidate").when((F.col("verdict") == "accepted") & F.col("catalog_id").isNull(), "no such contact").otherwise(F.col("verdict"))

@@ -1,13 +1,54 @@
 from __future__ import annotations
 
-from pulsegrove.llm.canonical_map import map_tables, map_values, one_edit, rewritten, unmatched
+import random
+
+from pyspark.sql import functions as F
+
+from pulsegrove.llm import canonical_map
+from pulsegrove.llm.canonical_map import map_tables, map_values, rewritten, unmatched
 
 CATALOG = [(i, f"{lead}{n}", lead, n, name) for i, (lead, n, name) in enumerate([(x, n, y) for x, y in [("LCINA", "left anterior cingulate"), ("RCINA", "right anterior cingulate"), ("LCINP", "left posterior cingulate"), ("LINSAN", "left anterior insula"), ("RPUTAM", "right putamen")] for n in range(1, 11)])]
 SCHEMA = "catalog_id long, elec_label string, lead_label string, contact_no int, anat_label string"
 
 
-def test_one_edit():
-    assert [one_edit("abc", x) for x in ("abc", "abd", "ab", "abcd", "acb", "bac", "cba", "abcde")] == [0, 1, 1, 1, 1, 1, 2, 2]
+def test_edit_distance(spark):
+    words = ["abc", "abd", "ab", "abcd", "acb", "bac", "cba", "abcde"]
+    out = spark.createDataFrame([(x,) for x in words], "x string").select("x", canonical_map.edit_distance(F.lit("abc"), F.col("x")).alias("d")).collect()
+    assert [r.d for r in out] == [0, 1, 1, 1, 1, 1, 2, 2]
+
+
+def noisy(rng, word, edits):
+    for _ in range(edits):
+        i, kind, letter = rng.randrange(1, len(word)), rng.randrange(4), rng.choice("abcdefghilmnoprstuvx")
+        word = word[:i] + [letter + word[i + 1 :], word[i + 1 :], letter + word[i:], word[i + 1 : i + 2] + word[i] + word[i + 2 :]][kind]
+    return word
+
+
+def test_threshold_and_margin_decide_on_held_out_noise(spark, data):
+    rng, catalog = random.Random(7), spark.read.parquet(f"{data}/contact_catalog.parquet")
+    forms = [(r.form, r.lead) for r in canonical_map.lead_forms(catalog).collect()]
+    rows = {}
+    for edits in (1, 2):
+        for form, lead in forms:
+            for _ in range(6):
+                word = noisy(rng, form, edits)
+                if word[:1] == form[0]:
+                    rows.setdefault(f"{word[0]}|{word[1:]}", (lead, edits))
+    rows |= {f"{rng.choice('lr')}|{''.join(rng.choice('qwzxjkvy') for _ in range(rng.randrange(2, 6)))}": (None, 0) for _ in range(60)}
+    stems = spark.createDataFrame([(x,) for x in rows], "stem string").cache()
+    found = {}
+    for threshold, margin in ((canonical_map.THRESHOLD, canonical_map.MARGIN), (-1.0, canonical_map.MARGIN), (0.4, canonical_map.MARGIN), (canonical_map.THRESHOLD, 0.0), (canonical_map.THRESHOLD, 1.0)):
+        got = {r.stem: r.lead for r in canonical_map.match_stems(stems, catalog, threshold, margin).collect()}
+        found[threshold, margin] = got
+        for edits in (1, 2):
+            own = [x for x, (_, e) in rows.items() if e == edits]
+            hits, right = [x for x in own if got.get(x)], [x for x in own if got.get(x) == rows[x][0]]
+            print(f"threshold {threshold}, margin {margin}, {edits} edits: recall {len(right) / len(own):.3f}, precision {len(right) / max(1, len(hits)):.3f}")
+            if edits == 1 and (threshold, margin) == (canonical_map.THRESHOLD, canonical_map.MARGIN):
+                assert len(right) / len(own) > 0.95 and len(right) / len(hits) > 0.98
+    standard = found[canonical_map.THRESHOLD, canonical_map.MARGIN]
+    assert not any(standard.get(x) for x, (_, e) in rows.items() if e == 0)
+    assert all(got != standard for key, got in found.items() if key != (canonical_map.THRESHOLD, canonical_map.MARGIN))
 
 
 def test_values(spark):
