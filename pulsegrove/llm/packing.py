@@ -2,14 +2,15 @@
 
 Items of one size are alike, so the instance is the histogram of sizes: at most as many rows as the capacity, however
 many documents there are. On it runs the reduction of Martello and Toth: for the largest size, a small set that provably
-dominates every other way to fill its container (a partner that fills it exactly, the largest partner where no two others
-fit, a partner no smaller than any two others that fit together) is fixed, as many times as the counts allow, until no
-such set is found; then the size is released, best fit places what remains, largest first, again many equal items at a
-time. The result is a list of container patterns, each with its number of containers. Spark ranks the documents of each
-size and hands the ranks out along the patterns.
+dominates every other way to fill its container is fixed, as many times as the counts allow, until no such set is found:
+nothing, if nothing fits; one partner that fills it exactly, or is the largest where no two others fit, or is no smaller
+than any two others that fit together; two partners, where no three others fit and each two that do are covered by them
+(the larger one by the larger, and the smaller by the smaller or both by the larger). Then the size is released, and best
+fit places what remains, largest first, again many equal items at a time. The result is a list of container patterns,
+each with its number of containers. Spark ranks the documents of each size and hands the ranks out along the patterns.
 
 An item larger than the capacity fills whole containers alone; what is left over is a part of its own, packed with the
-rest. Defined results: null and empty texts have size 0 and go to container 0 without taking space; equal items are
+rest. Defined results: null and empty texts have size 0 and no container (a null container_id); equal items are
 ranked by doc_id; repeated ids are items of their own only if they differ in size; an empty table gives an empty table.
 """
 
@@ -40,37 +41,50 @@ def smallest_sum(sizes: list[int], counts: dict[int, int], k: int) -> float:
     return float("inf")
 
 
-def dominating(room: int, sizes: list[int], counts: dict[int, int]) -> int | None:
-    """The size of the partner that provably dominates every other way to use ``room``, 0 if nothing fits, None if unproven.
+def largest_pair(room: int, sizes: list[int], counts: dict[int, int], over: int = 0) -> int:
+    """The greatest sum, at most ``room``, of two items that are both larger than ``over``; 0 if there is none."""
+    best, low, high = 0, bisect.bisect_right(sizes, over), len(sizes) - 1
+    while low <= high:
+        total = sizes[low] + sizes[high]
+        if total > room or (low == high and counts[sizes[low]] < 2):
+            high -= 1
+        else:
+            best = max(best, total)
+            low += 1
+    return best
+
 
-    ``sizes`` are the sizes of the other items, rising, with their ``counts``.
+def dominating(room: int, sizes: list[int], counts: dict[int, int]) -> tuple[int, ...] | None:
+    """The sizes of the partners that provably dominate every other way to use ``room``, empty if nothing fits, None if unproven.
+
+    ``sizes`` are the sizes of the other items, rising, with their ``counts``. Partners dominate a way to fill the room if
+    its items can be shared out to them so that none gets more than its size: then the two can be exchanged in any solution.
     """
     fitting = bisect.bisect_right(sizes, room)
     if not fitting:
-        return 0
+        return ()
     partner = sizes[fitting - 1]
     if partner == room or smallest_sum(sizes, counts, 2) > room:
-        return partner
+        return (partner,)
     if smallest_sum(sizes, counts, 3) <= room:
         return None
-    # at most two others fit together: if no two sum up to more than the partner, each such pair is dominated by it
-    high = fitting - 1
-    for low in range(fitting):
-        while high >= low and (sizes[low] + sizes[high] > room or (low == high and counts[sizes[low]] < 2)):
-            high -= 1
-        if high < low:
-            break
-        if sizes[low] + sizes[high] > partner:
-            return None
-    return partner
+    # at most two others fit together
+    if largest_pair(room, sizes, counts) <= partner:
+        return (partner,)
+    second = bisect.bisect_right(sizes, room - partner) - 1
+    if second >= 0 and sizes[second] == partner and counts[partner] < 2:
+        second -= 1
+    if second < 0:
+        return None
+    # a pair with one item up to the second's size is covered one by one; any other must fit into the partner alone
+    return (partner, sizes[second]) if largest_pair(room, sizes, counts, sizes[second]) <= partner else None
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (sizes in one container) with their numbers of containers.
+def reduce_instance(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns that are fixed, with their numbers of containers; their items are taken from ``counts``.
 
-    What makes a partner dominate stays true as items are taken away, so it is fixed for as many items as there are.
+    What makes partners dominate stays true as other items are taken away, so a pattern is fixed for as many items as there are.
     """
-    counts = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
     sizes = sorted(counts)
     patterns: list[tuple[tuple[int, ...], int]] = []
 
@@ -83,23 +97,28 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
     for largest in reversed(sizes.copy()):
         while n := counts.get(largest, 0):
             take(largest, 1)
-            partner = dominating(capacity - largest, sizes, counts)
-            if partner is None:
+            partners = dominating(capacity - largest, sizes, counts)
+            if partners is None:
                 counts[largest] = n
                 if n == 1:
                     bisect.insort(sizes, largest)
                 break
-            if not partner:
-                if n > 1:
-                    take(largest, n - 1)
-                patterns.append(((largest,), n))
-                break
-            pairs = n // 2 if partner == largest else min(n, counts[partner])
-            take(partner, pairs)
-            if pairs > 1:
-                take(largest, pairs - 1)
-            patterns.append(((largest, partner), pairs))
-    return patterns + best_fit(counts, capacity)
+            pattern = (largest, *partners)
+            counts[largest] = n
+            if n == 1:
+                bisect.insort(sizes, largest)
+            times = min(counts[size] // pattern.count(size) for size in set(pattern))
+            for size in set(pattern):
+                take(size, times * pattern.count(size))
+            patterns.append((pattern, times))
+    return patterns
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int, bool]]:
+    """Patterns (sizes in one container) with their numbers of containers, and whether the reduction fixed them."""
+    counts = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
+    fixed = reduce_instance(counts, capacity)
+    return [(*x, True) for x in fixed] + [(*x, False) for x in best_fit(counts, capacity)]
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -147,7 +166,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
 
 
 def patterns_of(histogram: DataFrame, capacity: int) -> DataFrame:
-    """size, start, stop, base, per: ranks start..stop of a size lie, per to a container, in the containers from base on.
+    """size, start, stop, base, per, fixed: ranks start..stop of a size lie, per to a container, in the containers from base on.
 
     ``histogram`` (size, n) has at most ``capacity`` rows, so one task solves it.
     """
@@ -155,19 +174,20 @@ def patterns_of(histogram: DataFrame, capacity: int) -> DataFrame:
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat([pd.DataFrame({"size": [], "n": []}, dtype="int64"), *batches])
         base, handed, rows = 0, {}, []
-        for pattern, n in pack_histogram(dict(zip(pdf["size"].tolist(), pdf["n"].tolist())), capacity):
+        for pattern, n, fixed in pack_histogram(dict(zip(pdf["size"].tolist(), pdf["n"].tolist())), capacity):
             for size in sorted(set(pattern)):
                 per, start = pattern.count(size), handed.get(size, 0)
-                rows.append((size, start, start + per * n, base, per))
+                rows.append((size, start, start + per * n, base, per, fixed))
                 handed[size] = start + per * n
             base += n
-        yield pd.DataFrame(rows, columns=["size", "start", "stop", "base", "per"])
+        yield pd.DataFrame(rows, columns=["size", "start", "stop", "base", "per", "fixed"])
 
-    return histogram.repartition(1).mapInPandas(solve, "size long, start long, stop long, base long, per long")
+    return histogram.repartition(1).mapInPandas(solve, "size long, start long, stop long, base long, per long, fixed boolean")
 
 
 def pack(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, part, tokens, container_id for items of doc_id and tokens; part counts an item's pieces from 0."""
+    """doc_id, part, tokens, container_id, fixed for items of doc_id and tokens; part counts an item's pieces from 0, fixed is
+    whether the reduction proved the container (null where there was nothing to place)."""
     sized = cut(sized.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")))
     whole = F.floor(F.col("tokens") / capacity)
     rests = sized.where(F.col("tokens") > 0).select("doc_id", whole.alias("whole"), (F.col("tokens") - whole * capacity).alias("size"))
@@ -179,21 +199,24 @@ def pack(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = small.withColumn("at", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id")) - 1)
     ranked = ranked.join(before, ["size", "bucket"]).select("doc_id", "whole", "size", (F.col("before") + F.col("at")).alias("rank"))
     # each size's ranges as one array: as many as patterns hold the size, a few dozen
-    ranges = slots.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "base", "per"))).alias("ranges"))
+    ranges = slots.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "base", "per", "fixed"))).alias("ranges"))
     placed = ranked.join(ranges, "size").withColumn("r", F.get(F.filter("ranges", lambda r: (r["start"] <= F.col("rank")) & (F.col("rank") < r["stop"])), F.lit(0)))
-    packed = placed.select("doc_id", F.col("whole").alias("part"), F.col("size").alias("tokens"), (F.col("r.base") + F.floor((F.col("rank") - F.col("r.start")) / F.col("r.per"))).alias("container_id"))
-    nothing = sized.where("tokens = 0").select("doc_id", F.lit(0).cast("long").alias("part"), "tokens", F.lit(0).cast("long").alias("container_id"))
+    packed = placed.select("doc_id", F.col("whole").alias("part"), F.col("size").alias("tokens"), (F.col("r.base") + F.floor((F.col("rank") - F.col("r.start")) / F.col("r.per"))).alias("container_id"), F.col("r.fixed").alias("fixed"))
+    nothing = sized.where("tokens = 0").select("doc_id", F.lit(0).cast("long").alias("part"), "tokens", F.lit(None).cast("long").alias("container_id"), F.lit(None).cast("boolean").alias("fixed"))
     # the full containers of items beyond the capacity are numbered from -1 down, along the buckets
     bulk = rests.where(F.col("whole") > 0).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
     sums = bulk.groupBy("bucket").agg(F.sum("whole").alias("n"))
     sums = sums.select("bucket", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("n")).alias("before"))
     numbered = bulk.withColumn("run", F.sum("whole").over(Window.partitionBy("bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole")).join(sums, "bucket")
     parts = numbered.select("doc_id", (F.col("before") + F.col("run")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("part"))
-    full = parts.select("doc_id", "part", F.lit(capacity).cast("long").alias("tokens"), (-1 - F.col("first") - F.col("part")).alias("container_id"))
+    full = parts.select("doc_id", "part", F.lit(capacity).cast("long").alias("tokens"), (-1 - F.col("first") - F.col("part")).alias("container_id"), F.lit(None).cast("boolean").alias("fixed"))
     return packed.unionByName(nothing).unionByName(full)
 
 
 def summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """containers, tokens, least_containers (the bound by total size) and share of space used."""
-    per = packed.where("tokens > 0").groupBy("container_id").agg(F.sum("tokens").alias("used"))
-    return per.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / capacity).alias("least_containers"), (F.sum("used") / (F.count("*") * capacity)).alias("used_share"), F.max("used").alias("fullest"))
+    """containers, tokens, least_containers (the bound by total size), share of space used, the fullest, and how many the reduction fixed."""
+    per = packed.where("tokens > 0").groupBy("container_id").agg(F.sum("tokens").alias("used"), F.bool_or("fixed").alias("fixed"))
+    return per.agg(
+        F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / capacity).alias("least_containers"), (F.sum("used") / (F.count("*") * capacity)).alias("used_share"), F.max("used").alias("fullest"),
+        F.count(F.when(F.col("fixed"), 1)).alias("fixed_containers"),
+    )

@@ -43,9 +43,10 @@ def _split_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
-    """The splits' members after two increments: the earlier half of the rows by time, then the rest."""
+    """The splits' members after two increments: the earlier half of the time that the rows span, then the rest."""
     participants, coverage, sites = _split_tables(spark, d)
-    middle = coverage.agg(F.percentile_approx(F.unix_micros(F.col("computed_at").cast("timestamp")), 0.5).alias("at")).select(F.timestamp_micros("at").cast("timestamp_ntz").cast("string").alias("at")).first()["at"]
+    at = F.unix_micros(F.col("computed_at").cast("timestamp"))
+    middle = coverage.agg(F.timestamp_micros(F.min(at) + F.floor((F.max(at) - F.min(at)) / 2)).cast("timestamp_ntz").cast("string").alias("at")).first()["at"]
     path, version = splits.increments(participants, coverage, sites, [middle, None] if middle else [None])
     return splits.members(spark, path, version)
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrove.session import cut, shared_folder
@@ -80,19 +80,21 @@ def components(edges: DataFrame) -> DataFrame:
     """entity, component (the smallest entity connected) of the entities on edges u, v."""
     edges = cut(edges)
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("f")))
+    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("f"))
     while True:
-        around = both.join(labels.select(F.col("u").alias("v"), "f"), "v").groupBy("u").agg(F.min("f").alias("m"))
-        near = labels.join(around, "u", "left").select("u", "f", F.least("f", F.coalesce("m", "f")).alias("g"))
-        # roots hook onto the smallest label that any of their entities saw
+        labels = cut(labels)
+        # what each entity and its neighbours are labelled with; roots hook onto the smallest label that any of theirs saw
+        seen = both.join(labels.select(F.col("u").alias("v"), "f"), "v").select("u", "f").unionByName(labels)
+        near = labels.join(seen.groupBy("u").agg(F.min("f").alias("g")), "u")
         hooks = near.groupBy("f").agg(F.min("g").alias("h"))
-        hooked = near.join(hooks, "f").select("u", "f", F.least("g", "h").alias("g"))
-        # pointer jumping: everyone takes the label of its label
-        jumped = hooked.join(hooked.select(F.col("u").alias("w"), F.col("g").alias("x")), F.col("g") == F.col("w"), "left")
-        done = cut(jumped.select("u", F.least("g", F.coalesce("x", "g")).alias("g"), (F.least("g", F.coalesce("x", "g")) != F.col("f")).alias("moved")))
-        labels = done.select("u", F.col("g").alias("f"))
-        if done.where("moved").limit(1).count() == 0:
-            return labels.select(F.col("u").alias("entity"), F.col("f").alias("component"))
+        # pointer jumping: everyone takes the label of its label's label
+        jumps = hooks.join(hooks.select(F.col("f").alias("h"), F.col("h").alias("j")), "h", "left").select("f", F.least("h", F.coalesce("j", "h")).alias("to"))
+        moved = Observation()
+        jumped = near.join(jumps, "f").select("u", F.least("g", "to").alias("f"), (F.least("g", "to") != F.col("f")).alias("moved"))
+        done = cut(jumped.observe(moved, F.coalesce(F.bool_or("moved"), F.lit(False)).alias("any")))
+        if not moved.get["any"]:
+            return done.select(F.col("u").alias("entity"), F.col("f").alias("component"))
+        labels = done.select("u", "f")
 
 
 STATE = {
@@ -108,7 +110,8 @@ def new_state(spark: SparkSession) -> str:
 def load(spark: SparkSession, path: str, version: int) -> dict[str, DataFrame]:
     """The parts of the state as of a version; version 0 is empty. A component's ``root`` is itself unless it was merged."""
     if not version:
-        return {name: spark.createDataFrame([], schema) for name, schema in STATE.items()}
+        # empty in a way that the optimizer sees
+        return {name: spark.range(1).select(*(F.lit(None).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in schema.split(", "))).where(F.lit(False)) for name, schema in STATE.items()}
     appended = {name: spark.read.schema(STATE[name]).parquet(*(f"{path}/{name}/version={v:06d}" for v in range(1, version + 1))) for name in ("tokens", "members")}
     return appended | {"components": spark.read.schema(STATE["components"]).parquet(f"{path}/components/version={version:06d}")}
 

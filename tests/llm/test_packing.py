@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pulsegrove.llm.packing import best_fit, pack, pack_histogram, summary
+from pulsegrove.llm.packing import best_fit, pack, pack_histogram, reduce_instance, summary
 
 
 def least_containers(sizes, capacity):
@@ -42,17 +42,33 @@ def bound_by_large_items(sizes, capacity):
 @given(st.lists(st.integers(1, 20), max_size=9))
 def test_every_item_once_and_close_to_the_optimum(sizes):
     patterns = pack_histogram(dict(Counter(sizes)), 20)
-    assert all(sum(p) <= 20 and n > 0 for p, n in patterns)
-    assert Counter(s for p, n in patterns for s in p for _ in range(n)) == Counter(sizes)
+    assert all(sum(p) <= 20 and n > 0 for p, n, _ in patterns)
+    assert Counter(s for p, n, _ in patterns for s in p for _ in range(n)) == Counter(sizes)
     best = least_containers(sorted(sizes, reverse=True), 20)
-    assert best <= sum(n for _, n in patterns) <= best + 1
+    assert best <= sum(n for _, n, _ in patterns) <= best + 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(2, 20), max_size=9))
+def test_what_the_reduction_fixes_is_part_of_an_optimum(sizes):
+    left = dict(Counter(sizes))
+    fixed = reduce_instance(left, 30)
+    assert all(sum(p) <= 30 for p, _ in fixed)
+    rest = [s for s, n in left.items() for _ in range(n)]
+    assert sum(n for _, n in fixed) + least_containers(sorted(rest, reverse=True), 30) == least_containers(sorted(sizes, reverse=True), 30)
+
+
+def test_triples_beat_plain_best_fit():
+    sizes = Counter([16, 35, 19, 8, 10, 31])
+    assert any(len(p) == 3 for p, _ in reduce_instance(dict(sizes), 60))
+    assert sum(n for _, n, _ in pack_histogram(dict(sizes), 60)) == 2 < sum(n for _, n in best_fit(dict(sizes), 60)) == 3
 
 
 def test_large_histogram():
     rng = np.random.default_rng(2)
     h = dict(Counter(rng.integers(1, 1000, 200_000).tolist()))
     patterns = pack_histogram(h, 1000)
-    total, bound = sum(n for _, n in patterns), -(-sum(s * n for s, n in h.items()) // 1000)
+    total, bound = sum(n for _, n, _ in patterns), -(-sum(s * n for s, n in h.items()) // 1000)
     assert bound <= total <= 1.01 * bound
 
 
@@ -68,13 +84,14 @@ def test_documents(spark):
     assert all(len(p) == 1 for d, p in parts.items() if (sizes[d] or 0) <= 100) and len(parts[503]) == 3 and len(parts[504]) == 3
     used = Counter()
     for r in rows:
+        assert (r.container_id is None) == (r.tokens == 0)
         used[r.container_id] += r.tokens
     assert max(used.values()) <= 100
     (s,) = summary(out, 100).collect()
     pieces = [r.tokens for r in rows if r.tokens]
     # most items are large here, so much space must stay unused; the reduction costs nothing against plain best fit
     plain = sum(n for _, n in best_fit(dict(Counter(x for x in pieces if x < 100)), 100)) + pieces.count(100)
-    assert s.fullest <= 100 and bound_by_large_items(pieces, 100) <= s.containers <= plain
+    assert s.fullest <= 100 and 0 < s.fixed_containers <= s.containers and bound_by_large_items(pieces, 100) <= s.containers <= plain
 
 
 def test_empty_and_repeated(spark):
