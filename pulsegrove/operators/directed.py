@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrove.operators.epoching import asof
+from pulsegrove.operators.in_order import with_previous
+from pulsegrove.operators.montage import label_key
+from pulsegrove.operators.windows import medians, value_counts
 from pulsegrove.session import cut
 
 
 def collapse(edges: DataFrame, keys: list[str]) -> DataFrame:
     """One row per source and target (and keys): mean, median and total weight, and the number of edges."""
-    return edges.groupBy(*keys, "source", "target").agg(F.avg("weight").alias("mean_weight"), F.median("weight").alias("median_weight"), F.sum("weight").alias("weight"), F.count("*").alias("n_edges"))
+    by = [*keys, "source", "target"]
+    # the median comes from counts by weight
+    counts = value_counts(edges, by, "weight")
+    sums = edges.groupBy(*by).agg(F.avg("weight").alias("mean_weight"), F.sum("weight").alias("weight"), F.count("*").alias("n_edges"))
+    return sums.join(medians(counts, by, "median_weight"), by, "left").select(*by, "mean_weight", "median_weight", "weight", "n_edges")
 
 
 def both_ways(edges: DataFrame, keys: list[str], floor: float = 0.0) -> DataFrame:
@@ -152,7 +160,7 @@ def target_divergence(edges: DataFrame, keys: list[str], time: str) -> DataFrame
     """
     by_target = edges.groupBy(*keys, time, "target").agg(F.sum("weight").alias("w"))
     totals = by_target.groupBy(*keys, time).agg(F.sum("w").alias("_t")).where("_t > 0")
-    before = totals.withColumn("_prev", F.lag(time).over(Window.partitionBy(*keys).orderBy(time))).where("_prev is not null").select(*keys, time, "_prev")
+    before = with_previous(totals, keys, F.trunc(time, "year"), [time], F.col(time), "_prev").where("_prev is not null").select(*keys, time, "_prev")
     shares = by_target.join(totals, [*keys, time]).select(*keys, time, "target", (F.col("w") / F.col("_t")).alias("p"))
     now = shares.join(before.select(*keys, time), [*keys, time]).select(*keys, time, "target", F.col("p").alias("a"), F.lit(0.0).alias("b"))
     then = shares.withColumnRenamed(time, "_prev").join(before, [*keys, "_prev"]).select(*keys, time, "target", F.lit(0.0).alias("a"), F.col("p").alias("b"))
@@ -160,3 +168,78 @@ def target_divergence(edges: DataFrame, keys: list[str], time: str) -> DataFrame
     m = (F.col("a") + F.col("b")) / 2
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
     return both.groupBy(*keys, time).agg((F.sum(part("a") + part("b")) / 2).alias("jsd"))
+
+
+def node_summaries(metric: DataFrame, node: str, time: str, value: str) -> DataFrame:
+    """node, least, most, mean, last (by time), absmax (the value of greatest size, the greater of equals) of a metric over time."""
+    known = metric.where(F.col(value).isNotNull() & ~F.isnan(value))
+    return known.groupBy(node).agg(
+        F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.max_by(value, F.struct(time, value)).alias("last"), F.max_by(value, F.struct(F.abs(value), F.col(value))).alias("absmax")
+    )
+
+
+def centroids(places: DataFrame, region: str, axes: list[str]) -> DataFrame:
+    """region, n and the mean of each axis over its fully located rows."""
+    located = places.where(" and ".join(f"{a} is not null and not isnan({a})" for a in axes) + f" and {region} is not null")
+    return located.groupBy(region).agg(F.count("*").alias("n"), *(F.avg(a).alias(a) for a in axes))
+
+
+def frame_totals(edges: DataFrame, time: str, gate: float) -> DataFrame:
+    """time, node, magnitude (of all its edges, both ends), n_active (edges of at least ``gate`` times the greatest weight of the time)."""
+    ends = edges.select(time, F.abs("weight").alias("w"), F.explode(F.array("source", "target")).alias("node"))
+    peak = edges.groupBy(time).agg(F.max(F.abs("weight")).alias("_peak"))
+    return ends.join(peak, time).groupBy(time, "node").agg(F.sum("w").alias("magnitude"), F.sum((F.col("w") >= gate * F.col("_peak")).cast("long")).alias("n_active"))
+
+
+def strongest_of_all(edges: DataFrame, per_source: int, n: int) -> DataFrame:
+    """The ``n`` edges of greatest size among the ``per_source`` strongest of each source; equals by source, then target."""
+    return strongest(edges, per_source).drop("rank").orderBy(F.abs("weight").desc(), "source", "target").limit(n)
+
+
+def frames(edges: DataFrame, time: str, block: Column, at: DataFrame) -> DataFrame:
+    """source, target, frame, nearest (the edge's time nearest to the frame's, the earlier of equals), weight.
+
+    ``at``: frame, a time each as a whole number, few of them; each frame meets each edge's two neighbouring times by an
+    as-of match in either direction.
+    """
+    own = edges.withColumn("edge", F.concat_ws(">", "source", "target"))
+    wanted = own.select("edge", "source", "target").distinct().crossJoin(F.broadcast(at.select("frame"))).withColumn(time, F.col("frame"))
+    before = asof(wanted, own.select("edge", time, "weight"), "edge", time, "weight", block)
+    before = before.select("edge", "source", "target", "frame", time, F.col("matched_at").alias("_t0"), F.col("matched_weight").alias("_w0"))
+    both = asof(before, own.select("edge", time, "weight"), "edge", time, "weight", block, forward=True)
+    earlier = F.col("matched_at").isNull() | (F.col("frame") - F.col("_t0") <= F.col("matched_at") - F.col("frame"))
+    pick = lambda a, b: F.when(F.col("_t0").isNotNull() & earlier, F.col(a)).otherwise(F.col(b))
+    return both.select("source", "target", "frame", pick("_t0", "matched_at").alias("nearest"), pick("_w0", "matched_weight").alias("weight"))
+
+
+def located_edges(edges: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """The ``n`` edges of greatest size whose both ends are in ``places`` (node)."""
+    known = places.select("node").distinct()
+    kept = edges.join(known.withColumnRenamed("node", "source"), "source", "left_semi").join(known.withColumnRenamed("node", "target"), "target", "left_semi")
+    return kept.select("source", "target", "weight").orderBy(F.abs("weight").desc(), "source", "target").limit(n)
+
+
+def natural_key(label: Column) -> Column:
+    """A text that sorts labels naturally: runs of digits by their number, letters without case."""
+    return F.regexp_replace(F.regexp_replace(F.upper(label), "([0-9]+)", "0000000000$1"), "0*([0-9]{10})(?![0-9])", "$1")
+
+
+def detection_edges(detections: DataFrame, electrodes: DataFrame, keys: list[str], pair: str, channel: str, method: str, metric: str) -> DataFrame:
+    """keys, source, target (label keys), weight, source_region, target_region, distance: directed edges from the first contact of
+    a stimulated pair ``LEAD1-LEAD2`` or ``LEAD_1_2`` to the channel that responds.
+
+    Of several methods the first counts; a channel that is a contact of the pair makes no edge. Both ends meet
+    ``electrodes`` (keys, label, region, mni_x..; the first region by name and mean coordinates of repeats) by their keys.
+    """
+    parts = F.regexp_extract_all(F.upper(F.col(pair)), F.lit("([A-Z]+|[0-9]+)"), 1)
+    lead, numbers = F.get(parts, F.lit(0)), F.filter(parts, lambda x: x.rlike("^[0-9]+$"))
+    contacts = F.transform(numbers, lambda x: F.concat(lead, F.regexp_replace(x, "^0+(?=[0-9])", "")))
+    rows = detections.where(F.col(pair).isNotNull() & F.col(channel).isNotNull()).select(*keys, contacts.alias("_c"), label_key(F.col(channel)).alias("target"), F.col(method).alias("_m"), F.col(metric).alias("weight"))
+    rows = rows.where((F.size("_c") == 2) & ~F.array_contains("_c", F.col("target"))).withColumn("source", F.get("_c", F.lit(0)))
+    one = rows.groupBy(*keys, "source", "target").agg(F.min_by("weight", F.struct("_m", "weight")).alias("weight"))
+    axes = ("mni_x", "mni_y", "mni_z")
+    place = electrodes.where("label is not null").groupBy(*keys, label_key(F.col("label")).alias("node")).agg(F.min("region").alias("region"), *(F.avg(F.when(~F.isnan(a), F.col(a))).alias(a) for a in axes))
+    for end in ("source", "target"):
+        one = one.join(place.select(*keys, F.col("node").alias(end), F.col("region").alias(f"{end}_region"), *(F.col(a).alias(f"_{end}_{a}") for a in axes)), [*keys, end], "left")
+    distance = F.sqrt(sum((F.pow(F.col(f"_source_{a}") - F.col(f"_target_{a}"), F.lit(2)) for a in axes), F.lit(0.0)))
+    return one.select(*keys, "source", "target", "weight", "source_region", "target_region", distance.alias("distance"))

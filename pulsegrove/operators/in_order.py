@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _carry(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` joined with their block's row of ``ends``; null keys meet null keys."""
-    renamed = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_b"), *(c for c in ends.columns if c not in (*keys, "_block")))
-    same = rows["_block"].eqNullSafe(renamed["_b"])
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, where null keys meet null keys; the keys are those of ``left``."""
+    renamed = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
     for i, k in enumerate(keys):
-        same = same & rows[k].eqNullSafe(renamed[f"_k{i}"])
-    return rows.join(renamed, same, "left").drop("_b", *(f"_k{i}" for i in range(len(keys))))
+        same = left[k].eqNullSafe(renamed[f"_k{i}"]) & same
+    return left.join(renamed, same, how).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def _carry(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with their block's row of ``ends``."""
+    return meet(rows, ends, [*keys, "_block"], "left")
 
 
 def with_previous(df: DataFrame, key: str | list[str], block: Column, order: list[str], value: Column, name: str) -> DataFrame:

@@ -39,7 +39,10 @@ def bipolar(samples: DataFrame, at: list[str]) -> DataFrame:
 
 
 def laplacian(samples: DataFrame, at: list[str]) -> DataFrame:
-    """``samples`` with ``value`` less the mean of the neighbours (number one lower and one higher on the lead) that are there."""
+    """``samples`` with ``value`` less the mean of the neighbours (number one lower and one higher on the lead) that are there.
+
+    Weights that fall off with the distance are equal for two neighbours one contact away, so the mean is plain.
+    """
     near = samples.select(*at, "lead", F.explode(F.array(F.col("number") - 1, F.col("number") + 1)).alias("number"), "value")
     mean = near.groupBy(*at, "lead", "number").agg(F.avg("value").alias("_near"))
     return samples.join(mean, [*at, "lead", "number"], "left").withColumn("value", F.col("value") - F.coalesce("_near", F.lit(0.0))).drop("_near")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrove.operators.in_order import with_running_sum
-from pulsegrove.operators.windows import robust_scores
+from pulsegrove.operators.windows import medians, robust_scores, value_counts
 
 # Cut-offs of the gate; a fraction at its cut-off fails.
 MAX_BAD, MAX_HARD, MIN_CLEAN = 0.25, 0.10, 8
@@ -15,9 +15,9 @@ HARD_REASONS = ("onset_spike", "rail_contact", "saturation", "plateau")
 
 def channel_features(samples: DataFrame) -> DataFrame:
     """Per channel: std, peak to peak, share of missing samples, median of absolute values."""
-    return samples.groupBy("channel").agg(
-        F.stddev_samp("value").alias("std"), (F.max("value") - F.min("value")).alias("ptp"), F.avg(F.col("value").isNull().cast("double")).alias("missing"), F.median(F.abs("value")).alias("median_abs")
-    )
+    plain = samples.groupBy("channel").agg(F.stddev_samp("value").alias("std"), (F.max("value") - F.min("value")).alias("ptp"), F.avg(F.col("value").isNull().cast("double")).alias("missing"))
+    middle = medians(value_counts(samples.withColumn("_abs", F.abs("value")), ["channel"], "_abs"), ["channel"], "median_abs")
+    return plain.join(middle, "channel", "left")
 
 
 def bad_channels(samples: DataFrame, limit: float = 5.0) -> DataFrame:

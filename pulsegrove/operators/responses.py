@@ -42,8 +42,8 @@ def calls(epoched: DataFrame, base: tuple[int, int], reply: tuple[int, int], lev
 
     Classes: insufficient_data, reproducible_energetic, reproducible_low_energy, energetic_inconsistent, no_response.
     """
-    energy = sign_flips(energy_changes(epoched, base, reply), ["channel"], "change").select("channel", "n", F.col("mean").alias("energy"), F.col("p").alias("p_energy"))
-    steady = sign_flips(cross_projections(epoched, reply), ["channel"], "projection").select("channel", F.col("mean").alias("projection"), F.col("p").alias("p_reproducible"))
+    energy = sign_flips(energy_changes(epoched, base, reply), ["channel"], "change", "epoch").select("channel", "n", F.col("mean").alias("energy"), F.col("p").alias("p_energy"))
+    steady = sign_flips(cross_projections(epoched, reply), ["channel"], "projection", "epoch").select("channel", F.col("mean").alias("projection"), F.col("p").alias("p_reproducible"))
     both = energy.join(steady, "channel", "left")
     # one-sided: more energy, and trials alike
     one = lambda p, x: F.when(F.col(x) > 0, F.col(p) / 2).otherwise(1 - F.col(p) / 2)

@@ -10,15 +10,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrove.operators.in_order import with_running_sum
+from pulsegrove.operators.windows import value_counts
+
+
+#: Buckets of groups that are compared with each other.
+GROUP_BUCKETS = 8
+
+
+def group_pairs(groups: DataFrame, group: str) -> DataFrame:
+    """Every pair of rows of ``groups`` (one row per group), the columns of the smaller group with _a, of the other with _b.
+
+    Groups are hashed into buckets, and each two buckets meet by an equi-join, so no side is broadcast and no task gets all pairs.
+    """
+    own = groups.withColumn("_own", F.pmod(F.xxhash64(group), F.lit(GROUP_BUCKETS)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(GROUP_BUCKETS - 1)))
+    a = own.select(*(F.col(c).alias(f"{c}_a") for c in groups.columns), F.col("_own").alias("_i"), every.alias("_j"))
+    b = own.select(*(F.col(c).alias(f"{c}_b") for c in groups.columns), every.alias("_i"), F.col("_own").alias("_j"))
+    return a.join(b, ["_i", "_j"]).where(F.col(f"{group}_a") < F.col(f"{group}_b")).drop("_i", "_j")
+
 
 def compare_groups(df: DataFrame, group: str, value: str) -> DataFrame:
-    """All pairs of a few groups: sizes, means, difference, Cohen's d, Welch's t and its degrees of freedom.
+    """All pairs of groups: sizes, means, difference, Cohen's d, Welch's t and its degrees of freedom.
 
     Only each group's moments meet, one row per group.
     """
     moments = df.where(F.col(value).isNotNull()).groupBy(F.col(group).cast("string").alias("g")).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
-    a, b = (moments.select(*(F.col(c).alias(f"{c}_{side}") for c in ("g", "n", "m", "v"))) for side in "ab")
-    pairs = a.join(F.broadcast(b), F.col("g_a") < F.col("g_b"))
+    pairs = group_pairs(moments, "g")
     sa, sb = F.col("v_a") / F.col("n_a"), F.col("v_b") / F.col("n_b")
     diff = F.col("m_a") - F.col("m_b")
     df_ = (sa + sb) * (sa + sb) / (sa * sa / (F.col("n_a") - 1) + sb * sb / (F.col("n_b") - 1))
@@ -28,6 +46,31 @@ def compare_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
+    """All pairs of groups: sizes, Mann-Whitney's U of the first group, its z with ties corrected, and the rank-biserial size.
+
+    Pairs meet on distinct values: for each value, how many of the other group lie below and at it come from running counts.
+    """
+    counts = value_counts(df.withColumn("_g", F.col(group).cast("string")), ["_g"], value)
+    sizes = counts.groupBy("_g").agg(F.sum("_n").alias("_size"))
+    pairs = group_pairs(sizes, "_g").select("_g_a", "_g_b", F.col("_size_a").alias("na"), F.col("_size_b").alias("nb"))
+    own = pairs.join(counts.withColumnRenamed("_g", "_g_a"), "_g_a").select("_g_a", "_g_b", "_v", F.col("_n").alias("a"), F.lit(0).cast("long").alias("b"))
+    other = pairs.join(counts.withColumnRenamed("_g", "_g_b"), "_g_b").select("_g_a", "_g_b", "_v", F.lit(0).cast("long").alias("a"), F.col("_n").alias("b"))
+    cells = own.unionByName(other).groupBy("_g_a", "_g_b", "_v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    spans = counts.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    block = F.floor((F.col("_v") - spans.select("_lo").scalar()) / F.greatest(spans.select("_hi").scalar() - spans.select("_lo").scalar(), F.lit(1e-300)) * 256)
+    below = with_running_sum(cells.withColumn("_block_of", block), ["_g_a", "_g_b"], F.col("_block_of"), ["_v"], F.col("b"), "_upto")
+    u = F.sum(F.col("a") * (F.col("_upto") - F.col("b") / 2))
+    ties = F.sum(F.pow((F.col("a") + F.col("b")).cast("double"), F.lit(3)) - (F.col("a") + F.col("b")))
+    out = below.groupBy("_g_a", "_g_b").agg(u.alias("u"), ties.alias("ties")).join(pairs, ["_g_a", "_g_b"])
+    n = (F.col("na") + F.col("nb")).cast("double")
+    spread = F.sqrt(F.col("na") * F.col("nb") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    return out.select(
+        F.col("_g_a").alias("group_a"), F.col("_g_b").alias("group_b"), F.col("na").alias("n_a"), F.col("nb").alias("n_b"), "u",
+        F.when(spread > 0, (F.col("u") - F.col("na") * F.col("nb") / 2) / spread).alias("z"), (2 * F.col("u") / (F.col("na") * F.col("nb")) - 1).alias("biserial"),
+    )
+
+
 def beta_tail(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -86,18 +129,31 @@ def lead_fits(contacts: DataFrame, keys: list[str]) -> DataFrame:
     return located.groupBy(*keys, "lead").agg(F.count("*").alias("n"), F.min("number").alias("lowest"), F.max("number").alias("highest"), *aggs, F.greatest(*errors).alias("rmse")).where("n >= 4 and highest > lowest")
 
 
-def sign_flips(df: DataFrame, keys: list[str], value: str, most: int = 16) -> DataFrame:
-    """keys, n, mean, p: two-sided sign-flip test of each group's mean, over every pattern of signs up to ``most`` values.
+#: Values up to which every pattern of signs is tried, and random patterns of larger groups.
+EXACT, DRAWS = 16, 5000
+
+
+def sign_flips(df: DataFrame, keys: list[str], value: str, unit: str, exact: int = EXACT, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+    """keys, n, mean, p: two-sided sign-flip test of each group's mean.
 
-    The sum of a larger group under random signs is close to normal with the sum of squares as its variance, which gives
-    its p from two aggregates; groups that reach Python hold at most ``most`` values.
+    Groups of up to ``exact`` values try every pattern of signs. Larger ones take ``draws`` random patterns and count the
+    observed one among them: the sign of a value in a draw is a bit of a hash of ``unit`` (which tells a group's values
+    apart), the draw and the seed, so each row adds up its own signed values per draw, and only sums by group and draw are
+    shuffled. Every 64 draws share one hash.
     """
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    small = values.join(sizes.where(F.col("n") <= most).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    exact = small.select(*keys, exact_sign_flip("xs").alias("exact"))
-    normal = 2 * (1 - normal_cdf(F.abs(F.col("mean")) * F.col("n") / F.sqrt("ss")))
-    return sizes.join(exact, keys, "left").select(*keys, "n", "mean", F.coalesce("exact", F.when(F.col("ss") > 0, normal).otherwise(1.0)).alias("p"))
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(unit).alias("_unit"), F.col(value).cast("double").alias("x"))
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.sum(F.abs("x")).alias("size"))
+    small = values.join(sizes.where(F.col("n") <= exact).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    tried = small.select(*keys, exact_sign_flip("xs").alias("exact"))
+    large = values.join(sizes.where(F.col("n") > exact).select(*keys), keys, "left_semi")
+    words = large.select(*keys, "x", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 64))).alias("_w"), "_unit").withColumn("_h", F.xxhash64("_unit", "_w", F.lit(seed)))
+    signed = [F.sum(F.when(F.shiftright("_h", i).bitwiseAND(F.lit(1)) == 1, F.col("x")).otherwise(-F.col("x"))) for i in range(64)]
+    sums = words.groupBy(*keys, "_w").agg(F.array(*signed).alias("_s")).join(sizes, keys)
+    limit = F.abs(F.col("mean") * F.col("n")) - 1e-12 * F.greatest(F.col("size"), F.lit(1.0))
+    within = F.slice("_s", 1, F.least(F.lit(64), draws - F.col("_w") * 64))
+    hits = sums.groupBy(*keys).agg(F.sum(F.size(F.filter(within, lambda s: F.abs(s) >= limit))).alias("_hits"))
+    drawn = hits.select(*keys, ((1 + F.col("_hits")) / F.lit(1.0 + draws)).alias("drawn"))
+    return sizes.join(tried, keys, "left").join(drawn, keys, "left").select(*keys, "n", "mean", F.coalesce("exact", "drawn").alias("p"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -179,16 +235,15 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return F.when(n > 0, (middle - half) / scale), F.when(n > 0, (middle + half) / scale)
 
 
-def slope_permutation(df: DataFrame, keys: list[str], x: str, y: str, draws: int, seed: int) -> DataFrame:
+def slope_permutation(df: DataFrame, keys: list[str], unit: list[str], x: str, y: str, draws: int, seed: int) -> DataFrame:
     """keys, n, slope, r2, p: the slope of y over x, and how often a random pairing of the two is as steep.
 
-    A pairing matches the rows' order by one hash with their order by another, drawn anew for each draw; a draw of a group
+    ``unit`` tells the rows of a group apart. A pairing matches the rows' order by one hash with their order by another, drawn anew for each draw; a draw of a group
     is one window of as many rows as the group has, so no window grows with the number of draws.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.xxhash64(*unit, F.lit(seed)).alias("_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     base = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"))
-    order = F.xxhash64("x", "y", F.monotonically_increasing_id(), F.lit(seed))
-    own = rows.withColumn("_id", order).withColumn("_fixed", F.row_number().over(Window.partitionBy(*keys).orderBy("_id")))
+    own = rows.withColumn("_fixed", F.row_number().over(Window.partitionBy(*keys).orderBy("_id", "x", "y")))
     drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     shuffled = drawn.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(F.xxhash64("_fixed", "draw", F.lit(seed)))))
     left, right = drawn.select(*keys, "draw", F.col("_fixed").alias("_at"), "x"), shuffled.select(*keys, "draw", "_at", "y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrove.operators.in_order import with_previous, with_running_sum
+from pulsegrove.operators.in_order import meet, with_previous, with_running_sum
 
 #: Turns a median absolute deviation into a standard deviation of normal data.
 MAD_SCALE = 1.4826
@@ -30,13 +30,47 @@ def dense_rank_desc(df: DataFrame, keys: list[str], value: str, name: str) -> Da
     return df.join(ranked, [*keys, value], "left")
 
 
+#: Blocks into which a group's range of values is cut to find its median.
+MEDIAN_BLOCKS = 4096
+
+
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, _v, _n: each group's distinct values (as doubles, without null and NaN) with their counts."""
+    number = F.col(value).cast("double")
+    return df.where(F.col(value).isNotNull() & ~F.isnan(number)).groupBy(*keys, number.alias("_v")).agg(F.count("*").alias("_n"))
+
+
+def medians(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, ``name``: the exact median of each group of ``value_counts``, the mean of the two middle values of an even number.
+
+    A group's range is cut into equal blocks; sums by block say in which block the middle lies, and only that block's
+    distinct values are put in order. So no group is sorted or held as a whole, whatever its size.
+    """
+    total = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_m"))
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    cut = meet(counts, total, keys).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * MEDIAN_BLOCKS)).otherwise(0))
+    sums = cut.groupBy(*keys, "_b", "_m").agg(F.sum("_n").alias("_s"))
+    sums = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
+    low, high = F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2)  # ranks from 0
+    middle = sums.where((F.col("_before") <= high) & (F.col("_before") + F.col("_s") > low)).select(*keys, "_b", "_before")
+    ranked = meet(cut, middle, [*keys, "_b"]).withColumn("_at", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda rank: F.min(F.when(F.col("_at") > rank, F.col("_v")))
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+
+
+def median_and_spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, _med, _mad: each group's median and the median distance from it."""
+    counts = value_counts(df, keys, value)
+    middle = medians(counts, keys, "_med")
+    off = meet(counts, middle, keys).groupBy(*keys, F.abs(F.col("_v") - F.col("_med")).alias("_v")).agg(F.sum("_n").alias("_n"))
+    return meet(middle, medians(off, keys, "_mad"), keys)
+
+
 def robust_scores(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """``df`` with (value - median) / (MAD * 1.4826); without spread the standard deviation, then 1, takes its place."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("_med"), F.stddev_samp(value).alias("_std"))
-    centred = df.join(middle, keys)
-    spread = centred.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_med"))).alias("_mad"))
+    stats = meet(median_and_spread(df, keys, value), df.groupBy(*keys).agg(F.stddev_samp(value).alias("_std")), keys)
     scale = F.when(F.col("_mad") > 0, F.col("_mad") * MAD_SCALE).when(F.col("_std") > 0, F.col("_std")).otherwise(1.0)
-    return centred.join(spread, keys).withColumn(name, (F.col(value) - F.col("_med")) / scale).drop("_med", "_std", "_mad")
+    return meet(df, stats, keys, "left").withColumn(name, (F.col(value) - F.col("_med")) / scale).drop("_med", "_std", "_mad")
 
 
 def adjusted_p(df: DataFrame, family: list[str], p: str, name: str, blocks: int = 1024) -> DataFrame:
@@ -90,9 +124,48 @@ def gradient(df: DataFrame, key: list[str], k: str, value: str) -> DataFrame:
     return df.withColumn("gradient", F.when(before.isNull(), after - F.col(value)).when(after.isNull(), F.col(value) - before).otherwise((after - before) / 2))
 
 
-def rolling_mean(df: DataFrame, key: list[str], order: list[str], value: str, n: int, name: str) -> DataFrame:
-    """``df`` with the mean of the last ``n`` rows, fewer at a key's start."""
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(1 - n, 0)))
+def rolling_mean(df: DataFrame, key: list[str], block: Column, order: list[str], value: str, n: int, name: str) -> DataFrame:
+    """``df`` with the mean of the last ``n`` rows, fewer at a key's start.
+
+    Rows are numbered by running counts of blocks and cut into runs of equal length; the last rows of a run are lent to the
+    next one, so no window spans a whole key.
+    """
+    size = max(4096, 4 * n)
+    numbered = with_running_sum(df, key, block, order, F.lit(1), "_at").withColumn("_run", F.floor((F.col("_at") - 1) / size))
+    lent = numbered.where(F.pmod(F.col("_at") - 1, F.lit(size)) >= size - (n - 1)).withColumns({"_run": F.col("_run") + 1, "_lent": F.lit(True)})
+    window = Window.partitionBy(*key, "_run").orderBy("_at").rowsBetween(1 - n, 0)
+    both = numbered.withColumn("_lent", F.lit(False)).unionByName(lent).withColumn(name, F.avg(value).over(window))
+    return both.where(~F.col("_lent")).drop("_at", "_run", "_lent")
+
+
+def boxcar(df: DataFrame, key: list[str], k: str, value: str, half: int, name: str) -> DataFrame:
+    """``df`` with the mean of ``half`` rows to each side; beyond a trial's ends its end values go on. Keys are trials, so short."""
+    whole = Window.partitionBy(*key).orderBy(k).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near, at = Window.partitionBy(*key).orderBy(k).rowsBetween(-half, half), F.row_number().over(Window.partitionBy(*key).orderBy(k))
+    left, right = F.greatest(half + 1 - at, F.lit(0)), F.greatest(at + half - F.count("*").over(whole), F.lit(0))
+    return df.withColumn(name, (F.sum(value).over(near) + left * F.first(value).over(whole) + right * F.last(value).over(whole)) / (2 * half + 1))
+
+
+def longest_constant(df: DataFrame, key: list[str], k: str, value: str, eps: float) -> DataFrame:
+    """key, longest: the most consecutive rows of a trial whose values differ by at most ``eps`` from one to the next (1 if none do)."""
+    w = Window.partitionBy(*key).orderBy(k)
+    step = df.withColumn("_new", F.when(F.abs(F.col(value) - F.lag(value).over(w)) <= eps, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return step.groupBy(*key, "_run").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("longest"))
+
+
+def latest(df: DataFrame, key: list[str], k: str, n: int) -> DataFrame:
+    """The last ``n`` rows of each trial."""
+    return df.withColumn("_back", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(k).desc()))).where(F.col("_back") <= n).drop("_back")
+
+
+def compare_sites(df: DataFrame, site: str, unit: str, metrics: list[str], p: str) -> DataFrame:
+    """site, unit, z of each metric within its site, log_p (-log10), composite (the greatest of them in size) and its dense rank in the site."""
+    scored = df
+    for m in metrics:
+        scored = group_moments(scored, [site], m, f"{m}_z")
+    scored = scored.withColumn("log_p", F.when(F.col(p) > 0, -F.log10(p)))
+    scored = scored.withColumn("composite", F.greatest(*(F.abs(f"{m}_z") for m in metrics), F.col("log_p"))).select(site, unit, *(f"{m}_z" for m in metrics), "log_p", "composite")
+    return dense_rank_desc(scored, [site], "composite", "rank")
 
 
 def first_settled(df: DataFrame, key: list[str], k: str, calm: Column, n: int) -> DataFrame:
@@ -105,15 +178,15 @@ def first_settled(df: DataFrame, key: list[str], k: str, calm: Column, n: int) -
 
 def threshold_events(samples: DataFrame, z: float, floor: float, ceiling: float, block: Column) -> DataFrame:
     """channel, k: where |value - median| first rises to min(ceiling, max(floor, z scaled MADs)) on each channel."""
-    middle = samples.groupBy("channel").agg(F.median("value").alias("_med"))
-    off = samples.join(middle, "channel").withColumn("_off", F.abs(F.col("value") - F.col("_med")))
-    spread = off.groupBy("channel").agg((F.median("_off") * MAD_SCALE).alias("_mad"))
-    limited = off.join(spread, "channel").withColumn("_on", F.col("_off") >= F.least(F.lit(ceiling), F.greatest(F.lit(floor), z * F.col("_mad"))))
-    return onsets(limited, "channel", block, ["k"], F.col("_on")).where("edge = 'rising'").select("channel", "k")
+    off = samples.join(median_and_spread(samples, ["channel"], "value"), "channel")
+    limit = F.least(F.lit(ceiling), F.greatest(F.lit(floor), z * F.col("_mad") * MAD_SCALE))
+    marked = off.withColumn("_on", F.abs(F.col("value") - F.col("_med")) >= limit)
+    return onsets(marked, "channel", block, ["k"], F.col("_on")).where("edge = 'rising'").select("channel", "k")
 
 
 def consensus_events(events: DataFrame, gap: int, least: int, block: Column) -> DataFrame:
     """k, n_channels: clusters of events of any channel within ``gap``, at their rounded median, if ``least`` channels take part."""
-    one = events.withColumn("_all", F.lit(1))
-    grouped = clusters(one, "_all", "k", "channel", gap, block).groupBy("cluster").agg(F.bround(F.median("k")).cast("long").alias("k"), F.count_distinct("channel").alias("n_channels"))
-    return grouped.where(F.col("n_channels") >= least).select("k", "n_channels")
+    own = clusters(events.withColumn("_all", F.lit(1)), "_all", "k", "channel", gap, block)
+    middle = medians(value_counts(own, ["cluster"], "k"), ["cluster"], "_k")
+    grouped = own.groupBy("cluster").agg(F.count_distinct("channel").alias("n_channels")).where(F.col("n_channels") >= least)
+    return grouped.join(middle, "cluster").select(F.bround("_k").cast("long").alias("k"), "n_channels")

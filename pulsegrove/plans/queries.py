@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -17,13 +16,27 @@ from pulsegrove.sources import tables as source_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Decimals kept of doubles, as sums in another order differ in the last ones; the shift keeps means of short decimals
-#: off the border between two roundings. ``round(x, 6)`` and ``round(x, 4)`` in the SQL below mean the same.
-DECIMALS, SHIFT = 6, {6: 3e-8, 4: 3e-6}
+#: Decimals kept of doubles on both sides, as sums in another order differ in the last ones. Three more are rounded first, so
+#: that a value half-way between two roundings is not decided by those last ones.
+DECIMALS, MORE = 6, 3
 
 
 def _round(column: str, decimals: int = DECIMALS) -> Column:
-    return F.round(F.col(f"`{column}`") + SHIFT[decimals], decimals)
+    return F.round(F.round(F.col(f"`{column}`"), decimals + MORE), decimals)
+
+
+def rounding(sql: str) -> str:
+    """``sql`` with each ``round(x, n)`` as the same two roundings, on decimals."""
+    at = sql.find("round(")
+    if at < 0:
+        return sql
+    depth, end, comma = 1, at + 6, 0
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        comma = end if sql[end] == "," and depth == 1 else comma
+        end += 1
+    inner, n = sql[at + 6 : comma], int(sql[comma + 1 : end - 1])
+    return f"{sql[:at]}CAST(CAST(CAST({rounding(inner)} AS DECIMAL(38, {n + MORE})) AS DECIMAL(38, {n})) AS DOUBLE){rounding(sql[end:])}"
 
 
 def query(sql: str | None = None, users: SimpleNamespace | None = None) -> Callable:
@@ -38,7 +51,7 @@ def query(sql: str | None = None, users: SimpleNamespace | None = None) -> Calla
 
             QUERIES[name] = rounded
             if text:
-                ORACLES[name] = re.sub(r", ([46])\)", lambda m: f" + {SHIFT[int(m[1])]}, {m[1]})", text)
+                ORACLES[name] = rounding(text)
             return rounded
 
         if users:
@@ -170,7 +183,7 @@ def settled_trials(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataF
 
 @query("""SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS smoothed FROM orders""")
 def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
-    return windows.rolling_mean(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", 5, "smoothed").select("o_orderkey", "smoothed")
+    return windows.rolling_mean(table(spark, d, "orders"), ["o_custkey"], F.trunc("o_orderdate", "year"), ["o_orderdate", "o_orderkey"], "o_totalprice", 5, "smoothed").select("o_orderkey", "smoothed")
 
 
 @query(f"""WITH {P.SQL_HOURLY} SELECT channel, round(stddev_samp(value), 6) AS std, round(max(value) - min(value), 6) AS ptp, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing, round(median(abs(value)), 6) AS median_abs FROM hourly GROUP BY 1""", users=P.BY_TRACE)
@@ -281,7 +294,8 @@ def strongest_edges(spark: SparkSession, d: str) -> DataFrame:
     return directed.strongest(directed.collapse(P.trade(spark, d), []), 3).select("source", "target", _round("weight", 4).alias("weight"), "rank")
 
 
-NODES = [f"NATION_{i}" for i in range(5)]
+#: All of the fixed table of nations.
+NODES = [f"NATION_{i}" for i in range(25)]
 
 
 @query(f"""WITH {P.SQL_TRADE} SELECT source, """ + ", ".join(f"round(coalesce(avg(weight) FILTER (WHERE target = '{n}'), 0), 6) AS {n}" for n in NODES) + " FROM trade GROUP BY 1")
@@ -313,10 +327,10 @@ def decision_consensus(spark: SparkSession, d: str) -> DataFrame:
     return detections.consensus(P.decisions(spark, d), "record_id", "rater", "call", 2)
 
 
-@query("""SELECT raw_id, """ + ", ".join(f"coalesce(bool_or(bad_response_fraction > 0.2) FILTER (WHERE model_id = {m}), false) AS \"{m}\"" for m in range(1, 5)) + " FROM artifact_summary GROUP BY 1")
+@query("""SELECT raw_id, """ + ", ".join(f"coalesce(bool_or(bad_response_fraction > 0.2) FILTER (WHERE model_id = {m}), false) AS \"{m}\"" for m in range(1, 13)) + " FROM artifact_summary GROUP BY 1")
 def decision_matrix(spark: SparkSession, d: str) -> DataFrame:
     calls = table(spark, d, "artifact_summary").withColumn("call", F.col("bad_response_fraction") > 0.2)
-    return detections.matrix(calls, "raw_id", "model_id", "call", [1, 2, 3, 4])
+    return detections.matrix(calls, "raw_id", "model_id", "call", list(range(1, 13)))
 
 
 @query("""SELECT raw_id, m.model_id, coalesce(bool_or(bad_response_fraction > 0.2) FILTER (WHERE a.model_id = m.model_id), false) AS call FROM artifact_summary a CROSS JOIN n1_models m GROUP BY 1, 2""")
@@ -338,7 +352,7 @@ def events_near_errors(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT event_type, min(k) AS k FROM t GROUP BY 1 UNION ALL SELECT f.event_type, (SELECT min(t.k) FROM t WHERE t.event_type = f.event_type AND t.k >= f.k + 7200) FROM f WHERE f.k IS NOT NULL)
 SELECT event_type, k FROM f WHERE k IS NOT NULL""")
 def thinned_events(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.thinned(_timed(spark, d), "event_type", "k", "event_id", 7200, F.floor(F.col("k") / 86400))
+    return intervals.thinned(_timed(spark, d), "event_type", "k", 7200)
 
 
 @query("""WITH m AS (SELECT p_brand AS g, count(*) AS n, avg(p_retailprice) AS m, var_samp(p_retailprice) AS v FROM part GROUP BY 1)
@@ -369,8 +383,8 @@ def mutual_information(spark: SparkSession, d: str, roles: SimpleNamespace) -> D
 
 @query()
 def sign_flips(spark: SparkSession, d: str) -> DataFrame:
-    values = table(spark, d, "artifact_summary").select("raw_id", (F.col("bad_response_fraction") - 0.15).alias("x"))
-    return stats.sign_flips(values, ["raw_id"], "x")
+    values = table(spark, d, "artifact_summary").select("raw_id", "summary_id", (F.col("bad_response_fraction") - 0.15).alias("x"))
+    return stats.sign_flips(values, ["raw_id"], "x", "summary_id")
 
 
 @query("""SELECT elec_label, regexp_replace(regexp_replace(upper(regexp_replace(regexp_replace(elec_label, '^(?i)pol\\s+', ''), '(?i)[-/_ ]*ref$', '')), '[^A-Z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g') AS label_key, count(*) AS n

@@ -7,7 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrove.operators import epoching
+from pulsegrove.operators import epoching, montage
 from pulsegrove.session import table
 
 BEFORE, AFTER = 6, 12
@@ -56,19 +56,23 @@ def bridged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_epoched(spark: SparkSession, d: str) -> DataFrame:
-    return epoching.baseline_centered(epoching.epochs(sessions(spark, d), session_anchors(spark, d), BEFORE, AFTER), -BEFORE, -1)
+    return epoching.baseline_centered(epoching.epochs(sessions(spark, d), session_anchors(spark, d), BEFORE, AFTER, F.floor(F.col("k") / SESSION)), -BEFORE, -1)
 
 
 def bridged_epoched(spark: SparkSession, d: str) -> DataFrame:
-    return epoching.baseline_centered(epoching.epochs(bridged(spark, d), session_anchors(spark, d), BEFORE, AFTER), -BEFORE, -1)
+    return epoching.baseline_centered(epoching.epochs(bridged(spark, d), session_anchors(spark, d), BEFORE, AFTER, F.floor(F.col("k") / SESSION)), -BEFORE, -1)
+
+
+LEAD = r"^([A-Z]+)([0-9]{1,3})$"
 
 
 def contacts(spark: SparkSession, d: str) -> DataFrame:
-    """patient, lead, number, mni_x.. of the entries whose label is a lead and a number letter for letter; repeats averaged."""
-    rows = table(spark, d, "electrode_metadata").where(F.col("elec_label").rlike(r"^[A-Z]{4,7}[0-9]{1,2}$"))
+    """patient, lead, number, mni_x.. of all entries whose label, by its key, is a lead and a number; repeats averaged."""
+    rows = table(spark, d, "electrode_metadata").withColumn("_key", montage.label_key(F.col("elec_label"))).where(F.col("_key").rlike(LEAD))
     patient = F.upper(F.regexp_replace("patient_id", r"^(?i)sub-", ""))
     real = lambda c: F.avg(F.when(~F.isnan(c), F.col(c))).alias(c)
-    return rows.select(patient.alias("patient"), F.regexp_extract("elec_label", r"^([A-Z]+)([0-9]+)$", 1).alias("lead"), F.regexp_extract("elec_label", r"^([A-Z]+)([0-9]+)$", 2).cast("int").alias("number"), "mni_x", "mni_y", "mni_z").groupBy("patient", "lead", "number").agg(*map(real, ("mni_x", "mni_y", "mni_z")))
+    named = rows.select(patient.alias("patient"), F.regexp_extract("_key", LEAD, 1).alias("lead"), F.regexp_extract("_key", LEAD, 2).cast("int").alias("number"), "mni_x", "mni_y", "mni_z")
+    return named.groupBy("patient", "lead", "number").agg(*map(real, ("mni_x", "mni_y", "mni_z")))
 
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
@@ -89,14 +93,23 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "annotations").select("record_id", "rater", label.alias("call"))
 
 
+#: What tells recordings apart on the axis k: nothing, or the user.
+SQL_PART = "CAST(0 * k AS BIGINT)"
 #: The same roles in SQL, put before an oracle's own text.
 SQL_HOURLY = """hourly AS (SELECT event_type AS channel, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS k, avg(value) AS value FROM events GROUP BY 1, 2)"""
 SQL_EPOCHED = SQL_HOURLY + f""", anchors AS (SELECT DISTINCT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events WHERE event_type = 'error'),
-raw_epochs AS (SELECT h AS epoch, channel, CAST(k - h AS INTEGER) AS "offset", value FROM anchors JOIN hourly ON k BETWEEN h - {BEFORE} AND h + {AFTER}),
+spans AS (SELECT {SQL_PART} AS part, min(k) AS lo, max(k) AS hi FROM hourly GROUP BY 1), inner_anchors AS (SELECT h FROM (SELECT h, h AS k FROM anchors) a JOIN spans ON part = {SQL_PART} AND h - {BEFORE} >= lo AND h + {AFTER} <= hi),
+raw_epochs AS (SELECT h AS epoch, channel, CAST(k - h AS INTEGER) AS "offset", value FROM inner_anchors JOIN hourly ON k BETWEEN h - {BEFORE} AND h + {AFTER}),
 epoched AS (SELECT epoch, channel, "offset", value - avg(value) FILTER (WHERE "offset" BETWEEN -{BEFORE} AND -1) OVER (PARTITION BY epoch, channel) AS value FROM raw_epochs)"""
-SQL_CONTACTS = """contacts AS (SELECT upper(regexp_replace(patient_id, '^(?i)sub-', '')) AS patient, regexp_extract(elec_label, '^([A-Z]+)([0-9]+)$', 1) AS lead,
-CAST(regexp_extract(elec_label, '^([A-Z]+)([0-9]+)$', 2) AS INTEGER) AS number, avg(mni_x) FILTER (WHERE NOT isnan(mni_x)) AS mni_x, avg(mni_y) FILTER (WHERE NOT isnan(mni_y)) AS mni_y,
-avg(mni_z) FILTER (WHERE NOT isnan(mni_z)) AS mni_z FROM electrode_metadata WHERE regexp_matches(elec_label, '^[A-Z]{4,7}[0-9]{1,2}$') GROUP BY 1, 2, 3)"""
+def sql_label_key(label: str) -> str:
+    bare = f"regexp_replace(regexp_replace({label}, '^(?i)pol\\s+', ''), '(?i)[-/_ ]*ref$', '')"
+    return f"regexp_replace(regexp_replace(upper({bare}), '[^A-Z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g')"
+
+
+SQL_CONTACTS = f"""keyed AS (SELECT *, {sql_label_key("elec_label")} AS label_key FROM electrode_metadata),
+contacts AS (SELECT upper(regexp_replace(patient_id, '^(?i)sub-', '')) AS patient, regexp_extract(label_key, '^([A-Z]+)([0-9]+)$', 1) AS lead,
+CAST(regexp_extract(label_key, '^([A-Z]+)([0-9]+)$', 2) AS INTEGER) AS number, avg(mni_x) FILTER (WHERE NOT isnan(mni_x)) AS mni_x, avg(mni_y) FILTER (WHERE NOT isnan(mni_y)) AS mni_y,
+avg(mni_z) FILTER (WHERE NOT isnan(mni_z)) AS mni_z FROM keyed WHERE regexp_matches(label_key, '^[A-Z]+[0-9]{{1,3}}$') GROUP BY 1, 2, 3)"""
 SQL_TRADE = """trade AS (SELECT s.n_name AS source, t.n_name AS target, date_trunc('month', l_shipdate) AS month, l_extendedprice * (1 - l_discount) AS weight FROM lineitem
 JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation s ON s.n_nationkey = s_nationkey JOIN nation t ON t.n_nationkey = c_nationkey)"""
 SQL_DECISIONS = """decisions AS (SELECT record_id, rater, CASE WHEN NOT isnan(raw_annotation) AND raw_annotation >= 0 THEN raw_annotation > 0 END AS call FROM annotations)"""
@@ -111,5 +124,5 @@ def _pulses(hour):
 
 #: The signal roles: of all users' hourly means, of each user's readings, and of those with a channel per user.
 HOURLY = SimpleNamespace(signal=hourly, epoched=epoched, pulses=_pulses(lambda: epoching.sample_index("ts")), sql=lambda sql: sql)
-BY_USER = SimpleNamespace(signal=sessions, epoched=session_epoched, pulses=_pulses(_session_hour), sql=lambda sql: sql.replace(SQL_HOUR, f"(user_id * {SESSION} + {SQL_HOUR})"))
+BY_USER = SimpleNamespace(signal=sessions, epoched=session_epoched, pulses=_pulses(_session_hour), sql=lambda sql: sql.replace(SQL_HOUR, f"(user_id * {SESSION} + {SQL_HOUR})").replace(SQL_PART, f"k // {SESSION}"))
 BY_TRACE = SimpleNamespace(signal=traces, epoched=None, pulses=_pulses(_session_hour), sql=lambda sql: BY_USER.sql(sql).replace(SQL_CHANNEL, "user_id || ':' || event_type AS channel"))

@@ -5,7 +5,7 @@ Batch twins are in ``operators``; on a finished input both give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -36,36 +36,59 @@ def without_repeats(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
 
 
-def onsets(samples: DataFrame, key: str, at: str, active: str) -> DataFrame:
-    """key, at, edge where ``active`` (boolean) changes: the state is each key's last level.
+def _in_order(rows: DataFrame, ts: str, at: str, extra: str, schema: str, carry: str, step: Callable[[Any, list[tuple]], tuple[Any, list[tuple]]]) -> DataFrame:
+    """Rows of key, ``ts`` (watermarked), ``at`` and ``extra`` through ``step`` key by key, in order of event time, then ``at``.
 
-    Rows of one trigger are sorted; a row older than its key's last one is taken where it comes.
+    A row waits in the state until the watermark has passed it, so results do not depend on how micro-batches fall; a
+    timer on event time wakes keys that get no more rows. Rows older than the watermark are late and left out. ``step``
+    takes what is carried from row to row (null at first) and rows (at, extra), and gives what is carried on and rows out.
     """
-
-    def step(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level = state.get[0] if state.exists else False
-        rows = pd.concat(list(batches)).sort_values(at)
-        now = rows[active].fillna(False).astype(bool)
-        before = now.shift(1, fill_value=level)
-        state.update((bool(now.iloc[-1]),))
-        edges = rows.assign(edge=now.map({True: "rising", False: "falling"}))[now != before]
-        yield pd.DataFrame({"key": keys[0], "at": edges[at], "edge": edges["edge"]})
-
-    rows = samples.select(F.col(key).alias("key"), at, active)
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, at long, edge string", "level boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def thinned(pulses: DataFrame, key: str, at: str, least: int) -> DataFrame:
-    """key, at of the pulses at least ``least`` after the last one kept: the state is that one's time."""
-
-    def step(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, kept = state.get[0] if state.exists else None, []
-        for t in pd.concat(list(batches))["at"].sort_values():
-            if last is None or t - last >= least:
-                kept.append(last := int(t))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"key": [keys[0]] * len(kept), "at": kept})
-
-    rows = pulses.select(F.col(key).alias("key"), F.col(at).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, carried = (list(zip(*(state.get[i] for i in range(3)))), state.get[3]) if state.exists else ([], None)
+        mark = state.getCurrentWatermarkMs()
+        for pdf in batches:
+            ms = pdf[ts].astype("datetime64[ms]").astype("int64")
+            waiting += [(int(m), int(a), bool(x)) for m, a, x in zip(ms, pdf[at], pdf[extra].fillna(False)) if m > mark]
+        waiting.sort()
+        ready = [w for w in waiting if w[0] <= mark]
+        carried, out = step(carried, [w[1:] for w in ready])
+        waiting = waiting[len(ready) :]
+        state.update(([w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], carried))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0], mark + 1))
+        yield pd.DataFrame([(keys[0], *r) for r in out], columns=names)
+
+    kept = f"ms array<bigint>, at array<bigint>, extra array<boolean>, carried {carry}"
+    return rows.groupBy("key").applyInPandasWithState(run, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def onsets(samples: DataFrame, key: str, ts: str, at: str, active: str) -> DataFrame:
+    """key, at, edge where ``active`` (boolean) changes: what is carried is each key's last level."""
+
+    def step(level: bool | None, rows: list[tuple]) -> tuple[Any, list[tuple]]:
+        out = []
+        for at_, on in rows:
+            if on != bool(level):
+                out.append((at_, "rising" if on else "falling"))
+            level = on
+        return level, out
+
+    rows = samples.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(at).alias("at"), F.col(active).alias("on"))
+    return _in_order(rows, "ts", "at", "on", "key string, at long, edge string", "boolean", step)
+
+
+def thinned(pulses: DataFrame, key: str, ts: str, at: str, least: int) -> DataFrame:
+    """key, at of the pulses at least ``least`` after the last one kept: what is carried is that one's time."""
+
+    def step(last: int | None, rows: list[tuple]) -> tuple[Any, list[tuple]]:
+        out = []
+        for at_, _ in rows:
+            if last is None or at_ - last >= least:
+                out.append((at_,))
+                last = at_
+        return last, out
+
+    rows = pulses.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(at).alias("at"), F.lit(True).alias("on"))
+    return _in_order(rows, "ts", "at", "on", "key string, at long", "bigint", step)

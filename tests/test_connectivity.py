@@ -55,7 +55,7 @@ def test_hubs_and_canonical_edges(spark):
 
 def test_slope_permutation_and_consensus(spark):
     rows = [("out", float(d), 18 + 0.5 * d) for d in range(24)] + [("two", 1.0, 2.0), ("two", 2.0, 1.0), ("none", None, 1.0)]
-    got = {r.g: r for r in stats.slope_permutation(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y", 199, 1).collect()}
+    got = {r.g: r for r in stats.slope_permutation(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], ["x", "y"], "x", "y", 199, 1).collect()}
     assert abs(got["out"].slope - 0.5) < 1e-9 and got["out"].r2 > 0.99 and got["out"].p <= 0.01 and got["two"].p == 1.0 and "none" not in got
     pulses = spark.createDataFrame([("a", 10), ("b", 11), ("c", 12), ("a", 50), ("a", 52), ("b", 90), ("c", 93)], "channel string, k long")
     assert [(r.k, r.n_channels) for r in windows.consensus_events(pulses, 2, 2, F.floor(F.col("k") / 20)).collect()] == [(11, 3)]

@@ -78,10 +78,15 @@ def test_gate_fails_at_the_cutoff(spark):
 def test_sign_flips_and_tails(spark):
     xs = [1.0, 2.0, 3.0, 4.0]
     ys = [0.3, -0.2, 0.9, 0.4, -0.1, 0.8]
-    df = spark.createDataFrame([("x", v) for v in xs] + [("y", v) for v in ys] + [("z", None)], "g string, v double")
-    got = {r.g: r.p for r in stats.sign_flips(df, ["g"], "v").collect()}
+    df = spark.createDataFrame([("x", i, v) for i, v in enumerate(xs)] + [("y", i, v) for i, v in enumerate(ys)] + [("z", 0, None)], "g string, i int, v double")
+    got = {r.g: r.p for r in stats.sign_flips(df, ["g"], "v", "i").collect()}
     brute = np.mean([abs(sum(s * v for s, v in zip(signs, ys))) >= sum(ys) - 1e-12 for signs in itertools.product((1, -1), repeat=len(ys))])
     assert got == {"x": 0.125, "y": brute}
+    # random patterns come close to all of them, the same each time, and never give 0
+    drawn = [{r.g: r.p for r in stats.sign_flips(df, ["g"], "v", "i", exact=0, draws=5000).collect()} for _ in range(2)]
+    assert drawn[0] == drawn[1] and abs(drawn[0]["y"] - brute) < 0.02 and abs(drawn[0]["x"] - 0.125) < 0.02
+    sure = spark.createDataFrame([("g", i, 1.0 + i / 100) for i in range(40)], "g string, i int, v double")
+    assert stats.sign_flips(sure, ["g"], "v", "i").first()["p"] == 1 / 5001
     assert abs(stats.beta_tail(1.0, 0.5, 0.3) - (1 - math.sqrt(0.7))) < 1e-12
     assert abs(stats.beta_tail(5, 0.5, 10 / (10 + 2.228139**2)) - 0.05) < 1e-6
 
@@ -93,7 +98,7 @@ def test_interval_join_and_thinning_against_brute_force(spark):
     p, s = spark.createDataFrame(points, "by string, t long, id long"), spark.createDataFrame(spans, "by string, a long, b long")
     got = sorted((r.id, r.a, r.b) for r in intervals.within(p, s, "by", "t", "a", "b", 40).collect())
     assert got == sorted((i, a, b) for k, t, i in points for j, a, b in spans if k == j and a <= t <= b)
-    kept = sorted((r.by, r.t) for r in intervals.thinned(p, "by", "t", "id", 15, F.floor(F.col("t") / 50)).collect())
+    kept = sorted((r.by, r.t) for r in intervals.thinned(p, "by", "t", 15).collect())
     want = []
     for key in ("0", "1"):
         last = None
@@ -104,6 +109,39 @@ def test_interval_join_and_thinning_against_brute_force(spark):
     assert kept == want
 
 
+def test_dense_points_are_thinned_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "SPAN", 2)
+    rng = np.random.default_rng(2)
+    ts = sorted(set(int(t) for t in rng.integers(0, 3000, 1500)) | {9000, 9001, 20_000})
+    points = spark.createDataFrame([("a", t) for t in ts] + [("b", 5), ("b", 5), ("c", None), (None, 5)], "by string, t long")
+    want, last = [], None
+    for t in ts:
+        if last is None or t - last >= 7:
+            want.append(t)
+            last = t
+    got = [(r.by, r.t) for r in intervals.thinned(points, "by", "t", 7).orderBy("by", "t").collect()]
+    assert got == [("a", t) for t in want] + [("b", 5)]
+
+
+def test_medians_equal_the_exact_ones_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(windows, "MEDIAN_BLOCKS", 7)
+    rng = np.random.default_rng(4)
+    rows = [(str(g), float(v)) for g in range(6) for v in np.round(np.exp(rng.normal(0, 3, 5 + 40 * g)), 2)] + [("n", None), ("n", float("nan")), (None, 3.0), (None, 4.0), ("one", 2.0)]
+    counts = windows.value_counts(spark.createDataFrame(rows, "g string, v double"), ["g"], "v")
+    got = {r.g: r.m for r in windows.medians(counts, ["g"], "m").collect()}
+    want = {str(g): float(np.median([v for k, v in rows if k == str(g)])) for g in range(6)} | {None: 3.5, "one": 2.0}
+    assert got == want
+
+
+def test_rolling_means_across_runs(spark):
+    rows = [("a" if i % 5 else "b", i, float(i * i % 97)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "g string, t long, v double")
+    out = {(r.g, r.t): r.m for r in windows.rolling_mean(df, ["g"], F.floor(F.col("t") / 1000), ["t"], "v", 3, "m").collect()}
+    for g in "ab":
+        own = [(t, v) for k, t, v in rows if k == g]
+        assert len(own) > 2000 and all(abs(out[g, t] - np.mean([x for _, x in own[max(0, i - 2) : i + 1]])) < 1e-9 for i, (t, _) in enumerate(own))
+
+
 def test_asof_with_ties_and_empty_right(spark):
     left = spark.createDataFrame([("u", 5, "m"), ("u", 10, "n"), ("w", 5, "o")], "by string, t long, name string")
     right = spark.createDataFrame([("u", 5, 1.0), ("u", 5, 2.0), ("u", 200, 3.0)], "by string, t long, v double")
