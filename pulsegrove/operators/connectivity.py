@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrove.functions import kernels
-from pulsegrove.operators.spectral import array_udf
+from pulsegrove.operators.spectral import array_udf, phases
 from pulsegrove.operators.stats import beta_tail, linear_fit
 
 
@@ -82,3 +84,62 @@ def phase_amplitude(epochs: DataFrame, channel: str, rate: float, slow: tuple[fl
     p = F.col("m") / F.col("t")
     out = means.join(total, channel).groupBy(channel).agg(F.sum(F.when(p > 0, p * F.log(p * bins)).otherwise(0.0)).alias("kl"), F.max_by("cell", F.struct("m", -F.col("cell"))).alias("top"))
     return out.select(channel, (F.col("kl") / np.log(bins)).alias("modulation"), ((F.col("top") + 0.5) * (2 * np.pi / bins) - np.pi).alias("preferred"))
+
+
+def locking_over_samples(signals: DataFrame, recording: str, channel: str) -> DataFrame:
+    """recording, a, b, plv: of each pair of channels of a recording, the length of the mean phase difference over its samples."""
+    own = phases(signals).select(recording, F.col(channel).alias("c"), F.posexplode(F.arrays_zip("cos", "sin")).alias("k", "z")).select(recording, "k", "c", "z.cos", "z.sin")
+    a, b = (own.select(recording, "k", F.col("c").alias(s), F.col("cos").alias(f"c{s}"), F.col("sin").alias(f"s{s}")) for s in "ab")
+    along, across = F.col("ca") * F.col("cb") + F.col("sa") * F.col("sb"), F.col("sa") * F.col("cb") - F.col("ca") * F.col("sb")
+    return a.join(b, [recording, "k"]).where("a < b").groupBy(recording, "a", "b").agg(F.sqrt(F.pow(F.avg(along), F.lit(2)) + F.pow(F.avg(across), F.lit(2))).alias("plv"))
+
+
+def segments(signals: DataFrame, length: int) -> DataFrame:
+    """``signals`` with a row for each segment of ``length`` samples of ``y`` that overlap by half, numbered by ``segment``."""
+    starts = F.sequence(F.lit(0), F.size("y") - length, F.lit(max(1, length // 2)))
+    cut = signals.where(F.size("y") >= length).withColumn("_at", F.explode(starts))
+    return cut.withColumn("y", F.slice("y", F.col("_at") + 1, F.lit(length))).withColumn("segment", F.col("_at")).drop("_at")
+
+
+def continuous_coherence(signals: DataFrame, recording: str, channel: str, rate: float, length: int, low: float, high: float) -> DataFrame:
+    """a, b, coherence, imaginary of each pair of channels over all segments of all recordings, averaged over a band."""
+    parts = segments(signals, length).withColumn("_trial", F.concat_ws("/", F.col(recording).cast("string"), F.col("segment").cast("string")))
+    return coherence(parts, "_trial", channel, rate, low, high)
+
+
+def phase_phase(epochs: DataFrame, channel: str, rate: float, slow: tuple[float, float], fast: tuple[float, float], n: int, m: int) -> DataFrame:
+    """channel, locking: the length of the mean of n times the slow band's phase less m times the fast band's, over all samples."""
+    low, high = kernels.butterworth(2, *slow, rate), kernels.butterworth(2, *fast, rate)
+
+    def both(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.angle(kernels.analytic(kernels.filtered(s, x))) for s in (low, high)], axis=1)
+
+    parts = epochs.select(channel, F.size("y").alias("n"), array_udf(both)("y").alias("z")).where("z is not null")
+    points = parts.select(channel, F.explode(F.arrays_zip(F.slice("z", F.lit(1), F.col("n")).alias("p"), F.slice("z", F.col("n") + 1, F.col("n")).alias("q"))).alias("z"))
+    off = n * F.col("z.p") - m * F.col("z.q")
+    return points.groupBy(channel).agg(F.sqrt(F.pow(F.avg(F.cos(off)), F.lit(2)) + F.pow(F.avg(F.sin(off)), F.lit(2))).alias("locking"))
+
+
+def comodulogram(epochs: DataFrame, channel: str, rate: float, slow: list[tuple[float, float]], fast: list[tuple[float, float]]) -> DataFrame:
+    """channel, slow, fast (the bands' lower ends), modulation: phase-amplitude coupling for each pair of a few bands."""
+    cells = [phase_amplitude(epochs, channel, rate, s, f).select(channel, F.lit(float(s[0])).alias("slow"), F.lit(float(f[0])).alias("fast"), "modulation") for s in slow for f in fast]
+    return reduce(DataFrame.unionByName, cells)
+
+
+def wavelet_locking(epochs: DataFrame, trial: str, channel: str, rate: float, freqs: list[float], cycles: float = 7.0) -> DataFrame:
+    """a, b, freq, k, plv: over trials, the length of the mean wavelet phase difference of each pair of channels."""
+    grid = np.asarray(freqs, float)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        z = kernels.morlet(x, rate, grid, cycles).reshape(len(x), -1)
+        z = z / np.maximum(np.abs(z), 1e-300)
+        return np.concatenate([z.real, z.imag], axis=1)
+
+    parts = epochs.select(trial, F.col(channel).alias("c"), F.size("y").alias("n"), array_udf(unit)("y").alias("z")).where("z is not null")
+    total = F.col("n") * len(freqs)
+    cells = parts.select(trial, "c", "n", F.posexplode(F.arrays_zip(F.slice("z", F.lit(1), total).alias("re"), F.slice("z", total + 1, total).alias("im"))).alias("i", "z")).select(trial, "c", "n", "i", "z.re", "z.im")
+    a, b = (cells.select(trial, "i", "n", F.col("c").alias(s), F.col("re").alias(f"re_{s}"), F.col("im").alias(f"im_{s}")) for s in "ab")
+    along, across = F.col("re_a") * F.col("re_b") + F.col("im_a") * F.col("im_b"), F.col("im_a") * F.col("re_b") - F.col("re_a") * F.col("im_b")
+    frequency = F.get(F.array(*map(F.lit, grid.tolist())), F.floor(F.col("i") / F.col("n")).cast("int"))
+    pairs = a.join(b, [trial, "i", "n"]).where("a < b")
+    return pairs.groupBy("a", "b", frequency.alias("freq"), (F.col("i") % F.col("n")).alias("k")).agg(F.sqrt(F.pow(F.avg(along), F.lit(2)) + F.pow(F.avg(across), F.lit(2))).alias("plv"))

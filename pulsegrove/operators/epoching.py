@@ -39,14 +39,15 @@ def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str, block:
     return known.where(F.col("_row").isNotNull()).select("_row.*", F.col("_hit.t").alias("matched_at"), F.col("_hit.v").alias(f"matched_{value}"))
 
 
-def epochs(samples: DataFrame, anchors: DataFrame, before: int, after: int, recording: Column | None = None) -> DataFrame:
+def epochs(samples: DataFrame, anchors: DataFrame, before: int, after: int, recording: Column | None = None, extent: DataFrame | None = None) -> DataFrame:
     """epoch, channel, offset, value: the samples from ``before`` steps ahead of each anchor k to ``after`` steps past it.
 
     An equi-join on (k): every anchor is spread over its offsets, so nothing is compared that does not match. Epochs that
-    overrun their recording's first or last sample are left out; ``recording`` tells recordings apart by k (one, if none).
+    overrun their recording's first or last sample are left out; ``recording`` tells recordings apart by k (one, if none),
+    and ``extent`` has the k of their ends where reading them from ``samples`` costs more.
     """
     part = (F.lit(0) if recording is None else recording).cast("long").alias("_part")
-    spans = samples.groupBy(part).agg(F.min("k").alias("_lo"), F.max("k").alias("_hi"))
+    spans = (samples if extent is None else extent).groupBy(part).agg(F.min("k").alias("_lo"), F.max("k").alias("_hi"))
     whole = anchors.select("k", part).join(spans, "_part").where((F.col("k") - before >= F.col("_lo")) & (F.col("k") + after <= F.col("_hi")))
     spread = whole.select(F.col("k").alias("epoch"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset")).withColumn("k", F.col("epoch") + F.col("offset"))
     return spread.join(samples, "k").select("epoch", "channel", "offset", "value")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrove.operators.stats import sign_flips
 from pulsegrove.operators.windows import adjusted_p
+from pulsegrove.session import cut
 
 EPS = 1e-12
 
@@ -42,6 +43,7 @@ def calls(epoched: DataFrame, base: tuple[int, int], reply: tuple[int, int], lev
 
     Classes: insufficient_data, reproducible_energetic, reproducible_low_energy, energetic_inconsistent, no_response.
     """
+    epoched = cut(epoched)  # read by both tests
     energy = sign_flips(energy_changes(epoched, base, reply), ["channel"], "change", "epoch").select("channel", "n", F.col("mean").alias("energy"), F.col("p").alias("p_energy"))
     steady = sign_flips(cross_projections(epoched, reply), ["channel"], "projection", "epoch").select("channel", F.col("mean").alias("projection"), F.col("p").alias("p_reproducible"))
     both = energy.join(steady, "channel", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrove.operators.in_order import with_running_sum
-from pulsegrove.operators.windows import value_counts
+from pulsegrove.operators.windows import adjusted_p, value_counts
+from pulsegrove.session import cut
 
 
 #: Buckets of groups that are compared with each other.
@@ -138,24 +140,40 @@ def sign_flips(df: DataFrame, keys: list[str], value: str, unit: str, exact: int
 
     Groups of up to ``exact`` values try every pattern of signs. Larger ones take ``draws`` random patterns and count the
     observed one among them: the sign of a value in a draw is a bit of a hash of ``unit`` (which tells a group's values
-    apart), the draw and the seed, so each row adds up its own signed values per draw, and only sums by group and draw are
-    shuffled. Every 64 draws share one hash.
+    apart), the draw and the seed. Each batch of rows adds up its signed values per group and draw, and only those sums are
+    shuffled.
     """
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(unit).alias("_unit"), F.col(value).cast("double").alias("x"))
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.xxhash64(F.col(unit), F.lit(seed)).alias("_unit"), F.col(value).cast("double").alias("x"))
     sizes = values.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.sum(F.abs("x")).alias("size"))
     small = values.join(sizes.where(F.col("n") <= exact).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     tried = small.select(*keys, exact_sign_flip("xs").alias("exact"))
     large = values.join(sizes.where(F.col("n") > exact).select(*keys), keys, "left_semi")
-    words = large.select(*keys, "x", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 64))).alias("_w"), "_unit").withColumn("_h", F.xxhash64("_unit", "_w", F.lit(seed)))
-    signed = [F.sum(F.when(F.shiftright("_h", i).bitwiseAND(F.lit(1)) == 1, F.col("x")).otherwise(-F.col("x"))) for i in range(64)]
-    sums = words.groupBy(*keys, "_w").agg(F.array(*signed).alias("_s")).join(sizes, keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in large.schema.fields if f.name in keys)
+    partial = large.repartition(*keys, F.pmod("_unit", F.lit(8))).sortWithinPartitions(*keys).mapInPandas(lambda batches: signed_sums(batches, keys, draws), f"{schema}, s array<double>")
+    sums = partial.select(*keys, F.posexplode("s").alias("_draw", "_s")).groupBy(*keys, "_draw").agg(F.sum("_s").alias("_s")).join(sizes, keys)
     limit = F.abs(F.col("mean") * F.col("n")) - 1e-12 * F.greatest(F.col("size"), F.lit(1.0))
-    within = F.slice("_s", 1, F.least(F.lit(64), draws - F.col("_w") * 64))
-    hits = sums.groupBy(*keys).agg(F.sum(F.size(F.filter(within, lambda s: F.abs(s) >= limit))).alias("_hits"))
-    drawn = hits.select(*keys, ((1 + F.col("_hits")) / F.lit(1.0 + draws)).alias("drawn"))
+    drawn = sums.groupBy(*keys).agg(((1 + F.sum((F.abs("_s") >= limit).cast("long"))) / F.lit(1.0 + draws)).alias("drawn"))
     return sizes.join(tried, keys, "left").join(drawn, keys, "left").select(*keys, "n", "mean", F.coalesce("exact", "drawn").alias("p"))
 
 
+def signed_sums(batches: Iterator[pd.DataFrame], keys: list[str], draws: int) -> Iterator[pd.DataFrame]:
+    """keys, s: for each group in a batch and each draw, the sum of its values under that draw's signs."""
+    words = (np.arange(1, -(-draws // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for pdf in batches:
+        rows = []
+        for key, own in pdf.groupby(keys, dropna=False):
+            x, unit, total = own["x"].to_numpy(float), own["_unit"].to_numpy().astype(np.uint64), np.zeros(draws)
+            for at in range(0, len(x), 512):
+                # the finaliser of a well-known 64-bit mixing function (splitmix)
+                h = unit[at : at + 512, None] + words
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                bits = np.unpackbits((h ^ (h >> np.uint64(31))).view(np.uint8), axis=1)[:, :draws]
+                total += x[at : at + 512].sum() - 2 * (x[at : at + 512] @ bits)
+            rows.append((*key, total))
+        yield pd.DataFrame(rows, columns=[*keys, "s"])
+
+
 @F.pandas_udf(T.DoubleType())
 def exact_sign_flip(xs: pd.Series) -> pd.Series:
     """The share of sign patterns whose mean is at least as far from 0 as the one observed."""
@@ -235,23 +253,49 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return F.when(n > 0, (middle - half) / scale), F.when(n > 0, (middle + half) / scale)
 
 
-def slope_permutation(df: DataFrame, keys: list[str], unit: list[str], x: str, y: str, draws: int, seed: int) -> DataFrame:
-    """keys, n, slope, r2, p: the slope of y over x, and how often a random pairing of the two is as steep.
+def shuffled(rows: DataFrame, keys: list[str], unit: list[str], moved: str, draws: int, seed: int) -> DataFrame:
+    """``rows`` once per ``draw``, the values of ``moved`` paired anew within each group; ``unit`` tells a group's rows apart.
 
-    ``unit`` tells the rows of a group apart. A pairing matches the rows' order by one hash with their order by another, drawn anew for each draw; a draw of a group
+    A pairing matches the rows' order by one hash with their order by another, drawn anew for each draw; a draw of a group
     is one window of as many rows as the group has, so no window grows with the number of draws.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.xxhash64(*unit, F.lit(seed)).alias("_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    base = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"))
-    own = rows.withColumn("_fixed", F.row_number().over(Window.partitionBy(*keys).orderBy("_id", "x", "y")))
+    own = rows.withColumn("_fixed", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*unit, F.lit(seed)), *unit)))
     drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    shuffled = drawn.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(F.xxhash64("_fixed", "draw", F.lit(seed)))))
-    left, right = drawn.select(*keys, "draw", F.col("_fixed").alias("_at"), "x"), shuffled.select(*keys, "draw", "_at", "y")
-    steep = left.join(right, [*keys, "draw", "_at"]).groupBy(*keys, "draw").agg(F.regr_slope("y", "x").alias("s"))
+    moving = drawn.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(F.xxhash64("_fixed", "draw", F.lit(seed)), "_fixed"))).select(*keys, "draw", "_at", moved)
+    return drawn.drop(moved).withColumnRenamed("_fixed", "_at").join(moving, [*keys, "draw", "_at"]).drop("_at")
+
+
+def slope_permutation(df: DataFrame, keys: list[str], unit: list[str], x: str, y: str, draws: int, seed: int) -> DataFrame:
+    """keys, n, slope, r2, p: the slope of y over x, and how often a random pairing of the two is as steep."""
+    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = whole.select(*keys, *(F.col(u).alias(f"_u{i}") for i, u in enumerate(unit)), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = cut(rows)  # read by the fit and by every draw
+    base = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"))
+    steep = shuffled(rows, keys, [f"_u{i}" for i in range(len(unit))], "y", draws, seed).groupBy(*keys, "draw").agg(F.regr_slope("y", "x").alias("s"))
     counted = steep.join(base, keys).groupBy(*keys).agg(F.sum((F.abs("s") >= F.abs("slope") - 1e-12).cast("long")).alias("_hits"), F.count("s").alias("_draws"))
     return base.join(counted, keys, "left").select(*keys, "n", "slope", "r2", F.when(F.col("slope").isNotNull(), (1 + F.col("_hits")) / (1 + F.col("_draws"))).alias("p"))
 
 
+def latency_permutation(df: DataFrame, keys: list[str], unit: list[str], latency: str, axes: list[str], draws: int, seed: int) -> DataFrame:
+    """keys, n, gradient, p, q: how often latencies dealt anew to the places have as steep a gradient, adjusted over all keys."""
+    columns = [latency, *axes]
+    rows = df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in columns)).select(*keys, *(F.col(u).alias(f"_u{i}") for i, u in enumerate(unit)), *columns)
+    rows = cut(rows)  # read by the fit and by every draw
+    steepness = lambda fit: fit.withColumn("_g", F.sqrt(sum((F.pow(F.col(f"slope_{a}"), F.lit(2)) for a in axes), F.lit(0.0))))
+    base = steepness(linear_fit(rows, keys, latency, axes)).where(F.col("n") >= len(axes) + 2).select(*keys, "n", F.col("_g").alias("gradient"))
+    base = cut(base)
+    dealt = cut(shuffled(rows.join(base.select(*keys), keys, "left_semi"), keys, [f"_u{i}" for i in range(len(unit))], latency, draws, seed))
+    drawn = steepness(linear_fit(dealt, [*keys, "draw"], latency, axes))
+    counted = drawn.join(base, keys).groupBy(*keys).agg(F.sum((F.col("_g") >= F.col("gradient") - 1e-12).cast("long")).alias("_hits"), F.count("_g").alias("_draws"))
+    out = base.join(counted, keys, "left").select(*keys, "n", "gradient", F.when(F.col("gradient").isNotNull(), (1 + F.coalesce("_hits", F.lit(0))) / (1 + F.coalesce("_draws", F.lit(0)))).alias("p"))
+    return adjusted_p(out.withColumn("_family", F.lit(1)), ["_family"], "p", "q").drop("_family")
+
+
+def in_regions(label: Column, pattern: str) -> Column:
+    """Whether an anatomical label matches, without case; a missing label does not."""
+    return F.coalesce(label.rlike(f"(?i){pattern}"), F.lit(False))
+
+
 def latency_gradient(df: DataFrame, keys: list[str], latency: str, axes: list[str]) -> DataFrame:
     """keys, n, slopes, gradient (latency per unit of space), speed (1 / gradient), unit vector and status of a plane wave.
 

@@ -7,10 +7,11 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrove.operators import canonical, directed, epoching, evidence, stats, trains, windows
+from pulsegrove.operators import canonical, connectivity, directed, epoching, evidence, quality, spectral, stats, trains, windows
 from pulsegrove.plans import tables as P
 from pulsegrove.plans.queries import query
-from pulsegrove.session import table
+from pulsegrove.session import cut, table
+from pulsegrove.sources import tables as source_tables
 
 SUMMARY = "artifact_summary"
 
@@ -152,7 +153,7 @@ def response_duration(spark: SparkSession, d: str, roles: SimpleNamespace) -> Da
 
 
 def _shapes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    trials = P.bridged_epoched(spark, d)
+    trials = cut(P.bridged_epoched(spark, d))
     return trials, canonical.canonical_response(canonical.whole_trials(trials, 1, P.AFTER), 2, 1)
 
 
@@ -191,7 +192,7 @@ def anchor_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def zeroed_after_anchor(spark: SparkSession, d: str) -> DataFrame:
-    trials = P.session_epoched(spark, d)
+    trials = cut(P.session_epoched(spark, d))
     anchors = canonical.post_artifact_anchors(epoching.artifact_envelope(trials), (-6, -1), (-1, 6), 1)
     return canonical.zeroed_after(trials, anchors, 2).select("epoch", "channel", "offset", "value")
 
@@ -219,7 +220,7 @@ def negative_peaks(spark: SparkSession, d: str, roles: SimpleNamespace) -> DataF
 @query()
 def gated_peaks(spark: SparkSession, d: str) -> DataFrame:
     """The negative peaks behind an amplitude gate, with the adjusted p of their channel's signed-rank test."""
-    trials = P.bridged_epoched(spark, d)
+    trials = cut(P.bridged_epoched(spark, d))
     peaks = canonical.negative_peaks(epoching.mean_waveform(trials), (-6, -1), (1, 12))
     tested = canonical.matched_rms(trials, -1, (1, 4)).select("channel", (1 - stats.normal_cdf(F.col("z"))).alias("p"))
     gated = canonical.gated_family(peaks.join(tested, "channel", "left"), "p", 1.5, 1.0).withColumn("family", F.lit(1))
@@ -335,3 +336,68 @@ def detection_edges(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "annotations").where("raw_annotation > 0 and not isnan(raw_annotation)")
     electrodes = table(spark, d, "electrode_metadata").select(F.upper(F.regexp_replace("patient_id", r"^(?i)sub-", "")).alias("subject"), F.col("elec_label").alias("label"), F.col("anat_label").alias("region"), "mni_x", "mni_y", "mni_z")
     return directed.detection_edges(found, electrodes, ["subject"], "stimpair", "channel", "rater", "raw_annotation").drop("distance")
+
+
+# ---- dependence between channels, sources
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors as signals: channel = label, a recording for each eight of them."""
+    return table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 8).alias("recording"), F.col("label").cast("string").alias("channel"), F.transform("embedding", lambda x: x.cast("double")).alias("y"))
+
+
+RATE = 64.0
+
+
+@query()
+def phase_phase(spark: SparkSession, d: str) -> DataFrame:
+    return connectivity.phase_phase(_vectors(spark, d), "channel", RATE, (3.0, 7.0), (6.0, 14.0), 2, 1)
+
+
+@query()
+def comodulogram(spark: SparkSession, d: str) -> DataFrame:
+    return connectivity.comodulogram(_vectors(spark, d), "channel", RATE, [(2.0, 4.0), (4.0, 8.0)], [(10.0, 16.0), (16.0, 24.0)])
+
+
+def _one_each(spark: SparkSession, d: str) -> DataFrame:
+    """One vector per recording and channel."""
+    return _vectors(spark, d).groupBy("recording", "channel").agg(F.min_by("y", "vec_id").alias("y"))
+
+
+@query()
+def locking_over_samples(spark: SparkSession, d: str) -> DataFrame:
+    return connectivity.locking_over_samples(spectral.bandpassed(_one_each(spark, d), 4.0, 12.0, RATE, 2), "recording", "channel")
+
+
+@query()
+def continuous_coherence(spark: SparkSession, d: str) -> DataFrame:
+    return connectivity.continuous_coherence(_one_each(spark, d), "recording", "channel", RATE, 16, 4.0, 20.0)
+
+
+@query()
+def wavelet_locking(spark: SparkSession, d: str) -> DataFrame:
+    return connectivity.wavelet_locking(_one_each(spark, d), "recording", "channel", RATE, [8.0, 16.0])
+
+
+@query("""SELECT patient_id, elec_label, coalesce(regexp_matches(anat_label, '(?i)(frontal|thalam|putamen|cingulate)'), false) AS scaffold FROM (SELECT DISTINCT patient_id, elec_label, anat_label FROM electrode_metadata)""")
+def scaffold_contacts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "electrode_metadata").select("patient_id", "elec_label", "anat_label").distinct()
+    return rows.select("patient_id", "elec_label", stats.in_regions(F.col("anat_label"), "(frontal|thalam|putamen|cingulate)").alias("scaffold"))
+
+
+@query("""SELECT entry_id, CASE WHEN r = 1 THEN elec_label ELSE elec_label || '_' || r END AS label FROM (SELECT entry_id, elec_label, row_number() OVER (PARTITION BY patient_id, elec_label ORDER BY entry_id) AS r FROM electrode_metadata WHERE elec_label IS NOT NULL)""")
+def unique_labels(spark: SparkSession, d: str) -> DataFrame:
+    return source_tables.unique_labels(table(spark, d, "electrode_metadata").where("elec_label is not null"), "patient_id", "elec_label", "entry_id", "label").select("entry_id", "label")
+
+
+@query("""WITH e AS (SELECT patient_id, elec_label AS name, min(anat_label) AS place FROM electrode_metadata WHERE elec_label IS NOT NULL AND anat_label IS NOT NULL GROUP BY 1, 2), c AS (SELECT DISTINCT patient_id, channel AS name FROM artifact_summary WHERE channel IS NOT NULL)
+SELECT patient_id, name, place FROM e UNION ALL SELECT c.patient_id, c.name, NULL FROM c LEFT JOIN e ON e.patient_id IS NOT DISTINCT FROM c.patient_id AND e.name = c.name WHERE e.name IS NULL""")
+def contacts_of_two_tables(spark: SparkSession, d: str) -> DataFrame:
+    electrodes = table(spark, d, "electrode_metadata").where("anat_label is not null").select("patient_id", F.col("elec_label").alias("name"), F.col("anat_label").alias("place"))
+    channels = table(spark, d, "artifact_summary").select("patient_id", F.col("channel").alias("name"), F.lit(None).cast("string").alias("place"))
+    return source_tables.contacts_table(electrodes, channels, "patient_id", "name")
+
+
+@query()
+def bad_channels(spark: SparkSession, d: str) -> DataFrame:
+    return quality.bad_channels(P.traces(spark, d))

@@ -60,7 +60,7 @@ def session_epoched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bridged_epoched(spark: SparkSession, d: str) -> DataFrame:
-    return epoching.baseline_centered(epoching.epochs(bridged(spark, d), session_anchors(spark, d), BEFORE, AFTER, F.floor(F.col("k") / SESSION)), -BEFORE, -1)
+    return epoching.baseline_centered(epoching.epochs(bridged(spark, d), session_anchors(spark, d), BEFORE, AFTER, F.floor(F.col("k") / SESSION), table(spark, d, "events").select(_session_hour().alias("k"))), -BEFORE, -1)
 
 
 LEAD = r"^([A-Z]+)([0-9]{1,3})$"

@@ -90,3 +90,44 @@ def bids_recordings(spark: SparkSession, root: str) -> DataFrame:
     entity = lambda key: F.nullif(F.regexp_extract(name, f"(?:^|_){key}-([A-Za-z0-9]+)", 1), F.lit(""))
     kept = files.where(name.rlike(r"_ieeg\.(vhdr|edf|bdf|nwb)$"))
     return kept.select("path", entity("sub").alias("subject"), entity("ses").alias("session"), entity("task").alias("task"), F.regexp_extract(name, r"\.([a-z]+)$", 1).alias("suffix"))
+
+
+def contacts_table(electrodes: DataFrame, channels: DataFrame, session: str, name: str) -> DataFrame:
+    """The rows of ``electrodes``, and of ``channels`` for names that a session's electrodes have not; of repeats the first by all columns."""
+    shared = [c for c in electrodes.columns if c in channels.columns and c not in (session, name)]
+    both = electrodes.select(session, name, *shared, F.lit(0).alias("_from")).unionByName(channels.select(session, name, *shared, F.lit(1).alias("_from")))
+    first = both.where(F.col(name).isNotNull()).groupBy(session, name).agg(F.min(F.struct("_from", *shared)).alias("_r"))
+    return first.select(session, name, *(F.col(f"_r.{c}").alias(c) for c in shared))
+
+
+def times_or_numbers(events: DataFrame, column: str, least: float = 0.8) -> DataFrame:
+    """``events`` with ``seconds`` (if every text of the column is a number) or ``at`` (if over ``least`` of them are times); else both null."""
+    number, time = F.col(column).try_cast("double"), F.try_to_timestamp(F.col(column))
+    rates = events.where(F.col(column).isNotNull()).agg(F.avg(number.isNotNull().cast("double")).alias("n"), F.avg(time.isNotNull().cast("double")).alias("t"))
+    numeric = F.coalesce(rates.select("n").scalar() == 1, F.lit(False))
+    return events.withColumns({"seconds": F.when(numeric, number), "at": F.when(~numeric & (rates.select("t").scalar() > least), time)})
+
+
+def unique_labels(channels: DataFrame, recording: str, label: str, order: str, name: str) -> DataFrame:
+    """``channels`` with repeated labels of a recording told apart: CH, CH_2, CH_3 in order."""
+    n = F.row_number().over(Window.partitionBy(recording, label).orderBy(order))
+    return channels.withColumn(name, F.when(n == 1, F.col(label)).otherwise(F.concat(F.col(label), F.lit("_"), n.cast("string"))))
+
+
+def joined_recordings(parts: DataFrame, scale: str) -> DataFrame:
+    """channel, k, value of a recording read from several files (file, channel, k, value and the file's ``scale``).
+
+    A sample in several files comes from the first by name; files whose scales differ are refused when the rows are read.
+    """
+    one = parts.groupBy("channel", "k").agg(F.min_by("value", "file").alias("value"))
+    differ = parts.agg(F.count_distinct(scale).alias("n")).scalar()
+    checked = F.when(differ > 1, F.raise_error(F.lit("files of one recording have different scales")).cast("double")).otherwise(F.col("value"))
+    return one.select("channel", "k", checked.alias("value"))
+
+
+def only(rows: DataFrame, column: str, value: object) -> DataFrame:
+    """The rows of one value, such as a patient; raises if there are none."""
+    own = rows.where(F.col(column) == value)
+    if own.limit(1).count() == 0:
+        raise ValueError(f"no {column} {value!r}")
+    return own
