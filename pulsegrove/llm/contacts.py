@@ -53,7 +53,7 @@ def lead_directions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def distance_gradients(spark: SparkSession, d: str) -> DataFrame:
-    return stats.slope_permutation(_contacts(spark, d), ["patient"], "number", "mni_x", 199, 5)
+    return stats.slope_permutation(_contacts(spark, d), ["patient"], ["lead", "number"], "number", "mni_x", 199, 5)
 
 
 @query()
@@ -65,3 +65,8 @@ def completed_contacts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def latency_gradient(spark: SparkSession, d: str) -> DataFrame:
     return stats.latency_gradient(_contacts(spark, d).withColumn("number", F.col("number").cast("double")), ["patient"], "number", ["mni_x", "mni_y", "mni_z"])
+
+
+@query()
+def wave_permutation(spark: SparkSession, d: str) -> DataFrame:
+    return stats.latency_permutation(_contacts(spark, d).withColumn("number", F.col("number").cast("double")), ["patient"], ["lead", "number"], "number", ["mni_x", "mni_y", "mni_z"], 99, 7)

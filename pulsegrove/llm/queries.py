@@ -34,6 +34,12 @@ def p4_raters(spark: SparkSession, d: str) -> DataFrame:
     return consensus.rater_report(table(spark, d, "annotations"), table(spark, d, "interrater_agreement"))
 
 
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """a, b, n, k of all pairs of raters who share a record."""
+    pairs = consensus.pair_agreement(consensus.latest_labels(table(spark, d, "annotations")))
+    return pairs.withColumn("k", F.round(F.round("k", 9), 6))
+
+
 def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(consensus.prepare(table(spark, d, "annotations"))[0])
 
@@ -92,7 +98,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_level.learned(p9_levels(spark, d))
 
 
-QUERIES = {x.__name__: x for x in (p3_found, p3_unmatched, p4_found, p4_raters, p4_consensus, p5_found, p5_splits, p5_shares, p7_ids, p7_roundtrip, p8_containers, p8_summary, p9_found, p9_levels)}
+QUERIES = {x.__name__: x for x in (p3_found, p3_unmatched, p4_found, p4_raters, p4_agreement, p4_consensus, p5_found, p5_splits, p5_shares, p7_ids, p7_roundtrip, p8_containers, p8_summary, p9_found, p9_levels)}
 
 
 def _code_sql(text: str, site: str | None = None) -> str:
@@ -104,6 +110,10 @@ def _code_sql(text: str, site: str | None = None) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "p4_agreement": """WITH l AS (SELECT record_id, rater, arg_max(CAST(raw_annotation AS INTEGER), struct_pack(t := coalesce(annotated_at, TIMESTAMP '1900-01-01'), i := annotation_id)) AS v FROM annotations WHERE raw_annotation IN (0, 1, 2) AND rater IS NOT NULL AND record_id IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT a.rater AS a, b.rater AS b, count(*) AS n, count(*) FILTER (WHERE a.v = b.v) AS g, count(*) FILTER (WHERE a.v = 0) * count(*) FILTER (WHERE b.v = 0) + count(*) FILTER (WHERE a.v = 1) * count(*) FILTER (WHERE b.v = 1) + count(*) FILTER (WHERE a.v = 2) * count(*) FILTER (WHERE b.v = 2) AS c
+FROM l a JOIN l b ON a.record_id = b.record_id AND a.rater < b.rater GROUP BY 1, 2), k AS (SELECT *, g / n AS po, c / (n * n) AS pe FROM p)
+SELECT a, b, n, CAST(CAST(CAST(CASE WHEN pe < 1 - 1e-9 THEN (po - pe) / (1 - pe) ELSE 0 END AS DECIMAL(38, 9)) AS DECIMAL(38, 6)) AS DOUBLE) AS k FROM k""",
     "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p5_found": f"""WITH RECURSIVE own AS (SELECT participant_key AS k, {_code_sql("participant_id")} AS code FROM participants),
 former AS (SELECT participant_key AS k, {_code_sql("former_id")} AS code FROM participants),
