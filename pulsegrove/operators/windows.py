@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrove.operators.in_order import meet, with_previous, with_running_sum
+from pulsegrove.session import cut
 
 #: Turns a median absolute deviation into a standard deviation of normal data.
 MAD_SCALE = 1.4826
@@ -48,12 +49,12 @@ def medians(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
     """
     total = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_m"))
     share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cut = meet(counts, total, keys).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * MEDIAN_BLOCKS)).otherwise(0))
-    sums = cut.groupBy(*keys, "_b", "_m").agg(F.sum("_n").alias("_s"))
+    blocks = meet(counts, total, keys).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * MEDIAN_BLOCKS)).otherwise(0))
+    sums = blocks.groupBy(*keys, "_b", "_m").agg(F.sum("_n").alias("_s"))
     sums = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
     low, high = F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2)  # ranks from 0
     middle = sums.where((F.col("_before") <= high) & (F.col("_before") + F.col("_s") > low)).select(*keys, "_b", "_before")
-    ranked = meet(cut, middle, [*keys, "_b"]).withColumn("_at", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = meet(blocks, middle, [*keys, "_b"]).withColumn("_at", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
     at = lambda rank: F.min(F.when(F.col("_at") > rank, F.col("_v")))
     return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
 
@@ -178,7 +179,7 @@ def first_settled(df: DataFrame, key: list[str], k: str, calm: Column, n: int) -
 
 def threshold_events(samples: DataFrame, z: float, floor: float, ceiling: float, block: Column) -> DataFrame:
     """channel, k: where |value - median| first rises to min(ceiling, max(floor, z scaled MADs)) on each channel."""
-    off = samples.join(median_and_spread(samples, ["channel"], "value"), "channel")
+    off = samples.join(cut(median_and_spread(samples, ["channel"], "value")), "channel")  # stored, as the runs below read it again and again
     limit = F.least(F.lit(ceiling), F.greatest(F.lit(floor), z * F.col("_mad") * MAD_SCALE))
     marked = off.withColumn("_on", F.abs(F.col("value") - F.col("_med")) >= limit)
     return onsets(marked, "channel", block, ["k"], F.col("_on")).where("edge = 'rising'").select("channel", "k")
@@ -186,7 +187,7 @@ def threshold_events(samples: DataFrame, z: float, floor: float, ceiling: float,
 
 def consensus_events(events: DataFrame, gap: int, least: int, block: Column) -> DataFrame:
     """k, n_channels: clusters of events of any channel within ``gap``, at their rounded median, if ``least`` channels take part."""
-    own = clusters(events.withColumn("_all", F.lit(1)), "_all", "k", "channel", gap, block)
+    own = cut(clusters(cut(events.withColumn("_all", F.lit(1))), "_all", "k", "channel", gap, block))
     middle = medians(value_counts(own, ["cluster"], "k"), ["cluster"], "_k")
     grouped = own.groupBy("cluster").agg(F.count_distinct("channel").alias("n_channels")).where(F.col("n_channels") >= least)
     return grouped.join(middle, "cluster").select(F.bround("_k").cast("long").alias("k"), "n_channels")
