@@ -153,14 +153,14 @@ def strongest_over_time(edges: DataFrame, time: str, n: int) -> DataFrame:
     return ranked.where(F.col("rank") <= n)
 
 
-def target_divergence(edges: DataFrame, keys: list[str], time: str) -> DataFrame:
+def target_divergence(edges: DataFrame, keys: list[str], time: str, block: Column | None = None) -> DataFrame:
     """keys, time, jsd: how far (Jensen-Shannon, base 2) each time's shares of the targets lie from those of the time before.
 
-    Only times with a positive total count. The shares of a time and of the one before meet by target.
+    Only times with a positive total count; ``block`` rises with the time and cuts a key of many times. The shares of a time and of the one before meet by target.
     """
     by_target = edges.groupBy(*keys, time, "target").agg(F.sum("weight").alias("w"))
     totals = by_target.groupBy(*keys, time).agg(F.sum("w").alias("_t")).where("_t > 0")
-    before = with_previous(totals, keys, F.trunc(time, "year"), [time], F.col(time), "_prev").where("_prev is not null").select(*keys, time, "_prev")
+    before = with_previous(totals, keys, F.lit(0) if block is None else block, [time], F.col(time), "_prev").where("_prev is not null").select(*keys, time, "_prev")
     shares = by_target.join(totals, [*keys, time]).select(*keys, time, "target", (F.col("w") / F.col("_t")).alias("p"))
     now = shares.join(before.select(*keys, time), [*keys, time]).select(*keys, time, "target", F.col("p").alias("a"), F.lit(0.0).alias("b"))
     then = shares.withColumnRenamed(time, "_prev").join(before, [*keys, "_prev"]).select(*keys, time, "target", F.lit(0.0).alias("a"), F.col("p").alias("b"))

@@ -522,7 +522,7 @@ p AS (SELECT source, month, target, w / t AS p FROM w JOIN t USING (source, mont
 j AS (SELECT k.source, k.month, coalesce(a.p, 0) AS a, coalesce(c.p, 0) AS c FROM k LEFT JOIN p a ON a.source = k.source AND a.month = k.month AND a.target = k.target LEFT JOIN p c ON c.source = k.source AND c.month = k.prev AND c.target = k.target)
 SELECT source, CAST(month AS DATE) AS month, round(sum(CASE WHEN a > 0 THEN a * log2(a / ((a + c) / 2)) ELSE 0 END + CASE WHEN c > 0 THEN c * log2(c / ((a + c) / 2)) ELSE 0 END) / 2, 6) AS jsd FROM j GROUP BY 1, 2""")
 def target_divergence(spark: SparkSession, d: str) -> DataFrame:
-    return directed.target_divergence(P.trade(spark, d), ["source"], "month")
+    return directed.target_divergence(P.trade(spark, d), ["source"], "month", F.trunc("month", "year"))
 
 
 @query()
