@@ -6,13 +6,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pulsegrove.functions import kernels
+from pulsegrove.operators.lagged import lagged_moments, merged_moments
 from pulsegrove.operators.spectral import array_udf, phases
-from pulsegrove.operators.stats import beta_tail, linear_fit
+from pulsegrove.operators.stats import beta_tail, fit_of_sums
 
 
 def coherence(epochs: DataFrame, trial: str, channel: str, rate: float, low: float, high: float) -> DataFrame:
@@ -47,22 +49,46 @@ def granger(samples: DataFrame, trial: str, order: int) -> DataFrame:
     """source, target, n, causality (log ratio of residual sums), p of every ordered pair of channels.
 
     Each target's value is fitted on its own last ``order`` values, with and without those of the source; lags never cross
-    trials, and the fits need only each pair's sums of products.
+    trials, and the fits need only each pair's sums of products. A trial has one row per channel and k.
     """
-    w = Window.partitionBy(trial, "channel").orderBy("k")
-    lags = samples.select(trial, "channel", "k", "value", *(F.when(F.col("k") - F.lag("k", i).over(w) == i, F.lag("value", i).over(w)).alias(f"l{i}") for i in range(1, order + 1)))
-    own = lags.select(trial, "k", F.col("channel").alias("target"), F.col("value").alias("y"), *(F.col(f"l{i}").alias(f"y{i}") for i in range(1, order + 1)))
-    other = lags.select(trial, "k", F.col("channel").alias("source"), *(F.col(f"l{i}").alias(f"x{i}") for i in range(1, order + 1)))
-    pairs = own.join(other, [trial, "k"]).where("source <> target")
-    ys, xs = [f"y{i}" for i in range(1, order + 1)], [f"x{i}" for i in range(1, order + 1)]
-    full_rows = pairs.where(" and ".join(f"{c} is not null" for c in ["y", *ys, *xs]))
+    ends = {"k_before": F.lit(None).cast("long"), "value_before": F.lit(None).cast("double")}
+    return granger_over_lines(samples.withColumns(ends), trial, order)
+
+
+#: Steps of a trial that one block of ``granger_over_lines`` holds.
+LINE_BLOCK = 4096
+
+
+def granger_over_lines(lines: DataFrame, trial: str, order: int, length: int = LINE_BLOCK) -> DataFrame:
+    """``granger`` of the samples on ``epoching.lines``, which only the tasks that sum up their products spell out.
+
+    A trial is cut into blocks of ``length`` steps, each with the ``order`` steps before it, so that a shuffle moves each
+    line once per block that it touches; tasks return the moments of each pair of channels.
+    """
+    kind, arrow = lines.schema["channel"].dataType.simpleString(), to_arrow_type(lines.schema["channel"].dataType)
+    first = F.coalesce(F.col("k_before") + 1, F.col("k"))
+    blocks = F.explode(F.sequence(F.floor(first / length), F.floor((F.col("k") + order) / length)))
+    known = lines.where(F.col(trial).isNotNull() & F.col("channel").isNotNull() & F.col("k").isNotNull())
+    spread = known.select(F.col(trial).alias("trial"), blocks.alias("block"), "channel", first.cast("long").alias("first"), *(F.col(c).cast(t) for c, t in (("k_before", "long"), ("value_before", "double"), ("k", "long"), ("value", "double"))))
+    parts = spread.repartition("trial", "block").sortWithinPartitions("trial", "block")
+    schema = f"source {kind}, target {kind}, n long, m array<double>, s array<double>"
+    moments = parts.mapInArrow(lambda batches: lagged_moments(batches, order, length, arrow), schema)
+    whole = moments.groupBy("source", "target").applyInPandas(merged_moments, schema)
+    ys, xs, width = [f"y{i}" for i in range(1, order + 1)], [f"x{i}" for i in range(1, order + 1)], 2 * order + 1
+    names = ["y", *ys, *xs]
+    at = lambda i, j: F.get("s", F.lit(i * width + j))
+
+    def fit(df: DataFrame, keys: list[str], on: list[str], name: str) -> DataFrame:
+        ids = [names.index(x) for x in on]
+        means = {f"_m_{c}": F.get("m", F.lit(i)) for i, c in enumerate(names)}
+        sums = df.withColumns(means | {"_sums": F.array(*(at(i, j) for i in ids for j in [*ids, 0])), "_syy": at(0, 0)})
+        return fit_of_sums(sums, [*keys, "m", "s"], "y", on).select(*keys, "m", "s", "n", F.col("rss").alias(name))
+
     keys = ["source", "target"]
-    full = linear_fit(full_rows, keys, "y", ys + xs).select(*keys, "n", F.col("rss").alias("rss_full"))
-    alone = linear_fit(full_rows, keys, "y", ys).select(*keys, F.col("rss").alias("rss_alone"))
-    joined = full.join(alone, keys)
-    rest = F.col("n") - 2 * order - 1
-    f = (F.col("rss_alone") - F.col("rss_full")) / order / (F.col("rss_full") / rest)
-    return joined.select(*keys, "n", F.log(F.col("rss_alone") / F.col("rss_full")).alias("causality"), _f_tail(F.greatest(f, F.lit(0.0)), F.lit(float(order)), rest.cast("double")).alias("p"))
+    joined = fit(fit(whole, keys, ys + xs, "rss_full"), [*keys, "rss_full"], ys, "rss_alone")
+    rest, left = F.col("n") - 2 * order - 1, F.nullif("rss_full", F.lit(0.0))  # without residuals there is no ratio
+    f = (F.col("rss_alone") - left) / order * rest / left
+    return joined.select(*keys, "n", F.log(F.col("rss_alone") / left).alias("causality"), _f_tail(F.greatest(f, F.lit(0.0)), F.lit(float(order)), rest.cast("double")).alias("p"))
 
 
 def phase_amplitude(epochs: DataFrame, channel: str, rate: float, slow: tuple[float, float], fast: tuple[float, float], bins: int = 18) -> DataFrame:

@@ -87,13 +87,18 @@ def interpolated(samples: DataFrame, block: Column) -> DataFrame:
     return both.withColumn("filled", F.coalesce("value", F.when(p.isNotNull() & n.isNotNull(), line), p["value"], n["value"])).drop("_p", "_n")
 
 
-def bridged(samples: DataFrame, session: str, block: Column) -> DataFrame:
-    """``samples`` with values and rows on the line between each two neighbours of a channel and session; none beyond the ends."""
+def lines(samples: DataFrame, session: str, block: Column) -> DataFrame:
+    """session, channel, k, value, k_before, value_before: each value with the one before it of its channel and session, null at the first."""
     known = samples.where("value is not null").select(session, "channel", "k", "value")
     pairs = with_previous(known, [session, "channel"], block, ["k"], F.struct("k", "value"), "_p")
-    p = F.col("_p")
-    steps = pairs.withColumn("_k", F.explode(F.when(p.isNull(), F.array("k")).otherwise(F.sequence(p["k"] + 1, F.col("k")))))
-    line = F.when(F.col("_k") == F.col("k"), F.col("value")).otherwise(p["value"] + (F.col("value") - p["value"]) * (F.col("_k") - p["k"]) / (F.col("k") - p["k"]))
+    return pairs.select(session, "channel", "k", "value", F.col("_p.k").alias("k_before"), F.col("_p.value").alias("value_before"))
+
+
+def bridged(samples: DataFrame, session: str, block: Column) -> DataFrame:
+    """``samples`` with values and rows on the line between each two neighbours of a channel and session; none beyond the ends."""
+    k, value, at, was = (F.col(c) for c in ("k", "value", "k_before", "value_before"))
+    steps = lines(samples, session, block).withColumn("_k", F.explode(F.when(at.isNull(), F.array(k)).otherwise(F.sequence(at + 1, k))))
+    line = F.when(F.col("_k") == k, value).otherwise(was + (value - was) * (F.col("_k") - at) / (k - at))
     return steps.select(session, "channel", F.col("_k").alias("k"), line.alias("value"))
 
 

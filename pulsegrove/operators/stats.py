@@ -218,6 +218,11 @@ def linear_fit(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFra
     centred = full.join(means, keys)
     less = {c: F.col(c) - F.col(f"_m_{c}") for c in [y, *xs]}
     sums = centred.groupBy(*keys, "n", *(f"_m_{c}" for c in [y, *xs])).agg(F.array(*(F.sum(less[a] * less[b]) for a in xs for b in [*xs, y])).alias("_sums"), F.sum(less[y] * less[y]).alias("_syy"))
+    return fit_of_sums(sums, keys, y, xs)
+
+
+def fit_of_sums(sums: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
+    """``linear_fit`` of rows of keys, n, a mean _m_.. of y and each x, _syy and the flattened _sums of centred products [X'X | X'y]."""
     solved = sums.withColumn("_b", _solve("_sums"))
     slopes = [F.get("_b", F.lit(i)) for i in range(len(xs))]
     explained = sum((b * F.get("_sums", F.lit(i * (len(xs) + 1) + len(xs))) for i, b in enumerate(slopes)), F.lit(0.0))

@@ -483,7 +483,7 @@ def coherence(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def granger(spark: SparkSession, d: str) -> DataFrame:
-    return connectivity.granger(P.bridged(spark, d).withColumnRenamed("session", "trial"), "trial", 2)
+    return connectivity.granger_over_lines(P.lines(spark, d), "session", 2)
 
 
 @query()

@@ -50,9 +50,18 @@ def session_anchors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("event_type = 'error'").select(_session_hour().alias("k")).distinct()
 
 
+def _in_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return sessions(spark, d).withColumn("session", F.floor(F.col("k") / SESSION))
+
+
 def bridged(spark: SparkSession, d: str) -> DataFrame:
     """``sessions`` with the hours between two readings of a user's channel filled linearly, for operators that need whole trials."""
-    return epoching.bridged(sessions(spark, d).withColumn("session", F.floor(F.col("k") / SESSION)), "session", F.floor(F.col("k") / 168))
+    return epoching.bridged(_in_sessions(spark, d), "session", F.floor(F.col("k") / 168))
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """The ends of the lines that ``bridged`` fills, a row per reading."""
+    return epoching.lines(_in_sessions(spark, d), "session", F.floor(F.col("k") / 168))
 
 
 def session_epoched(spark: SparkSession, d: str) -> DataFrame:
