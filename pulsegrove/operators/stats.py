@@ -133,35 +133,45 @@ def lead_fits(contacts: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Values up to which every pattern of signs is tried, and random patterns of larger groups.
 EXACT, DRAWS = 16, 5000
+#: Values of a group that one task adds up for all its draws.
+DRAWN_PART = 1 << 16
 
 
-def sign_flips(df: DataFrame, keys: list[str], value: str, unit: str, exact: int = EXACT, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+def sign_flips(df: DataFrame, keys: list[str], value: str, unit: str, exact: int = EXACT, draws: int = DRAWS, seed: int = 42, part: int = DRAWN_PART) -> DataFrame:
     """keys, n, mean, p: two-sided sign-flip test of each group's mean.
 
     Groups of up to ``exact`` values try every pattern of signs. Larger ones take ``draws`` random patterns and count the
     observed one among them: the sign of a value in a draw is a bit of a hash of ``unit`` (which tells a group's values
-    apart), the draw and the seed. Each batch of rows adds up its signed values per group and draw, and only those sums are
-    shuffled.
+    apart), the draw and the seed. A task adds up a group's signed values for all draws and returns one row, the number of
+    draws that reach the observed sum; only groups over ``part`` values are cut into parts whose sums by draw meet in a shuffle.
     """
     values = df.where(F.col(value).isNotNull()).select(*keys, F.xxhash64(F.col(unit), F.lit(seed)).alias("_unit"), F.col(value).cast("double").alias("x"))
     sizes = values.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.sum(F.abs("x")).alias("size"))
+    limit = F.abs(F.col("mean") * F.col("n")) - 1e-12 * F.greatest(F.col("size"), F.lit(1.0))
     small = values.join(sizes.where(F.col("n") <= exact).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     tried = small.select(*keys, exact_sign_flip("xs").alias("exact"))
-    large = values.join(sizes.where(F.col("n") > exact).select(*keys), keys, "left_semi")
+    large = values.join(sizes.where(F.col("n") > exact).select(*keys, limit.alias("_limit"), F.ceil(F.col("n") / part).alias("_parts")), keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in large.schema.fields if f.name in keys)
-    partial = large.repartition(*keys, F.pmod("_unit", F.lit(8))).sortWithinPartitions(*keys).mapInPandas(lambda batches: signed_sums(batches, keys, draws), f"{schema}, s array<double>")
-    sums = partial.select(*keys, F.posexplode("s").alias("_draw", "_s")).groupBy(*keys, "_draw").agg(F.sum("_s").alias("_s")).join(sizes, keys)
-    limit = F.abs(F.col("mean") * F.col("n")) - 1e-12 * F.greatest(F.col("size"), F.lit(1.0))
-    drawn = sums.groupBy(*keys).agg(((1 + F.sum((F.abs("_s") >= limit).cast("long"))) / F.lit(1.0 + draws)).alias("drawn"))
+    spread = large.withColumn("_part", F.pmod("_unit", "_parts")).repartition(*keys, "_part").sortWithinPartitions(*keys, "_part")
+    partial = spread.mapInPandas(lambda batches: signed_sums(batches, keys, draws), f"{schema}, _limit double, hits long, s array<double>")
+    sums = partial.select(*keys, "_limit", "hits", F.posexplode_outer("s").alias("_draw", "_s")).groupBy(*keys, "_limit", "_draw").agg(F.sum("hits").alias("hits"), F.sum("_s").alias("_s"))
+    met = sums.groupBy(*keys).agg(F.sum(F.coalesce("hits", (F.abs("_s") >= F.col("_limit")).cast("long"))).alias("hits"))
+    drawn = met.select(*keys, ((1 + F.col("hits")) / F.lit(1.0 + draws)).alias("drawn"))
     return sizes.join(tried, keys, "left").join(drawn, keys, "left").select(*keys, "n", "mean", F.coalesce("exact", "drawn").alias("p"))
 
 
 def signed_sums(batches: Iterator[pd.DataFrame], keys: list[str], draws: int) -> Iterator[pd.DataFrame]:
-    """keys, s: for each group in a batch and each draw, the sum of its values under that draw's signs."""
+    """keys, _limit, hits, s of batches sorted by group and part: how many draws' sums reach the limit, or of a group of several parts the part's sums."""
     words = (np.arange(1, -(-draws // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+
+    def row(last: tuple) -> list:
+        *key, _, limit, parts, total = last
+        return [*key, limit, None, total] if parts > 1 else [*key, limit, int((np.abs(total) >= limit).sum()), None]
+
+    last = None
     for pdf in batches:
         rows = []
-        for key, own in pdf.groupby(keys, dropna=False):
+        for key, own in pdf.groupby([*keys, "_part"], dropna=False, sort=False):
             x, unit, total = own["x"].to_numpy(float), own["_unit"].to_numpy().astype(np.uint64), np.zeros(draws)
             for at in range(0, len(x), 512):
                 # the finaliser of a well-known 64-bit mixing function (splitmix)
@@ -170,19 +180,32 @@ def signed_sums(batches: Iterator[pd.DataFrame], keys: list[str], draws: int) ->
                 h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 bits = np.unpackbits((h ^ (h >> np.uint64(31))).view(np.uint8), axis=1)[:, :draws]
                 total += x[at : at + 512].sum() - 2 * (x[at : at + 512] @ bits)
-            rows.append((*key, total))
-        yield pd.DataFrame(rows, columns=[*keys, "s"])
+            if last is not None and all(a == b or (a != a and b != b) for a, b in zip(last, key)):
+                last[-1][:] += total  # the group goes on from the batch before
+                continue
+            if last is not None:
+                rows.append(row(last))
+            last = (*key, own["_limit"].iloc[0], own["_parts"].iloc[0], total)
+        yield pd.DataFrame(rows, columns=[*keys, "_limit", "hits", "s"]).astype({"hits": "Int64"})
+    if last is not None:
+        yield pd.DataFrame([row(last)], columns=[*keys, "_limit", "hits", "s"]).astype({"hits": "Int64"})
 
 
 @F.pandas_udf(T.DoubleType())
 def exact_sign_flip(xs: pd.Series) -> pd.Series:
     """The share of sign patterns whose mean is at least as far from 0 as the one observed."""
 
+    def patterns(x: np.ndarray) -> np.ndarray:
+        sums = np.zeros(1)
+        for v in x:
+            sums = np.concatenate([sums + v, sums - v])
+        return sums
+
     def one(x: np.ndarray) -> float:
         x = np.asarray(x, float)
-        signs = 1 - 2 * ((np.arange(2 ** len(x))[:, None] >> np.arange(len(x))) & 1)
-        means = np.abs(signs @ x)
-        return float((means >= abs(x.sum()) - 1e-12 * max(1.0, np.abs(x).sum())).mean())
+        # a pattern and its opposite are equally far, so the first sign stays
+        sums = np.abs(x[0] + patterns(x[1:]))
+        return float((sums >= abs(x.sum()) - 1e-12 * max(1.0, np.abs(x).sum())).mean())
 
     return xs.map(one).astype(float)
 

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,17 @@ def test_asof_with_ties_and_empty_right(spark):
     ahead = {r.name: r.matched_at for r in epoching.asof(left, right, "by", "t", "v", F.floor(F.col("t") / 7), forward=True).collect()}
     assert ahead == {"m": 5, "n": 200, "o": None}
     assert epoching.asof(left, right.limit(0), "by", "t", "v", F.floor(F.col("t") / 7)).where("matched_at is not null").count() == 0
+
+
+def test_sign_flips_return_a_row_per_group(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, i, float(v)) for g, shift in (("a", 0.3), ("b", 0.0), ("c", 0.1)) for i, v in enumerate(rng.normal(shift, 1, 60))]
+    df = spark.createDataFrame(rows, "g string, i long, v double")
+    got = [{r.g: r.p for r in stats.sign_flips(df, ["g"], "v", "i", draws=999, part=part).collect()} for part in (1 << 16, 7)]
+    assert got[0] == got[1] and len(got[0]) == 3
+    # a group that goes on in the next batch leaves the task once, without its sums of all draws
+    pdf = df.toPandas().rename(columns={"v": "x"}).assign(_unit=lambda p: p["i"] * 7919 + 13, _part=0, _parts=1, _limit=9.0)
+    out = pd.concat(list(stats.signed_sums(iter([pdf[:90], pdf[90:]]), ["g"], 999)))
+    assert list(out["g"]) == ["a", "b", "c"] and out["s"].isna().all()
+    whole = pd.concat(list(stats.signed_sums(iter([pdf]), ["g"], 999)))
+    assert list(whole["hits"]) == list(out["hits"])
