@@ -10,6 +10,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pulsegrove.operators.in_tasks import whole_groups
+
 #: Number, means and sums of centred products.
 Moments = tuple[int, np.ndarray, np.ndarray]
 #: Pairs whose moments a task holds at once, steps that it lays out at once, and channels of blocks that share a layout.
@@ -31,30 +33,6 @@ def merged_moments(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([[*key, n, m, s.ravel()]], columns=["source", "target", "n", "m", "s"])
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of batches sorted by ``keys`` (without nulls), with the rows at which groups start."""
-
-    def starts(table: pa.Table) -> np.ndarray:
-        fresh = np.zeros(table.num_rows - 1, bool)
-        for key in keys:
-            own = table.column(key).combine_chunks()
-            fresh |= pc.not_equal(own.slice(1), own.slice(0, table.num_rows - 1)).to_numpy(zero_copy_only=False)
-        return np.concatenate([[0], np.flatnonzero(fresh) + 1])
-
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-        at = starts(table)
-        if len(at) > 1:
-            yield table.slice(0, at[-1]), at[:-1]
-        rest = table.slice(at[-1])
-    if rest is not None:
-        yield rest, np.zeros(1, int)
-
-
 def lagged_moments(batches: Iterator[pa.RecordBatch], order: int, length: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """source, target, n, m, s: moments of the target's value, its ``order`` lags and those of the source, over sorted blocks of lines.
 

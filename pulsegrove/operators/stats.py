@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrove.operators.in_order import with_running_sum
+from pulsegrove.operators.in_order import meet, with_running_sum
+from pulsegrove.operators.in_tasks import steeper_draws
 from pulsegrove.operators.windows import adjusted_p, value_counts
 from pulsegrove.session import cut
 
@@ -281,41 +282,40 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return F.when(n > 0, (middle - half) / scale), F.when(n > 0, (middle + half) / scale)
 
 
-def shuffled(rows: DataFrame, keys: list[str], unit: list[str], moved: str, draws: int, seed: int) -> DataFrame:
-    """``rows`` once per ``draw``, the values of ``moved`` paired anew within each group; ``unit`` tells a group's rows apart.
+def dealt_anew(rows: DataFrame, base: DataFrame, keys: list[str], unit: list[str], y: str, xs: list[str], limit: Column, draws: int, seed: int) -> DataFrame:
+    """``base`` with hits: in how many draws y, paired anew with ``xs`` within a group, is as steep as ``limit`` says; null where that is null.
 
-    A pairing matches the rows' order by one hash with their order by another, drawn anew for each draw; a draw of a group
-    is one window of as many rows as the group has, so no window grows with the number of draws.
+    ``unit`` tells a group's rows apart. A pairing matches the rows' order by one hash with their order by another, drawn
+    anew for each draw. A group is dealt within one task, which returns one row, whatever the number of draws.
     """
-    own = rows.withColumn("_fixed", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*unit, F.lit(seed)), *unit)))
-    drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    moving = drawn.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "draw").orderBy(F.xxhash64("_fixed", "draw", F.lit(seed)), "_fixed"))).select(*keys, "draw", "_at", moved)
-    return drawn.drop(moved).withColumnRenamed("_fixed", "_at").join(moving, [*keys, "draw", "_at"]).drop("_at")
+    asked = meet(rows, base.select(*keys, limit.alias("_limit")).where("_limit is not null"), keys).select(*keys, *unit, *(F.col(c).cast("double").alias(c) for c in (y, *xs)), "_limit")
+    schema = ", ".join(f"`{k}` {asked.schema[k].dataType.simpleString()}" for k in keys)
+    order = asked.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64(*unit, F.lit(seed)), *unit)
+    hits = order.select(*keys, y, *xs, "_limit").mapInArrow(lambda batches: steeper_draws(batches, keys, y, xs, "_limit", draws, seed), f"{schema}, hits long")
+    return meet(base, hits, keys, "left")
 
 
 def slope_permutation(df: DataFrame, keys: list[str], unit: list[str], x: str, y: str, draws: int, seed: int) -> DataFrame:
     """keys, n, slope, r2, p: the slope of y over x, and how often a random pairing of the two is as steep."""
     whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = whole.select(*keys, *(F.col(u).alias(f"_u{i}") for i, u in enumerate(unit)), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    rows = cut(rows)  # read by the fit and by every draw
+    units = [f"_u{i}" for i in range(len(unit))]
+    rows = whole.select(*keys, *(F.col(u).alias(name) for u, name in zip(unit, units)), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = cut(rows)  # read by the fit and by the draws
     base = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"))
-    steep = shuffled(rows, keys, [f"_u{i}" for i in range(len(unit))], "y", draws, seed).groupBy(*keys, "draw").agg(F.regr_slope("y", "x").alias("s"))
-    counted = steep.join(base, keys).groupBy(*keys).agg(F.sum((F.abs("s") >= F.abs("slope") - 1e-12).cast("long")).alias("_hits"), F.count("s").alias("_draws"))
-    return base.join(counted, keys, "left").select(*keys, "n", "slope", "r2", F.when(F.col("slope").isNotNull(), (1 + F.col("_hits")) / (1 + F.col("_draws"))).alias("p"))
+    counted = dealt_anew(rows, base, keys, units, "y", ["x"], F.abs("slope") - 1e-12, draws, seed)
+    return counted.select(*keys, "n", "slope", "r2", ((1 + F.col("hits")) / F.lit(1.0 + draws)).alias("p"))
 
 
 def latency_permutation(df: DataFrame, keys: list[str], unit: list[str], latency: str, axes: list[str], draws: int, seed: int) -> DataFrame:
     """keys, n, gradient, p, q: how often latencies dealt anew to the places have as steep a gradient, adjusted over all keys."""
     columns = [latency, *axes]
-    rows = df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in columns)).select(*keys, *(F.col(u).alias(f"_u{i}") for i, u in enumerate(unit)), *columns)
-    rows = cut(rows)  # read by the fit and by every draw
-    steepness = lambda fit: fit.withColumn("_g", F.sqrt(sum((F.pow(F.col(f"slope_{a}"), F.lit(2)) for a in axes), F.lit(0.0))))
-    base = steepness(linear_fit(rows, keys, latency, axes)).where(F.col("n") >= len(axes) + 2).select(*keys, "n", F.col("_g").alias("gradient"))
-    base = cut(base)
-    dealt = cut(shuffled(rows.join(base.select(*keys), keys, "left_semi"), keys, [f"_u{i}" for i in range(len(unit))], latency, draws, seed))
-    drawn = steepness(linear_fit(dealt, [*keys, "draw"], latency, axes))
-    counted = drawn.join(base, keys).groupBy(*keys).agg(F.sum((F.col("_g") >= F.col("gradient") - 1e-12).cast("long")).alias("_hits"), F.count("_g").alias("_draws"))
-    out = base.join(counted, keys, "left").select(*keys, "n", "gradient", F.when(F.col("gradient").isNotNull(), (1 + F.coalesce("_hits", F.lit(0))) / (1 + F.coalesce("_draws", F.lit(0)))).alias("p"))
+    units = [f"_u{i}" for i in range(len(unit))]
+    rows = df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in columns)).select(*keys, *(F.col(u).alias(name) for u, name in zip(unit, units)), *columns)
+    rows = cut(rows)  # read by the fit and by the draws
+    gradient = F.sqrt(sum((F.pow(F.col(f"slope_{a}"), F.lit(2)) for a in axes), F.lit(0.0)))
+    base = cut(linear_fit(rows, keys, latency, axes).where(F.col("n") >= len(axes) + 2).select(*keys, "n", gradient.alias("gradient")))
+    counted = dealt_anew(rows, base, keys, units, latency, axes, F.col("gradient") - 1e-12, draws, seed)
+    out = counted.select(*keys, "n", "gradient", ((1 + F.col("hits")) / F.lit(1.0 + draws)).alias("p"))
     return adjusted_p(out.withColumn("_family", F.lit(1)), ["_family"], "p", "q").drop("_family")
 
 
