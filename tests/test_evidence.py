@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrove.operators import canonical, connectivity, directed, evidence, stats, trains
+from pulsegrove.operators import canonical, connectivity, directed, evidence, in_tasks, stats, trains
 from pulsegrove.sources import tables as source_tables
 
 TRIALS = "epoch long, channel string, offset int, value double"
@@ -119,3 +120,21 @@ def test_sources(spark):
         source_tables.joined_recordings(parts.withColumn("scale", F.rand(1)), "scale").collect()
     with pytest.raises(ValueError, match="no file"):
         source_tables.only(parts, "file", "f9")
+
+
+def test_draws_are_dealt_in_tasks(spark):
+    hashes = [r.h for r in spark.range(1, 30).select(F.xxhash64(F.col("id").cast("int"), F.lit(3), F.lit(11)).alias("h")).collect()]
+    assert in_tasks.pairings(29, np.array([2, 3]), 11)[1].tolist() == sorted(range(29), key=lambda i: hashes[i])
+    rng = np.random.default_rng(2)
+    rows = [(g, i, float(i), float(0.05 * i + rng.normal())) for g in ("a", None, "b") for i in range(20)] + [("flat", 0, 1.0, 2.0), ("flat", 1, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, y double")
+    out = stats.slope_permutation(df, ["g"], ["i"], "x", "y", 99, 1)
+    got = {r.g: r.p for r in out.collect()}
+    assert got["flat"] is None and all(0 < got[g] < 1 for g in ("a", "b", None))
+    # no row per draw, whose number the optimizer doesn't foresee
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    schema = pa.schema({"g": pa.string(), "y": pa.float64(), "x": pa.float64(), "l": pa.float64()})
+    batches = [pa.record_batch({"g": g, "y": y, "x": x, "l": [0.3] * len(g)}, schema) for g, x, y in ((["a"] * 3, [1.0, 2, 3], [1.0, 2, 1]), (["a"] * 2 + [None], [4.0, 5, 1], [3.0, 2, 1]), ([None], [2.0], [0.0]))]
+    whole = in_tasks.steeper_draws(iter([pa.concat_batches(batches)]), ["g"], "y", ["x"], "l", 50, 1)
+    parts = pa.Table.from_batches(list(in_tasks.steeper_draws(iter(batches), ["g"], "y", ["x"], "l", 50, 1)))
+    assert pa.Table.from_batches(list(whole)).to_pylist() == parts.to_pylist() and parts.num_rows == 2
