@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrove.operators.in_order import with_running_sum
-from pulsegrove.operators.windows import medians, robust_scores, value_counts
+from pulsegrove.operators.windows import medians, robust_scores, robust_stats, value_counts, with_robust_score
+from pulsegrove.session import cut
 
 # Cut-offs of the gate; a fraction at its cut-off fails.
 MAX_BAD, MAX_HARD, MIN_CLEAN = 0.25, 0.10, 8
@@ -40,9 +41,10 @@ def trial_features(epoched: DataFrame) -> DataFrame:
 
 def with_reasons(features: DataFrame, limit: float) -> DataFrame:
     """Trial features with robust scores within the channel, ``reasons`` (array) and ``bad_response``."""
-    scored = features
+    # stored, as each score reads its input many times: a score of a scored table would read it as often for each of those
+    features = scored = cut(features)
     for column in ("peak_abs", "ptp", "max_step"):
-        scored = robust_scores(scored, ["channel"], column, f"{column}_score")
+        scored = with_robust_score(scored, cut(robust_stats(features, ["channel"], column)), ["channel"], column, f"{column}_score")
     reasons = F.array_compact(
         F.array(
             F.when(F.col("peak_abs_score") > limit, "amplitude"), F.when(F.col("ptp_score") > limit, "range"), F.when(F.col("max_step_score") > limit, "step"),

@@ -67,13 +67,22 @@ def median_and_spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return meet(middle, medians(off, keys, "_mad"), keys)
 
 
-def robust_scores(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with (value - median) / (MAD * 1.4826); without spread the standard deviation, then 1, takes its place."""
-    stats = meet(median_and_spread(df, keys, value), df.groupBy(*keys).agg(F.stddev_samp(value).alias("_std")), keys)
+def robust_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, _med, _mad, _std of each group: what ``robust_scores`` takes from it."""
+    return meet(median_and_spread(df, keys, value), df.groupBy(*keys).agg(F.stddev_samp(value).alias("_std")), keys)
+
+
+def with_robust_score(df: DataFrame, stats: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with its score by ``robust_stats``."""
     scale = F.when(F.col("_mad") > 0, F.col("_mad") * MAD_SCALE).when(F.col("_std") > 0, F.col("_std")).otherwise(1.0)
     return meet(df, stats, keys, "left").withColumn(name, (F.col(value) - F.col("_med")) / scale).drop("_med", "_std", "_mad")
 
 
+def robust_scores(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with (value - median) / (MAD * 1.4826); without spread the standard deviation, then 1, takes its place."""
+    return with_robust_score(df, robust_stats(df, keys, value), keys, value, name)
+
+
 def adjusted_p(df: DataFrame, family: list[str], p: str, name: str, blocks: int = 1024) -> DataFrame:
     """``df`` with Benjamini-Hochberg adjusted p-values within each family; null and NaN stay null and do not count.
 

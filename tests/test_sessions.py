@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pulsegrove.operators import epoching
+from pulsegrove.operators import epoching, quality, windows
 from pulsegrove.plans import tables
 
 
@@ -33,3 +33,14 @@ def test_lines_between_readings_stay_in_their_session(spark):
 def test_whole_trials_of_users(spark, data):
     for name in ("phase_locking", "coherence", "granger", "response_calls"):
         assert entry.queries()[name](spark, data).count() > 0
+
+
+def test_scores_of_trials_keep_a_small_plan(spark):
+    rows = [(e, c, float((7 * e + i) % 11), float((5 * e) % 7), float(e % 3 + i), 0.1, 0.0) for i, c in enumerate("ab") for e in range(30)]
+    features = spark.createDataFrame(rows, "epoch long, channel string, peak_abs double, ptp double, max_step double, saturation double, missing double")
+    out = quality.with_reasons(features, 1.0)
+    # each score adds its own part, not a multiple of those before
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+    for column in ("peak_abs", "ptp", "max_step"):
+        wanted = {(r.epoch, r.channel): r.s for r in windows.robust_scores(features, ["channel"], column, "s").collect()}
+        assert {(r.epoch, r.channel): r[f"{column}_score"] for r in out.collect()} == wanted
