@@ -144,7 +144,8 @@ def map_values(values: DataFrame, catalog: DataFrame, threshold: float = THRESHO
     stems = parsed.where("reason = ''").select("stem").distinct()
     matched = match_stems(stems, catalog, threshold, margin)
     contacts = catalog.groupBy(F.upper(F.trim("lead_label")).alias("lead"), F.col("contact_no").alias("number")).agg(F.min("catalog_id").alias("catalog_id"))
-    found = parsed.join(matched, "stem", "left").join(contacts, ["lead", "number"], "left")
+    # merged, as the optimizer doesn't foresee the size of what Python returns and would broadcast all values
+    found = parsed.join(matched.hint("merge"), "stem", "left").join(contacts, ["lead", "number"], "left")
     verdict = F.when(F.col("reason") != "", F.col("reason")).when(F.col("verdict").isNull(), "no candidate").when((F.col("verdict") == "accepted") & F.col("catalog_id").isNull(), "no such contact").otherwise(F.col("verdict"))
     return found.select("value", "catalog_id", "score", verdict.alias("verdict"))
 

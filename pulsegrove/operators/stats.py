@@ -286,13 +286,14 @@ def dealt_anew(rows: DataFrame, base: DataFrame, keys: list[str], unit: list[str
     """``base`` with hits: in how many draws y, paired anew with ``xs`` within a group, is as steep as ``limit`` says; null where that is null.
 
     ``unit`` tells a group's rows apart. A pairing matches the rows' order by one hash with their order by another, drawn
-    anew for each draw. A group is dealt within one task, which returns one row, whatever the number of draws.
+    anew for each draw. A group is dealt within one task, which returns one row, whatever the number of draws. Neither rows
+    nor groups are broadcast through the driver.
     """
-    asked = meet(rows, base.select(*keys, limit.alias("_limit")).where("_limit is not null"), keys).select(*keys, *unit, *(F.col(c).cast("double").alias(c) for c in (y, *xs)), "_limit")
+    asked = meet(rows, base.select(*keys, limit.alias("_limit")).where("_limit is not null").hint("merge"), keys).select(*keys, *unit, *(F.col(c).cast("double").alias(c) for c in (y, *xs)), "_limit")
     schema = ", ".join(f"`{k}` {asked.schema[k].dataType.simpleString()}" for k in keys)
     order = asked.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64(*unit, F.lit(seed)), *unit)
     hits = order.select(*keys, y, *xs, "_limit").mapInArrow(lambda batches: steeper_draws(batches, keys, y, xs, "_limit", draws, seed), f"{schema}, hits long")
-    return meet(base, hits, keys, "left")
+    return meet(base, hits.hint("merge"), keys, "left")
 
 
 def slope_permutation(df: DataFrame, keys: list[str], unit: list[str], x: str, y: str, draws: int, seed: int) -> DataFrame:

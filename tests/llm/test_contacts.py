@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from pulsegrove.llm import contacts
 
 CATALOG = [(i, f"{lead}{n}", lead, n, name) for i, (lead, name, n) in enumerate((lead, name, n) for lead, name in (("LORBLT", "left lateral orbitofrontal"), ("ROPPAR", "right opercular part"), ("LCINA", "left anterior cingulate")) for n in range(1, 9))]
@@ -22,3 +24,10 @@ def test_more_contacts_and_pairs_than_letter_for_letter(spark, data):
     plain, mapped = tables.contacts(spark, data), queries["laplacian_mapped"](spark, data)
     assert mapped.count() > plain.count()
     assert queries["completed_contacts"](spark, data).count() == mapped.count()
+
+
+def test_spelled_values_are_not_broadcast(spark, data):
+    out = contacts.contacts(*(spark.read.parquet(f"{data}/{name}.parquet") for name in ("electrode_metadata", "contact_catalog")))
+    joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().split("\n") if re.search(r"Join \[stem#\d+\], \[stem#\d+\]", line)]
+    # the optimizer takes what Python returns to be as small as the column of the file
+    assert joins and not any("Broadcast" in line for line in joins)

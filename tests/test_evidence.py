@@ -138,3 +138,12 @@ def test_draws_are_dealt_in_tasks(spark):
     whole = in_tasks.steeper_draws(iter([pa.concat_batches(batches)]), ["g"], "y", ["x"], "l", 50, 1)
     parts = pa.Table.from_batches(list(in_tasks.steeper_draws(iter(batches), ["g"], "y", ["x"], "l", 50, 1)))
     assert pa.Table.from_batches(list(whole)).to_pylist() == parts.to_pylist() and parts.num_rows == 2
+
+
+def test_draws_and_their_groups_are_not_broadcast(spark):
+    df = spark.createDataFrame([(g, i, float(i), float(i * i % 7)) for g in ("a", None, "b") for i in range(9)], "g string, i int, x double, y double")
+    out = stats.slope_permutation(df, ["g"], ["i"], "x", "y", 19, 1)
+    assert {r.g: r.n for r in out.collect() if r.p} == {"a": 9, None: 9, "b": 9}
+    # small enough to be broadcast, yet they grow with the data
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
